@@ -6,7 +6,10 @@ from importlib import import_module
 
 #: Query -> the module that defines it.
 QUERIES = {
+    "op3_toxicity": "toxicity",
+    "op5_decontamination": "decontaminate",
     "op6_arrow_token_files": "arrow_tokens",
+    "op7_histogram_shards": "sharding",
     "op10_byte_bpe": "bpe",
 }
 
