@@ -9,6 +9,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ class Features:
             known.clear()
         for text in texts:
             words = (text or b"").lower().split()
-            for w in {*words} - known.keys():
+            for w in filterfalse(known.__contains__, {*words}):
                 known[w] = xxhash.xxh64_intdigest(w.strip(PUNCTUATION) or w)
             hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
         mask, found = np.uint64((1 << self.settings.bits) - 2), []
