@@ -6,10 +6,14 @@ from importlib import import_module
 
 #: Query -> the module that defines it.
 QUERIES = {
+    "op2_main_text": "html_text",
     "op3_toxicity": "toxicity",
+    "op4_min_max_hash": "near_duplicates",
     "op5_decontamination": "decontaminate",
     "op6_arrow_token_files": "arrow_tokens",
     "op7_histogram_shards": "sharding",
+    "op8_feistel_pseudonyms": "pseudonyms",
+    "op9_rotation_codes": "embedding_links",
     "op10_byte_bpe": "bpe",
 }
 
