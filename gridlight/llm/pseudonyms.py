@@ -109,9 +109,15 @@ def _card(text: str, p: Permutation, undo: bool) -> str | None:
 
 
 def _iban(text: str, p: Permutation, undo: bool) -> str | None:
+    """The longest valid account number that ``text`` begins with; what follows it stays."""
+    for end in range(len(text), 14, -1):
+        if (end == len(text) or text[end] == " ") and 15 <= len(plain := text[:end].replace(" ", "")) <= 34 and mod97(plain) == 1:
+            return _one_iban(text[:end], p, undo)
+    return None
+
+
+def _one_iban(text: str, p: Permutation, undo: bool) -> str:
     plain = text.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or mod97(plain) != 1:
-        return None
     body = permute_characters(plain[4:], p, undo)
     full = f"{plain[:2]}{98 - mod97(plain[:2] + '00' + body):02d}{body}"
     rest = iter(full)
@@ -124,8 +130,10 @@ def _american_phone(digits: str) -> bool:
 
 def _phone(text: str, p: Permutation, undo: bool) -> str | None:
     digits = _digits(text)
-    if _american_phone(digits[-10:]) and (len(digits) == 10 or len(digits) == 11 and digits[0] == "1"):
-        kept, own, valid = digits[:-10], digits[-10:], _american_phone
+    national = _american_phone(digits[-10:])
+    if len(digits) == 11 and text.startswith("+1") or len(digits) == 10 and national and text[0] != "+":
+        # numbers of the plan become such, others (unassigned area codes) become others
+        kept, own, valid = digits[:-10], digits[-10:], lambda d: _american_phone(d) == national
     elif text.startswith("+") and 8 <= len(digits) <= 15:
         code = _digits(re.match(r"\+\d{1,3}", text)[0])
         kept, own, valid = digits[: len(code)], digits[len(code) :], lambda d: True
@@ -144,14 +152,7 @@ def _address(text: str, p: Permutation, undo: bool) -> str | None:
     parts = text.split(".")
     if any(int(x) > 255 or len(x) > 1 and x[0] == "0" for x in parts):
         return None
-    # loopback, unspecified and broadcast addresses name nobody; they stay, and nothing becomes one
-    valid = lambda a: a >> 24 not in (0, 127, 255)
-    value = int.from_bytes(bytes(map(int, parts)), "big")
-    if not valid(value):
-        return None
-    value = p.apply(value, 1 << 32, undo)
-    while not valid(value):
-        value = p.apply(value, 1 << 32, undo)
+    value = p.apply(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, undo)
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
@@ -210,14 +211,18 @@ class Pseudonyms:
         if not text or not _HINT.search(text):
             return text, found
 
-        def new(m: re.Match) -> str:
+        out, done, m = [], 0, _ALL.search(text)
+        while m:
             made = self.one(m.lastgroup, m[0])
-            if made is None:
-                return m[0]
+            if made is None:  # nothing valid begins here; a value may begin one place on
+                m = _ALL.search(text, m.start() + 1)
+                continue
             found[m.lastgroup] += 1
-            return made
-
-        return _ALL.sub(new, text), found
+            end = m.start() + len(made) if m.lastgroup == "iban" else m.end()
+            out += [text[done : m.start()], made]
+            done = end
+            m = _ALL.search(text, end)
+        return "".join([*out, text[done:]]), found
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", undo: bool = False) -> DataFrame:
