@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query -> the module that defines it.
 QUERIES = {
+    "op1_attention_scores": "language_model",
     "op2_main_text": "html_text",
     "op3_toxicity": "toxicity",
     "op4_min_max_hash": "near_duplicates",
