@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: The modules of this package that register queries.
-MODULES = ("metrics", "grids", "inventory", "banks", "bootstraps", "controls")
+MODULES = ("metrics", "grids", "inventory", "banks", "bootstraps", "controls", "deployment", "reports")
 
 
 def queries() -> dict:
