@@ -164,7 +164,7 @@ def search(index: DataFrame, items: list[tuple[str, bytes | None]], size: int =
             a, b = np.searchsorted(end, s, side="right"), np.searchsorted(begin, s + n)
             own = np.stack([np.maximum(begin[a:b], s) - s, np.minimum(end[a:b], s + n) - s], 1) if b > a else np.zeros((0, 2))
             spans.append(own.astype("<i4").tobytes())
-        return pd.DataFrame({"doc_id": block.ids, "n_words": block.lengths, "spans": spans, "items": [sorted(names[k] for k in h) for h in hits]})
+        return pd.DataFrame({"doc_id": block.ids, "n_words": block.lengths, "spans": spans, "items": [sorted({names[k] for k in h}) for h in hits]})
 
     return index.groupBy("block").applyInPandas(run, "doc_id long, n_words long, spans binary, items array<string>")
 

@@ -252,6 +252,9 @@ def op4_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group (the smallest doc_id), with its columns."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """Pipeline stage: one document of each group (the smallest doc_id), with its columns.
+
+    Rows that repeat a doc_id stay if one of them does; rows without a doc_id stay.
+    """
+    gone = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
