@@ -94,6 +94,12 @@ def bank_cost(banks: DataFrame, m: int = 8, bits: int = 8) -> DataFrame:
     return banks.select("name", F.round(n * c / 1e6, 2).alias("params_m"), F.round(2 * F.col("patches") * n * c / 1e9, 2).alias("gflops"), F.round(n * c * 4 / 1e6, 2).alias("disk_fp32_mb"), F.round(pq / 1e6, 2).alias("disk_int8_mb"))
 
 
+def available(detectors: DataFrame, have: DataFrame) -> DataFrame:
+    """(detector) of those all of whose pieces are in ``have`` (name)."""
+    rows = detectors.select("detector", F.explode("pieces").alias("name")).join(have.select("name", F.lit(True).alias("there")), "name", "left")
+    return rows.groupBy("detector").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("all")).where("all").select("detector")
+
+
 def export_check(detectors: DataFrame, exported: DataFrame) -> DataFrame:
     """(detector, pieces_exported, has_attention, corroborated): does the operators' inventory of the pieces fit the declared class?
 

@@ -97,6 +97,13 @@ def mean_pool(scans: DataFrame) -> DataFrame:
     return scans.select("vec_id", F.posexplode(value).alias("pix", "value"))
 
 
+def eroded(scans: DataFrame) -> DataFrame:
+    """``scans`` with ``eroded``: valid pixels whose four neighbours are valid too, none beyond the border; within each row."""
+    at = lambda i, dv, du: F.when((F.floor(i / F.col("w")) + dv).between(0, F.col("h") - 1) & (i % F.col("w") + du).between(0, F.col("w") - 1), F.get("valid", (i + dv * F.col("w") + du).cast("int"))).otherwise(False)
+    inner = F.transform("valid", lambda ok, i: ok & at(i, -1, 0) & at(i, 1, 0) & at(i, 0, -1) & at(i, 0, 1))
+    return scans.withColumn("eroded", inner)
+
+
 def box_center_clip(points: DataFrame, scale: float, within: float) -> DataFrame:
     """Half-open bounding box and centroid of valid pixels, and the number of them within a radius after centring and scaling."""
     valid = points.where("valid")

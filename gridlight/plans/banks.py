@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlight.operators import bank, grid
+from gridlight.operators import bank
 from gridlight.plans.grids import PIXELS_SQL, scans
 from gridlight.sources.tables import table
 
@@ -92,14 +92,6 @@ def plane_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank.plane_inliers(_cloud(spark, sf_dir), 24, 0.05)
 
 
-def pixel_nearest_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per image, the number of pixels and how many normals face the viewer."""
-    from gridlight.plans.grids import surface
-
-    n = grid.normals(surface(spark, sf_dir))
-    return n.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum((F.abs("nz") > 0.3).cast("long")).alias("facing"))
-
-
 _E = "e AS (SELECT vec_id, CAST(label AS BIGINT) AS category, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
 _C = "c AS (SELECT vec_id, CAST(label AS BIGINT) AS category, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
 _D = "sqrt(list_sum(list_transform(list_zip(q.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"

@@ -19,11 +19,12 @@ def radius_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clouds.dbscan(_cloud(spark, sf_dir), 0.08, 5)
+    """Density clusters of the cloud; noise has cluster -1."""
+    return clouds.dbscan(_cloud(spark, sf_dir), 0.08, 5).fillna(-1, ["cluster"])
 
 
 def largest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = dbscan_clusters(spark, sf_dir).where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n"))
+    n = dbscan_clusters(spark, sf_dir).where("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("n"))
     return n.orderBy(F.col("n").desc(), "cluster").limit(1)
 
 
@@ -79,7 +80,7 @@ _NOISE = f"(1 - (v / 3e0 - {_Y})) * ((1 - (u / 3e0 - {_X})) * {_lat('vec_id', _X
 QUERIES = {f.__name__: f for f in (radius_pairs, dbscan_clusters, largest_cluster, fpfh_descriptors, noise_mask, sensor_jitter, pca_reconstruction, organized_points)}
 ORACLES = {
     "radius_pairs": f"WITH {_P8} SELECT a AS vec_id, count(*) AS n FROM nb GROUP BY 1",
-    "dbscan_clusters": f"WITH RECURSIVE {_DB} SELECT vec_id, cluster FROM db",
+    "dbscan_clusters": f"WITH RECURSIVE {_DB} SELECT vec_id, coalesce(cluster, -1) AS cluster FROM db",
     "largest_cluster": f"WITH RECURSIVE {_DB} SELECT cluster, count(*) AS n FROM db WHERE cluster IS NOT NULL GROUP BY 1 ORDER BY n DESC, cluster LIMIT 1",
     "noise_mask": f"SELECT vec_id, round(avg(m), 7) AS mean, CAST(sum(CAST(m > 0.6 AS INT)) AS BIGINT) AS n_mask FROM (SELECT vec_id, {_NOISE} AS m FROM ({PIXELS_SQL}) WHERE valid) GROUP BY 1",
     "sensor_jitter": f"WITH {_GRAZING} SELECT vec_id, round(sum(dz), 6) AS sum_dz, round(max(abs(dz)), 6) AS max_dz FROM (SELECT vec_id, 0.01e0 / greatest(cos, 0.1e0) * sqrt(-2 * ln({_lat('vec_id', 'u', 'v')} + 1e-9)) * cos(2 * pi() * {_lat('vec_id + 1', 'u + 17', 'v + 31')}) AS dz FROM g WHERE valid) GROUP BY 1",
