@@ -72,8 +72,8 @@ def write(docs: DataFrame, spec: str, folder: str, end_id: int = 0, length: int
     """Writes the ids of ``docs`` (doc_id, text) in ascending doc_id order and returns the manifest.
 
     Documents are dealt out by ranges of doc_id, so that each task writes one file of consecutive
-    documents. Equal ids are ordered by their text, null ids come first, and a null text is only the
-    end token. The manifest (part, path, n_docs, n_tokens) is what counts: a task that was lost
+    documents. Equal ids are ordered by a hash of their text, so that they need not share a task, null
+    ids come first, and a null text is only the end token. The manifest (part, path, n_docs, n_tokens) is what counts: a task that was lost
     leaves a file that no row of it names.
     """
     held = docs.sparkSession.sparkContext.broadcast(spec)
@@ -93,7 +93,9 @@ def write(docs: DataFrame, spec: str, folder: str, end_id: int = 0, length: int
             out.close(pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_tokens": pa.array(lengths, pa.int64())}))
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [out.path], "n_docs": [len(lengths)], "n_tokens": [sum(lengths)]}, pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the bounds of ranges are sampled on the driver: numbers, not texts
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
     manifest = ordered.mapInArrow(run, "part long, path string, n_docs long, n_tokens long")
     manifest.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")

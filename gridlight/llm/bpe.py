@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding over Arrow batches (operator 10), by the tokenizers library.
 
-A text is cut before those single spaces that certainly begin a match of the splitting pattern;
-every piece is then independent, so each worker keeps the ids of pieces it has met. Ids travel as
-packed little-endian integers. Texts where a space is followed by more white space are encoded whole.
+A text is cut before those spaces that certainly begin a match of the splitting pattern: the ones
+followed by other than white space (of a run of white space the pattern leaves the last space to what
+follows). Every piece is then independent, so each worker keeps the ids of pieces it has met. Ids
+travel as packed little-endian integers.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 #: Pieces that a worker remembers before it starts anew.
 CACHE_PIECES = 600_000
-_RISKY = re.compile(r" \s")
+_RISKY, _CUT = re.compile(r" \s"), re.compile(r" (?=\S)")
 
 
 def byte_characters() -> list[str]:
@@ -65,7 +67,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # of pieces with the space before them
+        self.firsts: dict[str, bytes] = {}  # of texts' beginnings
 
     @classmethod
     def of(cls, spec: str) -> Encoder:
@@ -91,23 +94,28 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a text."""
-        if len(text) < 2 or _RISKY.search(text):
+        if len(text) < 2:
             return self.whole(text)
-        first, *rest = text.split(" ")
+        first, *rest = _CUT.split(text) if _RISKY.search(text) else text.split(" ")
         known = self.pieces
-        try:
-            tail = b"".join(map(known.__getitem__, rest))
-        except KeyError:
+        missing = [*filterfalse(known.__contains__, {*rest})]
+        if missing:
             if len(known) > CACHE_PIECES:
                 known.clear()
-            missing = [p for p in set(rest) if p not in known]
+                missing = [*{*rest}]
             if "" in missing:  # a space that ends the text
                 known[""] = self.whole(" ")
                 missing.remove("")
             if missing:
                 self._learn(missing)
-            tail = b"".join(map(known.__getitem__, rest))
-        return self.whole(first) + tail if first else tail
+        tail = b"".join(map(known.__getitem__, rest))
+        if not first:
+            return tail
+        if first not in self.firsts:
+            if len(self.firsts) > CACHE_PIECES // 8:
+                self.firsts.clear()
+            self.firsts[first] = self.whole(first)
+        return self.firsts[first] + tail
 
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.dtype)
