@@ -2,8 +2,8 @@
 
 A text is cut before those spaces that certainly begin a match of the splitting pattern: the ones
 followed by other than white space (of a run of white space the pattern leaves the last space to what
-follows). Every piece is then independent, so each worker keeps the ids of pieces it has met. Ids
-travel as packed little-endian integers.
+follows). Every piece is then independent, so each worker keeps the ids of pieces it has met, and puts
+new ones together from words and punctuation that it has met. Ids travel as packed little-endian integers.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 #: Pieces that a worker remembers before it starts anew.
 CACHE_PIECES = 600_000
 _RISKY, _CUT = re.compile(r" \s"), re.compile(r" (?=\S)")
+#: Letters up to U+024F, ASCII punctuation but the apostrophe, and a line end: between them the splitting pattern always cuts.
+_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]+|\n")
 
 
 def byte_characters() -> list[str]:
@@ -81,41 +83,57 @@ class Encoder:
         """The packed ids of a text, encoded in one call."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
+    def _join(self, pieces: list[str]) -> None:
         """Encodes pieces, each with the space before it, in one call and deals the ids out by their offsets."""
-        found = self.tokenizer.encode(" " + " ".join(missing), add_special_tokens=False)
+        found = self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False)
         ids, at = np.array(found.ids, self.dtype), np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-        ends = np.cumsum([len(p) + 1 for p in missing])
-        cut = np.searchsorted(at, ends)
+        cut = np.searchsorted(at, np.cumsum([len(p) + 1 for p in pieces]))
         packed, w, begin = ids.tobytes(), self.dtype.itemsize, 0
-        for piece, end in zip(missing, cut.tolist()):
+        for piece, end in zip(pieces, cut.tolist()):
             self.pieces[piece] = packed[begin * w : end * w]
             begin = end
 
+    def _first(self, text: str) -> bytes:
+        """The packed ids of a short text without a space before it."""
+        if text not in self.firsts:
+            if len(self.firsts) > CACHE_PIECES // 8:
+                self.firsts.clear()
+            self.firsts[text] = self.whole(text)
+        return self.firsts[text]
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The packed ids of new pieces, each with the space before it; they are remembered.
+
+        A piece that is plainly letters and punctuation is put together from its parts: each part is one
+        match of the splitting pattern, and most are known from other pieces.
+        """
+        known = self.pieces
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        parted = {}
+        for piece in missing:
+            parts = _PARTS.findall(piece)
+            if len(parts) > 1 and sum(map(len, parts)) == len(piece) and "\n\n" not in piece:
+                parted[piece] = parts
+        if "" in missing:  # a space that ends the text
+            known[""] = self.whole(" ")
+        if new := [*filterfalse(known.__contains__, {p[0] for p in parted.values()} | (missing - parted.keys()))]:
+            self._join(new)
+        for piece, (head, *tail) in parted.items():
+            known[piece] = known[head] + b"".join(map(self._first, tail))
+        return {p: known[p] for p in missing}
+
     def encode(self, text: str) -> bytes:
         """The packed ids of a text."""
         if len(text) < 2:
             return self.whole(text)
         first, *rest = _CUT.split(text) if _RISKY.search(text) else text.split(" ")
-        known = self.pieces
-        missing = [*filterfalse(known.__contains__, {*rest})]
-        if missing:
-            if len(known) > CACHE_PIECES:
-                known.clear()
-                missing = [*{*rest}]
-            if "" in missing:  # a space that ends the text
-                known[""] = self.whole(" ")
-                missing.remove("")
-            if missing:
-                self._learn(missing)
-        tail = b"".join(map(known.__getitem__, rest))
-        if not first:
-            return tail
-        if first not in self.firsts:
-            if len(self.firsts) > CACHE_PIECES // 8:
-                self.firsts.clear()
-            self.firsts[first] = self.whole(first)
-        return self.firsts[first] + tail
+        found = [*map(self.pieces.get, rest)]
+        if missing := {p for p, x in zip(rest, found) if x is None}:
+            fresh = self._learn(missing)
+            found = [fresh[p] if x is None else x for p, x in zip(rest, found)]
+        tail = b"".join(found)
+        return self._first(first) + tail if first else tail
 
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.dtype)

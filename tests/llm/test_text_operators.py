@@ -56,6 +56,18 @@ def test_bpe_equals_the_rank_encoder_on_odd_texts():
         assert "".join(bpe.decode_tokens(ids, table)) == text
 
 
+def test_bpe_parts_of_pieces_and_a_full_cache(monkeypatch):
+    """Pieces put together from their parts have the ids of one call on the whole text, also when the cache starts anew."""
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 40)
+    rng = random.Random(11)
+    pool = ["word", "Été", "ß", "ɏ", "ɐ", "×", "ª", "²", "½", "7", "'s", "'", "n't", ".", "...", "***", "&&&", "_", "-", "\n", "\n\n", "\t", "\r\n", " ", " ", "  ", "\u0301", "\xa0", "\x1c", "文"]
+    for spec in (bpe.file_spec(), bpe.rank_spec()):
+        encoder = bpe.Encoder(spec)
+        for _ in range(2000):
+            text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 30)))
+            assert encoder.encode(text) == encoder.whole(text), text
+
+
 def test_bpe_round_trip_of_frames(spark):
     df = odd_docs(spark)
     spec = bpe.rank_spec()
