@@ -8,6 +8,9 @@ one predicts the rest of a word and its end from the word's beginning, so it has
 word. With it, the words' discounted frequencies in the whole training corpus are mixed; what the
 discount takes goes to the attention model, so the mixture is a probability again.
 
+Both models learn from all training texts: in each of a few rounds every task trains on its own blocks from
+the round's parameters, and the tasks' parameters are averaged by the number of targets they have seen.
+
 Documents travel in blocks of a few MB. Word counts are exchanged between blocks as packed arrays of
 hashes and counts, each bucket of hashes summed up by one task; no word table is held anywhere.
 """
@@ -33,7 +36,7 @@ from gridlight.llm.common import held_out, table, written
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes of the model, of its bounded training sample and of the blocks."""
+    """Sizes of the model, of its training steps and of the blocks."""
 
     size: int = 16  # of embeddings
     window: int = 32  # positions that a window sees
@@ -41,9 +44,8 @@ class Settings:
     word_window: int = 12
     word_stride: int = 8
     classes: int = 32  # of the two-level output; as many subwords in each
-    sample_docs: int = 3000  # training documents that the models learn from, about at most
-    sample_words: int = 500_000  # and words of theirs, at most (whole texts)
-    epochs: int = 5
+    sample_words: int = 500_000  # words that a task trains on at once, about (whole texts); all are trained on, part after part
+    epochs: int = 5  # rounds over all training texts, each followed by an averaging
     rate: float = 0.01
     attention_share: float = 0.3  # weight of the attention model beside the corpus counts that back off to it
     discount: float = 0.75  # taken from every corpus count, and given to the attention model
@@ -63,6 +65,7 @@ class Attention:
 
     def __init__(self, settings: Settings, window: int, stride: int, parameters: dict[str, np.ndarray] | None = None):
         self.s, self.window, self.stride = settings, window, stride
+        self.moments, self.steps, self.seen_targets = None, 0, 0
         d, c = settings.size, settings.classes
         draw = lambda *shape: np.random.default_rng(len(shape) * 7 + shape[0]).normal(0, d**-0.5, shape).astype(np.float32)
         self.p = parameters or {"e": draw(settings.ids, d), "q": draw(d, d), "k": draw(d, d), "v": 0.5 * draw(d, d), "near": np.zeros(window, np.float32), "c": 0.3 * draw(d, c), "cb": np.zeros(c, np.float32), "i": 0.3 * draw(c, d, c), "ib": np.zeros((c, c), np.float32)}
@@ -159,28 +162,30 @@ class Attention:
         np.add.at(g["e"], ids.reshape(-1), dk @ p["k"].T + dv @ p["v"].T)
         return -float(logs.sum()), g
 
-    def train(self, ids: np.ndarray, targets: np.ndarray, batch: int = 48) -> float:
-        """Adam over shuffled windows; the output biases begin at the targets' frequencies. Mean -log p of the last epoch."""
-        s, c = self.s, self.s.classes
-        seen = np.bincount(targets[targets >= 0].reshape(-1), minlength=s.ids).reshape(c, c) + 0.1
+    def begin(self, targets: np.ndarray) -> None:
+        """Sets the output biases to the frequencies of ``targets``."""
+        c = self.s.classes
+        seen = np.bincount(targets[targets >= 0].reshape(-1), minlength=self.s.ids).reshape(c, c) + 0.1
         self.p["cb"], self.p["ib"] = np.log(seen.sum(1) / seen.sum()).astype(np.float32), np.log(seen / seen.sum(1, keepdims=True)).astype(np.float32)
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        t, loss = 0, 0.0
-        order, steps = np.random.default_rng(1), max(1, s.epochs * -(-len(ids) // batch))
-        for _ in range(s.epochs):
-            loss = 0.0
-            for at in np.array_split(order.permutation(len(ids)), max(1, -(-len(ids) // batch))):
-                self.prepare()
-                value, g = self.gradient(ids[at], targets[at])
-                loss, t = loss + value, t + 1
-                rate = s.rate * (1 - 0.9 * t / steps)
-                for k, x in g.items():
-                    x /= max(1, int((targets[at] >= 0).sum()))
-                    first[k] += 0.1 * (x - first[k])
-                    second[k] += 0.01 * (x * x - second[k])
-                    self.p[k] -= (rate * first[k] / (1 - 0.9**t) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+
+    def train(self, ids: np.ndarray, targets: np.ndarray, rate: float, batch: int = 48) -> None:
+        """One pass of Adam over shuffled windows; its moments go on from the pass before."""
+        if self.moments is None:
+            self.moments = tuple({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        first, second = self.moments
+        for at in np.array_split(np.random.default_rng(1 + self.steps).permutation(len(ids)), max(1, -(-len(ids) // batch))):
+            n = int((targets[at] >= 0).sum())
+            if not n:
+                continue
+            self.prepare()
+            _, g = self.gradient(ids[at], targets[at])
+            self.steps, self.seen_targets = self.steps + 1, self.seen_targets + n
+            for k, x in g.items():
+                x /= n
+                first[k] += 0.1 * (x - first[k])
+                second[k] += 0.01 * (x * x - second[k])
+                self.p[k] -= (rate * first[k] / (1 - 0.9**self.steps) / (np.sqrt(second[k] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
         self.prepare()
-        return loss / max(1, int((targets >= 0).sum()))
 
     def score(self, sequences: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log-probability of every element of the sequences laid end to end, each followed by END and seen from BEGIN on.
@@ -215,6 +220,20 @@ def windows_of(sequences: np.ndarray, lengths: np.ndarray, window: int, stride:
     return inputs[place], wanted[place[:, lead:]], count
 
 
+def _known(encoder: Encoder, words: list[bytes]) -> list[str]:
+    """``words`` as texts, whose pieces the encoder then has."""
+    texts = [w.decode("utf-8", "replace") for w in words]
+    missing = [t for t in texts if t not in encoder.pieces]
+    for at in range(0, len(missing), 2000):
+        part = missing[at : at + 2000]
+        if any(c.isspace() for t in part for c in t):
+            for t in part:
+                encoder.pieces[t] = encoder.whole(" " + t)
+        else:
+            encoder._learn(part)
+    return texts
+
+
 class Spelling:
     """Words as ids: the frequent subwords, each under its rank, and bytes for all others."""
 
@@ -228,15 +247,7 @@ class Spelling:
 
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of each); every word has at least one."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        missing = [t for t in texts if t not in self.encoder.pieces]
-        for at in range(0, len(missing), 2000):
-            part = missing[at : at + 2000]
-            if any(c.isspace() for t in part for c in t):
-                for t in part:
-                    self.encoder.pieces[t] = self.encoder.whole(" " + t)
-            else:
-                self.encoder._learn(part)
+        texts = _known(self.encoder, words)
         ids, of = self.ids, self.encoder.ids
         flat: list[int] = []
         lengths = np.empty(len(texts), np.int64)
@@ -250,32 +261,56 @@ class Spelling:
         return np.array(flat, np.int16), lengths
 
 
-def learn(texts: list[bytes], spec: str, settings: Settings) -> dict:
-    """The subwords kept and the parameters of both models, from the texts of the sample."""
+def subword_counts(texts: list[bytes], encoder: Encoder) -> np.ndarray:
+    """How often each id of the encoder stands in the words of ``texts``; the last element is the number of words."""
+    counts = Counter(w for t in texts for w in t.lower().split())
+    out = np.zeros(max(encoder.tokenizer.get_vocab().values()) + 2)
+    for t, n in zip(_known(encoder, list(counts)), counts.values()):
+        np.add.at(out, encoder.ids(encoder.pieces[t]), n)
+    out[-1] = counts.total()
+    if len(encoder.pieces) > 400_000:
+        encoder.pieces.clear()
+    return out
+
+
+def parts_of(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """``texts`` in order, in parts of about ``most`` words; a longer text is a part of its own."""
+    part, words = [], 0
+    for t in texts:
+        n = len(t.split())
+        if part and words + n > most:
+            yield part
+            part, words = [], 0
+        part.append(t)
+        words += n
+    if part:
+        yield part
+
+
+def learn(between: Attention, within: Attention, texts: list[bytes], spelling: Spelling, rate: float, fresh: bool) -> None:
+    """One pass of both models over ``texts``; ``fresh`` ones get their output biases from them first."""
+    settings = between.s
     counts = Counter(w for t in texts for w in t.lower().split())
     words = list(counts)
-    every, pieces = Encoder.of(spec), Counter()
-    for w in words:
-        for i in every.ids(every.whole(" " + w.decode("utf-8", "replace"))).tolist():
-            pieces[i] += counts[w]
-    subwords = sorted(pieces, key=lambda i: (-pieces[i], i))[: settings.ids - FIRST - 256]
-    spelling = Spelling(spec, subwords, settings)
     ids, lengths = spelling.spell(words)
     starts = np.cumsum(lengths) - lengths
-    between, within = Attention(settings, settings.window, settings.stride), Attention(settings, settings.word_window, settings.word_stride)
     number = {w: k for k, w in enumerate(words)}
     codes = [np.fromiter((number[w] for w in t.lower().split()), np.int64) for t in texts]
-    if words:
-        inputs, wanted, _ = windows_of(ids[starts[np.concatenate(codes)]], np.array([len(c) for c in codes]), settings.window, settings.stride)
-        between.train(inputs, wanted)
-        # a word counts in proportion to the root of its frequency, so that rare spellings are learnt
-        times = np.ceil(np.sqrt(np.array([counts[w] for w in words]))).astype(np.int64)
-        again = np.repeat(np.arange(len(words)), np.minimum(times, 40))
-        place = np.repeat(starts[again] - (np.cumsum(lengths[again]) - lengths[again]), lengths[again]) + np.arange(int(lengths[again].sum()))
-        inputs, wanted, count = windows_of(ids[place], lengths[again], settings.word_window, settings.word_stride)
-        wanted[np.cumsum(count) - count, 0] = -1  # the first subword is the other model's
-        within.train(inputs, wanted, 192)
-    return {"subwords": subwords, "between": between.p, "within": within.p, "words": int(sum(counts.values()))}
+    inputs, wanted, _ = windows_of(ids[starts[np.concatenate(codes)]], np.array([len(c) for c in codes]), settings.window, settings.stride)
+    if fresh and not between.steps:
+        between.begin(wanted)
+    between.train(inputs, wanted, rate)
+    if not words:
+        return
+    # a word counts in proportion to the root of its frequency, so that rare spellings are learnt
+    times = np.ceil(np.sqrt(np.array([counts[w] for w in words]))).astype(np.int64)
+    again = np.repeat(np.arange(len(words)), np.minimum(times, 40))
+    place = np.repeat(starts[again] - (np.cumsum(lengths[again]) - lengths[again]), lengths[again]) + np.arange(int(lengths[again].sum()))
+    inputs, wanted, count = windows_of(ids[place], lengths[again], settings.word_window, settings.word_stride)
+    wanted[np.cumsum(count) - count, 0] = -1  # the first subword is the other model's
+    if fresh and not within.steps:
+        within.begin(wanted)
+    within.train(inputs, wanted, rate, 192)
 
 
 class Scorer:
@@ -418,31 +453,83 @@ def word_counts(made: DataFrame) -> DataFrame:
     return written(made.where("kind = 1").select("block", "bucket", "a", "b").groupBy("bucket").applyInPandas(run, "block string, bucket int, counts binary, total long, distinct long"), "counts")
 
 
-def fit(docs: DataFrame, spec: str, settings: Settings = Settings()) -> dict:
-    """The models, trained in one task on a bounded sample of the training documents (``docs`` with doc_id, held, text).
+def _training_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The texts of each block (its marks, sizes and packed texts) that are not held out."""
+    for batch in batches:
+        for marks, sizes, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            texts = _unpack(packed, np.frombuffer(sizes, "<i8"))
+            if kept := [t for t, mark in zip(texts, np.frombuffer(marks, bool)) if not mark]:
+                yield kept
 
-    About ``sample_docs`` documents, chosen by a hash of their doc_id, of which whole texts are taken
-    in the order of the hash until ``sample_words`` is reached.
-    """
-    rows = docs.where("not held and text is not null").withColumn("h", F.xxhash64("doc_id"))
-    share = int(min(1.0, settings.sample_docs / max(1, rows.count())) * (1 << 20))
-    sample = rows.where(F.col("h").bitwiseAND((1 << 20) - 1) < share).select("h", "text").repartition(1).sortWithinPartitions("h", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
+def _total(rows: DataFrame, groups: int = 16) -> np.ndarray | None:
+    """The sum of packed vectors (task, v) of doubles, first in ``groups`` tasks, so that the driver adds up no more than these; None without rows."""
 
-        texts, words = [], 0
-        for batch in batches:
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
-                n = len(t.split())
-                if words + n <= settings.sample_words:
-                    texts.append(t)
-                    words += n
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(learn(texts, spec, settings))]}, pa.schema([("model", pa.binary())]))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part, total = part.sort_values("task"), 0.0
+        for v in part["v"]:
+            total = total + np.frombuffer(v)
+        return pd.DataFrame({"task": [part["task"].iloc[0]], "v": [total.tobytes()]})
 
-    import pickle
+    found = rows.groupBy(F.pmod("task", F.lit(groups)).alias("g")).applyInPandas(run, "task int, v binary").collect()
+    return sum(np.frombuffer(bytes(r.v)) for r in sorted(found, key=lambda r: r.task)) if found else None
 
-    return pickle.loads(bytes(sample.mapInArrow(run, "model binary").first().model))
+
+def fit(made: DataFrame, spec: str, settings: Settings = Settings()) -> dict:
+    """The subwords kept and the parameters of both models, from all training texts of the blocks ``made``.
+
+    Subwords are counted over all of them. In each of ``epochs`` rounds a task trains on every training
+    text of its blocks, beginning with the round's parameters; the averages of what the tasks come to,
+    weighted by their numbers of targets, are the next round's.
+    """
+    texts = made.where("kind = 0").select("b", "c", "d")
+    spark, schema = made.sparkSession, pa.schema([("task", pa.int32()), ("v", pa.binary())])
+    models = lambda p: (Attention(settings, settings.window, settings.stride, p and p[0]), Attention(settings, settings.word_window, settings.word_stride, p and p[1]))
+
+    def vector(x: np.ndarray) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([x.tobytes()], pa.binary())], schema=schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, encoder = [], Encoder.of(spec)
+        for part in _training_texts(batches):
+            found = [sum(found) + subword_counts(part, encoder)]
+        yield from map(vector, found)
+
+    counted = _total(texts.mapInArrow(count, "task int, v binary"))
+    pieces = counted[:-1] if counted is not None else np.zeros(0)
+    order = np.lexsort((np.arange(len(pieces)), -pieces))
+    subwords = [int(i) for i in order if pieces[i] > 0][: settings.ids - FIRST - 256]
+    held: list[dict] = [m.p for m in models(None)]
+    for turn in range(settings.epochs):
+        sent = spark.sparkContext.broadcast((held, subwords))
+        rate = settings.rate * (1 - 0.9 * (turn + 0.5) / settings.epochs)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate, fresh=turn == 0) -> Iterator[pa.RecordBatch]:
+            parameters, subwords = sent.value
+            pair, spelling = models([{k: v.copy() for k, v in p.items()} for p in parameters]), None
+            for block in _training_texts(batches):
+                spelling = spelling or Spelling(spec, subwords, settings)
+                for part in parts_of(block, settings.sample_words):
+                    learn(*pair, part, spelling, rate, fresh)
+            if pair[0].steps:
+                yield vector(np.concatenate([np.append(m.seen_targets * np.concatenate([x.reshape(-1).astype(float) for x in m.p.values()]), m.seen_targets) for m in pair]))
+
+        total = _total(texts.mapInArrow(run, "task int, v binary"))
+        sent.unpersist()
+        if total is None:
+            break
+        held, at = [{k: x for k, x in p.items()} for p in held], 0
+        for p in held:
+            size = sum(x.size for x in p.values())
+            weight, place = total[at + size], at
+            for k, x in p.items():
+                if weight:
+                    p[k] = (total[place : place + x.size] / weight).reshape(x.shape).astype(np.float32)
+                place += x.size
+            at += size + 1
+    return {"subwords": subwords, "between": held[0], "within": held[1], "words": int(counted[-1]) if counted is not None else 0}
 
 
 def score(docs: DataFrame, spec: str | None = None, settings: Settings = Settings()) -> DataFrame:
@@ -459,7 +546,7 @@ def score(docs: DataFrame, spec: str | None = None, settings: Settings = Setting
     counts = word_counts(made)
     total, distinct = counts.agg(F.sum("total"), F.sum("distinct")).first()
     tokens, kinds = (total or 0) + ends, (distinct or 0) + (ends > 0)
-    held = docs.sparkSession.sparkContext.broadcast((fit(plain, spec, settings), spec))
+    held = docs.sparkSession.sparkContext.broadcast((fit(made, spec, settings), spec))
 
     def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         scorer = Scorer.of(*held.value, settings)

@@ -319,3 +319,18 @@ def test_language_model_counts_against_brute_force(spark, data):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(d).encode()) % 5 == 1, len(w) + 1, sum(c[x] > 0 for x in w) + 1, n)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
     assert language_model.score(df.limit(0), settings=small).count() == 0
+
+
+def test_language_model_learns_from_all_training_texts(spark):
+    """An order of words that only texts beyond the first ``sample_words`` words have is learnt; held-out texts are not."""
+    rng = random.Random(3)
+    noise = [(k, k % 4 == 0, " ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(60))) for k in range(20)]
+    order = [(100 + k, k % 4 == 0, "aa bb cc dd " * 40) for k in range(60)]
+    df = spark.createDataFrame(noise + order, "doc_id long, held boolean, text string")
+    s = language_model.Settings(sample_words=300, block_bytes=4000)
+    made = language_model.blocks(df, 8, s)
+    model = language_model.fit(made, bpe.file_spec(), s)
+    assert model["words"] == sum(len(t.split()) for _, held, t in noise + order if not held)
+    tests = spark.createDataFrame([(1, True, "aa bb cc dd " * 5), (2, True, "dd cc bb aa " * 5)], "doc_id long, held boolean, text string")
+    rows = {r.doc_id: r for r in language_model.score(df.unionByName(tests.withColumn("doc_id", F.col("doc_id") + 1000)), settings=s).collect()}
+    assert rows[1001].base_score == pytest.approx(rows[1002].base_score) and rows[1001].score > rows[1002].score + 1
