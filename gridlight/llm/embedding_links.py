@@ -2,7 +2,7 @@
 
 A unit vector is rotated by a random orthogonal matrix and kept as the signs of its coordinates, with
 the factor that makes inner-product estimates from signs unbiased (the RaBitQ estimator). Tables of
-code bits find candidate pairs; the estimate and its confidence bound drop pairs that are certainly
+sign bits along directions of their own find candidate pairs; the estimate and its confidence bound drop pairs that are certainly
 below the threshold; what is left is recomputed exactly in double precision.
 """
 
@@ -96,13 +96,16 @@ def vectors(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, digest binary, unit binary")
 
 
-def table_keys(code: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    """(rows, tables) keys: each table's own choice of code bits, packed; a choice repeats bits only if the code is shorter."""
-    pick, size = np.random.default_rng(seed + 1), code.shape[1]
-    keys = np.zeros((len(code), tables), np.int64)
+def table_keys(unit: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
+    """(rows, tables) keys: signs along each table's own random directions, packed, so that all bits are independent.
+
+    Directions are normal draws, so two vectors agree in a bit with the probability that ``Settings.tables``
+    counts on, whatever their number of components.
+    """
+    pick = np.random.default_rng(seed + 1)
+    keys = np.zeros((len(unit), tables), np.int64)
     for t in range(tables):
-        chosen = pick.permutation(size)[:bits]
-        keys[:, t] = code[:, chosen] @ (np.int64(1) << np.arange(len(chosen), dtype=np.int64))
+        keys[:, t] = (unit @ pick.normal(size=(unit.shape[1], bits)) > 0) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
     return keys
 
 
@@ -125,8 +128,7 @@ def links(nodes: DataFrame, settings: Settings) -> DataFrame:
                 by_size.setdefault(len(p) // 8, []).append(k)
             for size, rows in by_size.items():
                 unit = np.stack([np.frombuffer(packed[k], float) for k in rows])
-                code, _ = codes(unit, rotation(size, held.seed))
-                keys = table_keys(code, bits, tables, held.seed) ^ (size << 44)
+                keys = table_keys(unit, bits, tables, held.seed) ^ (size << 44)
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(keys[:, t]), pa.array([ids[k] for k in rows], pa.int64()), pa.array([weights[k] for k in rows], pa.int64())], names=["t", "key", "node", "weight"])
 
@@ -147,7 +149,7 @@ def links(nodes: DataFrame, settings: Settings) -> DataFrame:
             unit = np.frombuffer(b"".join(rows["unit"]), float).reshape(len(rows), -1)
             turn = rotation(unit.shape[1], held.seed)
             turned, (code, factor) = unit @ turn, codes(unit, turn)
-            keys = table_keys(code, bits, tables, held.seed)
+            keys = table_keys(unit, bits, tables, held.seed)
             ids, weight, mine, t = (rows[c].to_numpy() for c in ("node", "weight", "mine", "t"))
             bucket = rows[["t", "key", "i", "j"]].to_numpy()
             cuts = np.flatnonzero((bucket[1:] != bucket[:-1]).any(1)) + 1

@@ -156,6 +156,22 @@ def test_expected_recall_of_the_tables():
         assert (1 - agree**bits) ** tables <= 0.0021
 
 
+@pytest.mark.parametrize("size", [16, 32, 64])
+@pytest.mark.parametrize("rows", [2000, 200_000, 2_000_000])
+def test_recall_of_the_tables_against_brute_force(size, rows):
+    """Pairs at a cosine of 0.951 share a table, at the key lengths of small and of large inputs."""
+    rng = np.random.default_rng(4)
+    s = embedding_links.Settings()
+    x = rng.normal(size=(10_000, size))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.951 * x + math.sqrt(1 - 0.951**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    bits, tables = s.tables(rows)
+    found = (embedding_links.table_keys(x, bits, tables, s.seed) == embedding_links.table_keys(y, bits, tables, s.seed)).any(1)
+    assert 1 - found.mean() <= 2 * s.miss
+
+
 # pipeline
 
 
