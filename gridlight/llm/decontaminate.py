@@ -7,16 +7,16 @@ rarest term on and intersects the offset-adjusted position lists, block by block
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlight.llm.common import table
+from gridlight.llm.common import table, written
 
 #: Words of a window, UTF-8 bytes of documents in a block, and bytes of test texts that are searched at once.
 WINDOW, BLOCK_BYTES, QUERY_BYTES = 10, 4_000_000, 8_000_000
@@ -32,18 +32,20 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None) -> DataFrame:
-    """Postings (block, term, docs, positions) of ``docs`` (doc_id, text), packed as little-endian integers.
+    """Postings (block, term, docs, positions) of ``docs`` (doc_id, text), packed as little-endian integers; written once.
 
     ``docs`` holds the posting's document number in its block and ``positions`` its word positions,
-    both ascending. Each block has one more row with the term b"": its doc_ids as ``docs`` and their
-    numbers of words as ``positions``; it has all documents, also those without words. With a
+    both ascending. Each block has one more row with the term b"": its doc_ids and then their row numbers
+    as ``docs`` and their numbers of words as ``positions``; it has all documents, also those without
+    words. Row numbers are the column ``row`` of ``docs``, or are given here. A block is named by its
+    partition and its number there, so equal blocks are told apart. With a
     ``vocabulary`` only its terms are stored; it is broadcast, so its size has to be bounded.
     A block is up to 4 MB of texts, or one longer text, whatever the size of the table.
     """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = "block string, term binary, docs binary, positions binary"
 
-    def rows(block: str, ids: list[int], texts: list[list[bytes]]) -> pa.RecordBatch:
+    def rows(block: str, ids: list[int], numbers: list[int], texts: list[list[bytes]]) -> pa.RecordBatch:
         lengths = np.array([len(t) for t in texts], np.int64)
         codes: dict[bytes, int] = {} if held.value is None else {w: k for k, w in enumerate(held.value)}
         if held.value is None:
@@ -59,27 +61,28 @@ def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None) ->
         pos = (at - starts[doc]).astype("<i4")
         present, begin = np.unique(flat[at], return_index=True)
         ends, names = [*begin[1:], len(at)], list(codes)
-        out = [(DOCUMENTS, np.array(ids, "<i8").tobytes(), lengths.astype("<i4").tobytes())]
+        out = [(DOCUMENTS, np.array(ids + numbers, "<i8").tobytes(), lengths.astype("<i4").tobytes())]
         out += [(names[c], doc[b:e].tobytes(), pos[b:e].tobytes()) for c, b, e in zip(present.tolist(), begin.tolist(), ends)]
         terms, d, p = zip(*out)
         return pa.RecordBatch.from_arrays([pa.array([block] * len(out)), *(pa.array(x, pa.binary()) for x in (terms, d, p))], names=["block", "term", "docs", "positions"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, known = [], [], 0, hashlib.sha1()
+        ids, numbers, texts, size, made, partition = [], [], [], 0, 0, TaskContext.get().partitionId()
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            for i, text, number in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 ids.append(i)
+                numbers.append(number)
                 texts.append(words(text))
                 size += len(text or b"")
-                known.update(b"%d:" % i)
-                known.update(text or b"\xff")
                 if size >= BLOCK_BYTES or len(ids) >= 50_000:
-                    yield rows(known.hexdigest(), ids, texts)
-                    ids, texts, size, known = [], [], 0, hashlib.sha1()
+                    yield rows(f"{partition}:{made}", ids, numbers, texts)
+                    ids, numbers, texts, size, made = [], [], [], 0, made + 1
         if ids:
-            yield rows(known.hexdigest(), ids, texts)
+            yield rows(f"{partition}:{made}", ids, numbers, texts)
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row.alias("row"))
+    return written(plain.mapInArrow(run, schema), "index")
 
 
 def windows(items: list[tuple[str, bytes | None]], size: int = WINDOW) -> tuple[list[tuple[bytes, ...]], list[list[int]]]:
@@ -98,7 +101,7 @@ class BlockIndex:
     def __init__(self, rows: pd.DataFrame):
         own = rows["term"].map(len) == 0
         ids, lengths = rows.loc[own, ["docs", "positions"]].iloc[0]
-        self.ids, self.lengths = np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i4").astype(np.int64)
+        (self.ids, self.rows), self.lengths = np.frombuffer(ids, "<i8").reshape(2, -1), np.frombuffer(lengths, "<i4").astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.packed = {t: (d, p) for t, d, p in rows.loc[~own, ["term", "docs", "positions"]].itertuples(index=False)}
         self.opened: dict[bytes, np.ndarray] = {}
@@ -135,7 +138,7 @@ class BlockIndex:
 
 
 def search(index: DataFrame, items: list[tuple[str, bytes | None]], size: int = WINDOW, slack: int = 0) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every indexed document: the hit spans, and the items with a window in it.
+    """(row, doc_id, n_words, spans, items) of every indexed document: the hit spans, and the items with a window in it.
 
     ``spans`` has begin and end of each run of hit words, packed as integers, ``items`` the sorted
     item_ids. Only the windows' own terms are needed in the index. Blocks are independent.
@@ -164,9 +167,9 @@ def search(index: DataFrame, items: list[tuple[str, bytes | None]], size: int =
             a, b = np.searchsorted(end, s, side="right"), np.searchsorted(begin, s + n)
             own = np.stack([np.maximum(begin[a:b], s) - s, np.minimum(end[a:b], s + n) - s], 1) if b > a else np.zeros((0, 2))
             spans.append(own.astype("<i4").tobytes())
-        return pd.DataFrame({"doc_id": block.ids, "n_words": block.lengths, "spans": spans, "items": [sorted({names[k] for k in h}) for h in hits]})
+        return pd.DataFrame({"row": block.rows, "doc_id": block.ids, "n_words": block.lengths, "spans": spans, "items": [sorted({names[k] for k in h}) for h in hits]})
 
-    return index.groupBy("block").applyInPandas(run, "doc_id long, n_words long, spans binary, items array<string>")
+    return index.groupBy("block").applyInPandas(run, "row long, doc_id long, n_words long, spans binary, items array<string>")
 
 
 def item_slices(benchmark: DataFrame, most: int = QUERY_BYTES) -> Iterator[list[tuple[str, bytes | None]]]:
@@ -183,20 +186,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     """(doc_id, n_words, spans, items): what of each document is in windows of benchmark items.
 
     Benchmarks of up to 8 MB of text are searched at once; larger ones slice by slice, each with an
-    index of its own terms, and the spans and items of a document are joined. Null texts have no
-    words; rows without a doc_id are left out; repeated item_ids count as one item; documents whose
-    doc_id repeats give a row each (joined into one when there are several slices).
+    index of its own terms, and the spans and items of a document are joined by its row number. Null texts
+    have no words; rows without a doc_id are left out; repeated item_ids count as one item; documents
+    whose doc_id repeats give a row each.
     """
+    # rows are numbered once for all slices, and written, so that a row has its number in each
+    plain = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "rows")
     parts = []
     for items in item_slices(benchmark):
         terms = frozenset(w for _, t in items for w in words(t))
-        parts.append(search(build_index(docs.select("doc_id", "text"), terms), items, size))
+        parts.append(search(build_index(plain, terms), items, size))
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].drop("row")
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    grouped = both.groupBy("doc_id", "n_words").agg(F.collect_list("spans").alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    grouped = both.groupBy("row", "doc_id", "n_words").agg(F.collect_list("spans").alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     joined = F.pandas_udf(lambda found: found.map(merge_spans), "binary", F.PandasUDFType.SCALAR)
     return grouped.select("doc_id", "n_words", joined("all").alias("spans"), "items")

@@ -253,6 +253,17 @@ def test_decontamination_against_brute_force(spark, monkeypatch, slices):
     assert got == {d: brute_hits(t, items) for d, t in docs}
 
 
+@pytest.mark.parametrize("slices", [False, True])
+def test_decontamination_keeps_repeated_rows(spark, monkeypatch, slices):
+    """Partitions with the same rows, and rows that share a doc_id and a number of words, give a row each."""
+    if slices:
+        monkeypatch.setattr(decontaminate.item_slices, "__defaults__", (100,))
+    items = spark.createDataFrame([(k, f"i{k} j{k} k{k}") for k in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "i0 j0 k0 x"), (1, "x i1 j1 k1"), (2, "a b"), (3, None)], "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.n_words, decontaminate.span_words(bytes(r.spans)), list(r["items"])) for r in decontaminate.contamination(docs.union(docs), items).collect()]
+    assert sorted(got) == sorted(2 * [(1, 4, 3, ["0"]), (1, 4, 3, ["1"]), (2, 2, 0, []), (3, 0, 0, [])])
+
+
 def test_proximity_allows_slack(spark):
     docs = spark.createDataFrame([(1, "aa xx bb cc dd"), (2, "dd cc bb aa zz zz zz")], "doc_id long, text string")
     index = decontaminate.build_index(docs)
