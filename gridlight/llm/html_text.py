@@ -52,7 +52,6 @@ class Settings:
     stop_low: float = 0.12
     stop_high: float = 0.22
     link_most: float = 0.5
-    near: int = 10  # blocks to either side in which an ambiguous block looks for decided ones
 
 
 @dataclass
@@ -166,28 +165,38 @@ def classify(blocks: list[Block], settings: Settings = Settings()) -> None:
         elif b.main:
             b.label = "good" if len(b.text) >= settings.short or b.heading else "short"
         elif len(b.text) < settings.short:
-            b.label = "bad" if b.linked else "short"
+            b.label = "short"
         elif stops >= settings.stop_high:
             b.label = "good" if len(b.text) > settings.long else "near"
         else:
             b.label = "near" if stops >= settings.stop_low else "bad"
 
 
-def inherit(blocks: list[Block], settings: Settings = Settings()) -> list[bool]:
-    """Second pass: whether each block is main text; an ambiguous one follows its nearest decided neighbours.
+def inherit(blocks: list[Block]) -> list[bool]:
+    """Second pass: whether each block is main text; an ambiguous one follows its nearest decided neighbours, at any distance.
 
     'near' blocks and blocks inside an article are text if either neighbour is, others if both are;
     a page's end is no text. Without any decided block the 'near' ones are text.
     """
     labels = [b.label for b in blocks]
-    decided = [k for k, x in enumerate(labels) if x in ("good", "bad")]
+    decided = any(x in ("good", "bad") for x in labels)
+
+    def nearest(order: Iterator[int]) -> list[str]:
+        """For each block the last decided label met before it in ``order``."""
+        found, last = [""] * len(labels), "bad"
+        for k in order:
+            found[k] = last
+            if labels[k] in ("good", "bad"):
+                last = labels[k]
+        return found
+
+    befores, afters = nearest(iter(range(len(labels)))), nearest(reversed(range(len(labels))))
     out = []
     for k, b in enumerate(blocks):
         if b.label in ("good", "bad"):
             out.append(b.label == "good")
             continue
-        before = next((labels[j] for j in range(k - 1, max(-1, k - 1 - settings.near), -1) if labels[j] in ("good", "bad")), "bad")
-        after = next((labels[j] for j in range(k + 1, min(len(labels), k + 1 + settings.near)) if labels[j] in ("good", "bad")), "bad")
+        before, after = befores[k], afters[k]
         if b.main:
             out.append(True)
         elif b.label == "near":
@@ -201,7 +210,7 @@ def main_text(markup: str | None, settings: Settings = Settings()) -> str:
     """The page's main text: its blocks joined by newlines; an empty text if there is none."""
     blocks = blocks_of(markup or "")
     classify(blocks, settings)
-    return "\n".join(b.text for b, kept in zip(blocks, inherit(blocks, settings)) if kept)
+    return "\n".join(b.text for b, kept in zip(blocks, inherit(blocks)) if kept)
 
 
 def extract(pages: DataFrame, settings: Settings = Settings(), source: str = "html", out: str = "text") -> DataFrame:

@@ -28,6 +28,24 @@ def test_pages_without_an_article_go_by_density():
     assert len(said) == 3 and said[1] == "Short one."
 
 
+GOOD = "It was the best of times and it was the worst of times, and there was no one in the town who had not been told of it by his own people, who were as they are. " * 2
+
+
+@pytest.mark.parametrize("lines", [1, 12, 20, 300])
+def test_short_blocks_inherit_at_any_distance(lines):
+    poem = [f"Line {k}" for k in range(lines)]
+    page = f"<p>{GOOD}</p>{''.join(f'<p>{x}</p>' for x in poem)}<p>{GOOD}</p>"
+    assert html_text.main_text(page).split("\n")[1:-1] == poem
+    # between text and furniture they go
+    assert html_text.main_text(f"<p>{GOOD}</p>{''.join(f'<p>{x}</p>' for x in poem)}<nav>Menu</nav>").split("\n") == [GOOD.strip()]
+
+
+def test_a_short_block_with_a_link_in_it_is_undecided():
+    page = f"<p>{GOOD}</p><p>Read the <a href=x>report</a> today.</p><p><a href=y>Next page</a></p><p>{GOOD}</p>"
+    assert html_text.main_text(page.replace("<p><a href=y>Next page</a></p>", "")).split("\n")[1] == "Read the report today."
+    assert "Next page" not in html_text.main_text(page)
+
+
 @pytest.mark.parametrize("markup", [None, "", "<", "<p", "plain", "<p>a<p>b</b></i>", "<!-- open", "<script>x", "&#xFFFFFFFF; &bogus;", "<p>" * 3000 + "deep", "a < b > c"])
 def test_broken_markup_is_no_error(markup):
     assert isinstance(html_text.main_text(markup), str)
