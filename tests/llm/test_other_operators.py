@@ -99,6 +99,16 @@ def test_what_is_not_valid_stays(text):
     assert pseudonyms.Pseudonyms(b"key").replace(text) == (text, {})
 
 
+@pytest.mark.parametrize("card, more", [("4111111111111111", " 12/26"), ("4111 1111 1111 1111", " 123"), ("4111-1111-1111-1111", " 02 2027"), ("4111 1111 1111 1111", " 212 555 0100"), ("5500005555555559", "-1")])
+def test_cards_before_more_digits(card, more):
+    for k in range(40):
+        work, back = pseudonyms.Pseudonyms(b"key%d" % k), pseudonyms.Pseudonyms(b"key%d" % k, True)
+        new, found = work.replace(f"card {card}{more}")
+        assert found["card"] == 1 and card not in new and pseudonyms.luhn("".join(c for c in new[5 : 5 + len(card)] if c.isdigit()))
+        if "555" not in more:  # a phone number changes as well
+            assert new.endswith(more) and back.replace(new)[0] == f"card {card}{more}"
+
+
 def test_pseudonyms_of_frames(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, f"{'word ' * 5000}{VALUES[0]}", 5), (4, f"x {VALUES[0]}", 5), (4, f"x {VALUES[0]}", 5)], "doc_id long, text string, kinds int")
     rows = pseudonyms.pseudonymise(df, b"k").collect()
