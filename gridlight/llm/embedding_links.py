@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlight.llm.common import components, table, written
@@ -109,6 +109,11 @@ def table_keys(unit: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarra
     return keys
 
 
+def groups(count: int) -> Column:
+    """The group that compares a dealt row: several buckets of one block share one, so that small ones cost little; two blocks of a crowded bucket, or one with itself, have their own."""
+    return F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("t", "key"), F.lit(max(64, count // 256)))).otherwise(F.xxhash64("t", "key", "i", "j"))
+
+
 def links(nodes: DataFrame, settings: Settings) -> DataFrame:
     """For distinct unit vectors (node, weight, unit): rows (a, b, n): with a = b, ``n`` more rows linked to node a; else an edge.
 
@@ -136,11 +141,8 @@ def links(nodes: DataFrame, settings: Settings) -> DataFrame:
     sizes = places.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(settings.block)).cast("int")
     crowded = places.join(sizes, ["t", "key"]).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node", "t"), F.col("blocks")).cast("int"))
-    dealt = crowded.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("t", "key", "node", "weight", "mine", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
+    dealt = crowded.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("t", "key", "node", "weight", "mine", "blocks", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
     full = dealt.join(nodes.select("node", "unit"), "node")
-    # several buckets make one group of tasks, so that small ones cost little
-    groups = F.when(F.col("i") == F.col("j"), F.pmod(F.xxhash64("t", "key"), F.lit(max(64, count // 256)))).otherwise(F.xxhash64("t", "key", "i", "j"))
-
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         bits, tables = held.tables(count)
         out = []
@@ -177,7 +179,7 @@ def links(nodes: DataFrame, settings: Settings) -> DataFrame:
                     out.append(np.stack([own[kept[:, 0]], own[kept[:, 1]], np.zeros(len(kept), np.int64)], 1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3), np.int64), columns=["a", "b", "n"])
 
-    return full.withColumn("group", groups).groupBy("group").applyInPandas(compare, "a long, b long, n long")
+    return full.withColumn("group", groups(count)).groupBy("group").applyInPandas(compare, "a long, b long, n long")
 
 
 def near_duplicates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:

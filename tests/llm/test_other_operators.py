@@ -200,9 +200,27 @@ def test_recall_of_the_tables_against_brute_force(size, rows):
     assert 1 - found.mean() <= 2 * s.miss
 
 
+def test_blocks_of_a_crowded_bucket_are_groups_of_their_own(spark):
+    rows = [(0, 5, 7, i, j) for i in range(7) for j in range(i, 7)] + [(0, k, 1, 0, 0) for k in range(400)]
+    found = spark.createDataFrame(rows, "t int, key long, blocks int, i int, j int").withColumn("group", embedding_links.groups(1000))
+    assert found.where("blocks = 7").groupBy("group").count().where("count > 1").isEmpty()
+    assert found.where("blocks = 1").select("group").distinct().count() <= 64
+
+
 # pipeline
 
 
+def test_stage_drops_near_copies_from_four_fifths_on(spark):
+    from gridlight.llm import near_duplicates
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    text = lambda *at: " ".join("new" if k in at else w for k, w in enumerate(base))
+    rows = [(1, text()), (2, text(30)), (3, text(10, 30, 50))]  # 51 / 61 shingles are shared with the second, 41 / 71 with the third
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_duplicates.stage(spark, docs, "").collect()) == [1, 3]
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline
 
@@ -228,14 +246,3 @@ def test_stages_of_odd_rows(spark, data, name):
     stage = corpus_pipeline.STAGES[name][1]
     assert stage(spark, spark.createDataFrame(rows, schema), data).count() >= 4
     assert stage(spark, spark.createDataFrame([], schema), data).count() == 0
-def test_stage_drops_near_copies_from_four_fifths_on(spark):
-    from gridlight.llm import near_duplicates
-
-    rng = random.Random(6)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
-    text = lambda *at: " ".join("new" if k in at else w for k, w in enumerate(base))
-    rows = [(1, text()), (2, text(30)), (3, text(10, 30, 50))]  # 51 / 61 shingles are shared with the second, 41 / 71 with the third
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in near_duplicates.stage(spark, docs, "").collect()) == [1, 3]
-
-
