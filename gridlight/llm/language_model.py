@@ -1,113 +1,149 @@
-"""Language-model scoring (operator 1): causal self-attention over subword ids, trained and run in numpy.
+"""Language-model scoring (operator 1): a causal self-attention model over subword ids, trained and run in numpy.
 
-A text is its lower-cased words and one end. A word is spelled in subword ids of a public byte-level
-vocabulary, of which the most frequent ones stay and the rest are spelled in bytes, so every word has
-a spelling. Two attention models with one architecture give its probability: one predicts the first
-subword of the next word from the words before, in overlapping windows that score each position once;
-one predicts the rest of a word and its end from the word's beginning, so it has to run once a distinct
-word. With it, the words' discounted frequencies in the whole training corpus are mixed; what the
-discount takes goes to the attention model, so the mixture is a probability again.
+A text is its lower-cased words, each spelled in subword ids that begin with a space, and one end id. The
+ids are the most frequent subwords of a public byte-level vocabulary, all others being spelled in bytes,
+so every word has exactly one spelling. The model reads the ids of a whole text in overlapping windows and
+scores each id once, from the ids before it in the window; a text's score is the sum over its ids.
 
-Both models learn from all training texts: in each of a few rounds every task trains on its own blocks from
-the round's parameters, and the tasks' parameters are averaged by the number of targets they have seen.
+One model is trained, on every id of every training text: in a few rounds each task trains on its blocks'
+share of documents from the round's parameters, and the tasks' parameters are averaged by their numbers
+of targets. The output biases begin as the subword counts of the whole training corpus.
 
-Documents travel in blocks of a few MB. Word counts are exchanged between blocks as packed arrays of
-hashes and counts, each bucket of hashes summed up by one task; no word table is held anywhere.
+Documents travel in blocks of a few MB, as word codes with the spellings of a block's distinct words. Word
+counts are exchanged between blocks as packed arrays of hashes and counts, each bucket of hashes summed up
+by one task; no word table is held anywhere.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
+import base64
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlight.llm.bpe import Encoder, byte_characters, file_spec
 from gridlight.llm.common import held_out, table, written
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes of the model, of its training steps and of the blocks."""
+    """Sizes of the model, of its training and of the blocks."""
 
     size: int = 16  # of embeddings
-    window: int = 32  # positions that a window sees
-    stride: int = 24  # positions that it scores: the last ones
-    word_window: int = 12
-    word_stride: int = 8
+    hidden: int = 32  # units between attention and output
+    window: int = 32  # ids that a window sees
+    stride: int = 24  # ids that it scores: the last ones
     classes: int = 32  # of the two-level output; as many subwords in each
-    sample_words: int = 500_000  # words that a task trains on at once, about (whole texts); all are trained on, part after part
-    epochs: int = 5  # rounds over all training texts, each followed by an averaging
-    rate: float = 0.01
-    attention_share: float = 0.3  # weight of the attention model beside the corpus counts that back off to it
-    discount: float = 0.75  # taken from every corpus count, and given to the attention model
+    batch: int = 128  # windows a training step
+    rate: float = 0.015
+    rounds: int = 6  # of averaging, over which the documents of a pass are spread
+    least_targets: int = 3_000_000  # small corpora are passed over several times, until about so many ids are trained on
+    most_passes: int = 8
     block_bytes: int = 8_000_000
 
     @property
     def ids(self) -> int:
         return self.classes * self.classes
 
+    def passes(self, targets: int) -> int:
+        return min(self.most_passes, max(1, -(-self.least_targets // max(1, targets))))
 
-#: Reserved ids: a text's or word's begin and its end. Subwords follow.
-BEGIN, END, FIRST = 0, 1, 2
+
+#: Reserved ids: the end of a text, which also stands before its begin; from BYTES on the 256 bytes. Subwords follow.
+END, BYTES = 0, 1
 
 
 class Attention:
-    """One layer of causal self-attention with a two-level softmax; parameters are float32 arrays by name."""
-
-    def __init__(self, settings: Settings, window: int, stride: int, parameters: dict[str, np.ndarray] | None = None):
-        self.s, self.window, self.stride = settings, window, stride
-        self.moments, self.steps, self.seen_targets = None, 0, 0
-        d, c = settings.size, settings.classes
-        draw = lambda *shape: np.random.default_rng(len(shape) * 7 + shape[0]).normal(0, d**-0.5, shape).astype(np.float32)
-        self.p = parameters or {"e": draw(settings.ids, d), "q": draw(d, d), "k": draw(d, d), "v": 0.5 * draw(d, d), "near": np.zeros(window, np.float32), "c": 0.3 * draw(d, c), "cb": np.zeros(c, np.float32), "i": 0.3 * draw(c, d, c), "ib": np.zeros((c, c), np.float32)}
+    """One layer of causal self-attention with a two-level softmax; ``flat`` has all parameters, ``p`` views of it by name."""
+
+    def __init__(self, settings: Settings, flat: np.ndarray | None = None):
+        s, self.s = settings, settings
+        d, c = s.size, s.classes
+        shapes = {"e": (s.ids, d), "before": (s.ids, d), "v": (s.ids, d), "q": (d, d), "k": (d, d), "near": (s.window,), "m1": (d, s.hidden), "mb": (s.hidden,), "m2": (s.hidden, d), "c": (d, c), "cb": (c,), "i": (c, d, c), "ib": (c, c)}
+        ends = np.cumsum([0, *(int(np.prod(x)) for x in shapes.values())])
+        self.places = dict(zip(shapes, zip(ends[:-1].tolist(), ends[1:].tolist(), shapes.values())))
+        if flat is None:
+            rng, scale = np.random.default_rng(7), {"e": 0.5, "before": 0.3, "v": 0.5, "q": 1.0, "k": 1.0, "m1": 1.0, "m2": 0.1, "c": 0.3, "i": 0.3}
+            flat = np.concatenate([(scale.get(k, 0.0) * rng.normal(0, d**-0.5, (high - low))).astype(np.float32) for k, (low, high, _) in self.places.items()])
+        self.flat, self.p = flat, self.views(flat)
+        self.moments, self.steps, self.trained = None, 0, 0
+        back = np.arange(s.window - s.stride, s.window)[:, None] - np.arange(s.window)
+        self.back, self.seen = np.clip(back, 0, None), back >= 0
+        self.ones = np.ones(max(c, s.window), np.float32)
         self.prepare()
 
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: flat[low:high].reshape(shape) for k, (low, high, shape) in self.places.items()}
+
     def prepare(self) -> None:
-        """Tables of what an id contributes as query, key and value, and the causal mask with its distance biases."""
+        """What each id contributes as query and key, and the causal mask with its distance weights."""
         p = self.p
-        self.tables = p["e"] @ p["q"] / np.float32(self.s.size**0.5), p["e"] @ p["k"], p["e"] @ p["v"]
-        back = np.arange(self.window - self.stride, self.window)[:, None] - np.arange(self.window)
-        self.back, self.seen = np.clip(back, 0, None), back >= 0
-        self.mask = np.where(self.seen, p["near"][self.back], np.float32(-1e9)).astype(np.float32)
+        self.queries, self.keys = p["e"] @ (p["q"] / np.float32(self.s.size**0.5)), p["e"] @ p["k"]
+        self.mask = np.where(self.seen, np.exp(p["near"][self.back]), np.float32(0)).astype(np.float32)
+
+    def begin(self, counts: np.ndarray) -> None:
+        """Sets the output biases to the log frequencies of the ids."""
+        c = self.s.classes
+        seen = counts.reshape(c, c) + 0.1
+        self.p["cb"][:] = np.log(seen.sum(1) / seen.sum())
+        self.p["ib"][:] = np.log(seen / seen.sum(1, keepdims=True))
 
     def attend(self, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Hidden states of the last ``stride`` positions of windows (n, window), and what the gradient needs."""
-        q_table, k_table, v_table = self.tables
-        last = ids[:, -self.stride :]
-        q, k, v = q_table[last], k_table[ids], v_table[ids]
+        """Hidden states (n * stride, size) of the last ``stride`` positions of windows (n, window), and what the gradient needs."""
+        p, s = self.p, self.s
+        last, before = np.ascontiguousarray(ids[:, -s.stride :]), np.ascontiguousarray(np.pad(ids, ((0, 0), (1, 0)))[:, -s.stride - 1 : -1])
+        q, k, v = self.queries.take(last, 0), self.keys.take(ids, 0), p["v"].take(ids, 0)
         a = q @ k.transpose(0, 2, 1)
-        a += self.mask
-        a -= a.max(2, keepdims=True)
+        if not np.abs(a, out=np.empty_like(a)).max(initial=0) < 60:  # else exp() could overflow; a shift of a row changes nothing
+            a -= a.max(2, keepdims=True)
+            np.maximum(a, -60, out=a)
         np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        return a @ v + self.p["e"][last], (q, k, v, a)
+        a *= self.mask
+        a /= (a.reshape(-1, s.window) @ self.ones[: s.window]).reshape(len(ids), s.stride, 1)
+        mixed = a @ v
+        h = mixed + p["e"].take(last, 0)
+        h += p["before"].take(before, 0)
+        h = h.reshape(-1, s.size)
+        z = h @ p["m1"]
+        z += p["mb"]
+        np.maximum(z, 0, out=z)
+        return h + z @ p["m2"], (last, before, q, k, v, a, mixed, h, z)
+
+    def _level(self, x: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probability of column ``right`` of each row, probabilities) for logits ``x``, which are overwritten."""
+        rows, ones = np.arange(len(x)), self.ones[: x.shape[1]]
+        logs = x[rows, right]
+        high = np.abs(x, out=np.empty_like(x)).max(initial=0)
+        if not high < 60:
+            top = x.max(1)
+            x -= top[:, None]
+            logs -= top
+        np.exp(x, out=x)
+        total = x @ ones
+        logs -= np.log(total)
+        return logs, total
 
     def log_probabilities(self, hidden: np.ndarray, targets: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of ``targets`` (n) from ``hidden`` (n, size); with ``gradient``, adds to it and gives d(-sum)/d(hidden)."""
         p, c = self.p, self.s.classes
-        which, inner = np.divmod(targets, c)
-        order = np.argsort(which, kind="stable")
-        h, which, inner = hidden[order], which[order], inner[order]
+        which, inner = np.divmod(targets, np.int16(c))
+        order = np.argsort(which.astype(np.uint16), kind="stable")
+        h, which, inner = hidden.take(order, 0), which.take(order), inner.take(order)
         rows = np.arange(len(h))
-
-        def level(x: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            x -= x.max(1, keepdims=True)
-            picked = x[np.arange(len(x)), right]
-            np.exp(x, out=x)
-            total = x.sum(1)
-            return picked - np.log(total), total
-
-        x = h @ p["c"] + p["cb"]
-        out, total = level(x, which)
+        x = h @ p["c"]
+        x += p["cb"]
+        out, total = self._level(x, which)
         back = None
         if gradient is not None:
             x /= total[:, None]
@@ -115,323 +151,250 @@ class Attention:
             back = x @ p["c"].T
             gradient["c"] += h.T @ x
             gradient["cb"] += x.sum(0)
-        ends = np.searchsorted(which, np.arange(c + 1))
-        for j in range(c):
-            low, high = ends[j], ends[j + 1]
+        ends = np.searchsorted(which, np.arange(c + 1)).tolist()
+        for j, (low, high) in enumerate(zip(ends[:-1], ends[1:])):
             if low == high:
                 continue
-            x = h[low:high] @ p["i"][j] + p["ib"][j]
-            more, total = level(x, inner[low:high])
+            part, right = h[low:high], inner[low:high]
+            x = part @ p["i"][j]
+            x += p["ib"][j]
+            more, total = self._level(x, right)
             out[low:high] += more
             if gradient is not None:
                 x /= total[:, None]
-                x[np.arange(high - low), inner[low:high]] -= 1
+                x[rows[: high - low], right] -= 1
                 back[low:high] += x @ p["i"][j].T
-                gradient["i"][j] += h[low:high].T @ x
+                gradient["i"][j] += part.T @ x
                 gradient["ib"][j] += x.sum(0)
-        back_first = np.empty_like(back) if back is not None else None
         result = np.empty_like(out)
         result[order] = out
         if back is not None:
-            back_first[order] = back
-        return result, back_first
-
-    def gradient(self, ids: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """(sum of -log p, gradient) over windows; a target below 0 is not scored."""
-        p, g = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}
-        hidden, (q, k, v, a) = self.attend(ids)
-        n, d = len(ids), self.s.size
-        scored = targets.reshape(-1) >= 0
-        logs, back = self.log_probabilities(hidden.reshape(-1, d)[scored], targets.reshape(-1)[scored], g)
-        dh = np.zeros((n * self.stride, d), np.float32)
-        dh[scored] = back
-        dh = dh.reshape(n, self.stride, d)
+            placed = np.empty_like(back)
+            placed[order] = back
+            back = placed
+        return result, back
+
+    def _by_id(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The sums of the rows of ``x`` by id."""
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        at = ids.take(order)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        out = np.zeros((self.s.ids, x.shape[1]), np.float32)
+        out[at[first]] = np.add.reduceat(x.take(order, 0), first, axis=0)
+        return out
+
+    def gradient(self, ids: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
+        """(sum of -log p, its gradient in the order of ``flat``) over windows; a target below 0 is not scored."""
+        p, s, n = self.p, self.s, len(ids)
+        out = np.zeros_like(self.flat)
+        g, d = self.views(out), s.size
+        hidden, (last, before, q, k, v, a, mixed, h, z) = self.attend(ids)
+        wanted = targets.reshape(-1)
+        scored = np.flatnonzero(wanted >= 0)
+        if len(scored) == len(wanted):
+            logs, dh = self.log_probabilities(hidden, wanted, g)
+        else:
+            logs, part = self.log_probabilities(hidden.take(scored, 0), wanted.take(scored), g)
+            dh = np.zeros_like(hidden)
+            dh[scored] = part
+        dz = dh @ p["m2"].T
+        dz *= z > 0
+        g["m2"] += z.T @ dh
+        g["m1"] += h.T @ dz
+        g["mb"] += dz.sum(0)
+        dh += dz @ p["m1"].T
+        g["before"] += self._by_id(before.reshape(-1), dh)
+        dh = dh.reshape(n, s.stride, d)
         dv = a.transpose(0, 2, 1) @ dh
         da = dh @ v.transpose(0, 2, 1)
-        da = a * (da - (a * da).sum(2, keepdims=True))
-        near = np.where(self.seen, da.sum(0), 0)
-        g["near"] += np.bincount(self.back[self.seen], near[self.seen], self.window).astype(np.float32)
-        dq, dk = da @ k / np.float32(d**0.5), da.transpose(0, 2, 1) @ q
-        last = ids[:, -self.stride :].reshape(-1)
-        x, x_last = p["e"][ids.reshape(-1)], p["e"][last]
-        dq, dk, dv, dh = (y.reshape(-1, d) for y in (dq, dk, dv, dh))
-        g["q"] += x_last.T @ dq
-        g["k"] += x.T @ dk
-        g["v"] += x.T @ dv
-        np.add.at(g["e"], last, dq @ p["q"].T + dh)
-        np.add.at(g["e"], ids.reshape(-1), dk @ p["k"].T + dv @ p["v"].T)
-        return -float(logs.sum()), g
-
-    def begin(self, targets: np.ndarray) -> None:
-        """Sets the output biases to the frequencies of ``targets``."""
-        c = self.s.classes
-        seen = np.bincount(targets[targets >= 0].reshape(-1), minlength=self.s.ids).reshape(c, c) + 0.1
-        self.p["cb"], self.p["ib"] = np.log(seen.sum(1) / seen.sum()).astype(np.float32), np.log(seen / seen.sum(1, keepdims=True)).astype(np.float32)
-
-    def train(self, ids: np.ndarray, targets: np.ndarray, rate: float, batch: int = 48) -> None:
-        """One pass of Adam over shuffled windows; its moments go on from the pass before."""
+        da -= np.einsum("nsd,nsd->ns", dh, mixed)[:, :, None]
+        da *= a
+        near = da.sum(0)
+        g["near"] += np.bincount(self.back[self.seen], near[self.seen], s.window).astype(np.float32)
+        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+        dq /= np.float32(d**0.5)
+        at_last = self._by_id(last.reshape(-1), np.concatenate([dq, dh], 2).reshape(-1, 2 * d))
+        at_all = self._by_id(ids.reshape(-1), np.concatenate([dk, dv], 2).reshape(-1, 2 * d))
+        g["q"] += p["e"].T @ at_last[:, :d]
+        g["k"] += p["e"].T @ at_all[:, :d]
+        g["v"] += at_all[:, d:]
+        g["e"] += at_last[:, :d] @ p["q"].T + at_last[:, d:] + at_all[:, :d] @ p["k"].T
+        return -float(logs.sum()), out
+
+    def train(self, ids: np.ndarray, targets: np.ndarray, rate: float) -> None:
+        """One pass of Adam over windows in a shuffled order; its moments go on from the call before."""
         if self.moments is None:
-            self.moments = tuple({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+            self.moments = np.zeros_like(self.flat), np.zeros_like(self.flat)
         first, second = self.moments
-        for at in np.array_split(np.random.default_rng(1 + self.steps).permutation(len(ids)), max(1, -(-len(ids) // batch))):
-            n = int((targets[at] >= 0).sum())
+        order = np.random.default_rng(self.steps).permutation(len(ids))
+        for at in np.array_split(order, max(1, round(len(ids) / self.s.batch))):
+            wanted = targets[at]
+            n = int((wanted >= 0).sum())
             if not n:
                 continue
+            _, g = self.gradient(ids[at], wanted)
+            g /= n
+            self.steps, self.trained = self.steps + 1, self.trained + n
+            first += np.float32(0.1) * (g - first)
+            g *= g
+            second += np.float32(0.01) * (g - second)
+            step = np.sqrt(second * np.float32(1 / (1 - 0.99**self.steps)))
+            step += np.float32(1e-8)
+            np.divide(first, step, out=step)
+            step *= np.float32(rate * min(1, self.steps / 20) / (1 - 0.9**self.steps))
+            self.flat -= step
             self.prepare()
-            _, g = self.gradient(ids[at], targets[at])
-            self.steps, self.seen_targets = self.steps + 1, self.seen_targets + n
-            for k, x in g.items():
-                x /= n
-                first[k] += 0.1 * (x - first[k])
-                second[k] += 0.01 * (x * x - second[k])
-                self.p[k] -= (rate * first[k] / (1 - 0.9**self.steps) / (np.sqrt(second[k] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
-        self.prepare()
 
-    def score(self, sequences: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log-probability of every element of the sequences laid end to end, each followed by END and seen from BEGIN on.
-
-        A sequence of n elements gives n + 1 values. Windows overlap by ``window - stride`` positions
-        and each position is scored by one window only, in batches of bounded size.
-        """
-        padded, targets, _ = windows_of(sequences, lengths, self.window, self.stride)
-        values = np.empty(targets.shape, np.float32)
-        for at in range(0, len(padded), 512):
-            hidden, _ = self.attend(padded[at : at + 512])
-            want = targets[at : at + 512]
-            scored = want.reshape(-1) >= 0
-            part = np.zeros(want.size, np.float32)
-            part[scored] = self.log_probabilities(hidden.reshape(-1, self.s.size)[scored], want.reshape(-1)[scored])[0]
-            values[at : at + 512] = part.reshape(want.shape)
-        return values.reshape(-1)[targets.reshape(-1) >= 0]
-
-
-def windows_of(sequences: np.ndarray, lengths: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows of ids, their targets or -1, windows a sequence): inputs are BEGIN and the elements, targets the elements and END."""
-    count = -(-(lengths + 1) // stride)
+    def score(self, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each target of the windows, 0 for those below 0, in batches of bounded size."""
+        values = np.zeros(targets.shape, np.float32)
+        for at in range(0, len(ids), self.s.batch):
+            hidden, _ = self.attend(ids[at : at + self.s.batch])
+            wanted = targets[at : at + self.s.batch].reshape(-1)
+            scored = np.flatnonzero(wanted >= 0)
+            part = np.zeros(len(wanted), np.float32)
+            part[scored] = self.log_probabilities(hidden.take(scored, 0), wanted.take(scored))[0]
+            values[at : at + self.s.batch] = part.reshape(-1, self.s.stride)
+        return values
+
+
+def windows_of(sequence: np.ndarray, lengths: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of ids, their targets or -1) of texts laid end to end, each with its END: a window's targets follow its last ``stride`` ids."""
+    count = -(-lengths // stride)
     lead, sizes = window - stride, (window - stride) + count * stride
     starts, total = np.cumsum(sizes) - sizes, int(sizes.sum())
-    inputs, wanted = np.zeros(total, np.int16), np.full(total, -1, np.int16)
-    element = np.repeat(starts + lead - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(sequences))
-    inputs[element + 1] = sequences
-    wanted[element] = sequences
-    wanted[starts + lead + lengths] = END
+    inputs, wanted = np.full(total + 1, END, np.int16), np.full(total, -1, np.int16)
+    place = np.repeat(starts + lead - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(sequence))
+    inputs[place + 1] = sequence
+    inputs[starts + lead] = END  # in place of the id that the text before may have put there
+    wanted[place] = sequence
     first = np.repeat(starts - stride * (np.cumsum(count) - count), count) + stride * np.arange(int(count.sum()))
-    place = first[:, None] + np.arange(window)
-    return inputs[place], wanted[place[:, lead:]], count
-
-
-def _known(encoder: Encoder, words: list[bytes]) -> list[str]:
-    """``words`` as texts, whose pieces the encoder then has."""
-    texts = [w.decode("utf-8", "replace") for w in words]
-    missing = [t for t in texts if t not in encoder.pieces]
-    for at in range(0, len(missing), 2000):
-        part = missing[at : at + 2000]
-        if any(c.isspace() for t in part for c in t):
-            for t in part:
-                encoder.pieces[t] = encoder.whole(" " + t)
-        else:
-            encoder._learn(part)
-    return texts
-
-
-class Spelling:
-    """Words as ids: the frequent subwords, each under its rank, and bytes for all others."""
-
-    def __init__(self, spec: str, subwords: list[int], settings: Settings):
-        self.encoder, self.s = Encoder.of(spec), settings
-        name = {v: k for k, v in self.encoder.tokenizer.get_vocab().items()}
-        byte_of = {c: b for b, c in enumerate(byte_characters())}
-        bytes_at = {b: FIRST + b for b in range(256)}
-        rank = {i: FIRST + 256 + k for k, i in enumerate(subwords[: settings.ids - FIRST - 256])}
-        self.ids = [[rank[i]] if i in rank else [bytes_at[byte_of[c]] for c in name.get(i, "") if c in byte_of] for i in range(max(name) + 1)]
-
-    def spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in a row, number of each); every word has at least one."""
-        texts = _known(self.encoder, words)
-        ids, of = self.ids, self.encoder.ids
-        flat: list[int] = []
-        lengths = np.empty(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            n = len(flat)
-            for i in of(self.encoder.pieces[t]).tolist():
-                flat += ids[i]
-            lengths[k] = len(flat) - n
-        if len(self.encoder.pieces) > 400_000:
-            self.encoder.pieces.clear()
-        return np.array(flat, np.int16), lengths
-
-
-def subword_counts(texts: list[bytes], encoder: Encoder) -> np.ndarray:
-    """How often each id of the encoder stands in the words of ``texts``; the last element is the number of words."""
-    counts = Counter(w for t in texts for w in t.lower().split())
-    out = np.zeros(max(encoder.tokenizer.get_vocab().values()) + 2)
-    for t, n in zip(_known(encoder, list(counts)), counts.values()):
-        np.add.at(out, encoder.ids(encoder.pieces[t]), n)
-    out[-1] = counts.total()
-    if len(encoder.pieces) > 400_000:
-        encoder.pieces.clear()
-    return out
-
-
-def parts_of(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
-    """``texts`` in order, in parts of about ``most`` words; a longer text is a part of its own."""
-    part, words = [], 0
-    for t in texts:
-        n = len(t.split())
-        if part and words + n > most:
-            yield part
-            part, words = [], 0
-        part.append(t)
-        words += n
-    if part:
-        yield part
-
-
-def learn(between: Attention, within: Attention, texts: list[bytes], spelling: Spelling, rate: float, fresh: bool) -> None:
-    """One pass of both models over ``texts``; ``fresh`` ones get their output biases from them first."""
-    settings = between.s
-    counts = Counter(w for t in texts for w in t.lower().split())
-    words = list(counts)
-    ids, lengths = spelling.spell(words)
-    starts = np.cumsum(lengths) - lengths
-    number = {w: k for k, w in enumerate(words)}
-    codes = [np.fromiter((number[w] for w in t.lower().split()), np.int64) for t in texts]
-    inputs, wanted, _ = windows_of(ids[starts[np.concatenate(codes)]], np.array([len(c) for c in codes]), settings.window, settings.stride)
-    if fresh and not between.steps:
-        between.begin(wanted)
-    between.train(inputs, wanted, rate)
+    at = first[:, None] + np.arange(window)
+    return inputs[at], wanted[at[:, lead:]]
+
+
+def rank_file(path: str | None = None) -> list[tuple[bytes, int]]:
+    """(bytes, rank) of a rank file; by default the 50k vocabulary for many languages."""
+    with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
+
+
+@lru_cache(1)
+def _encoding(path: str | None) -> tuple[tiktoken.Encoding, list[bytes], np.ndarray]:
+    """(encoder of words with a space before each, the bytes of every rank, whether they begin with a space)."""
+    ranks = dict(rank_file(path))
+    names = [b""] * (max(ranks.values()) + 1)
+    for name, rank in ranks.items():
+        names[rank] = name
+    return tiktoken.Encoding("words", pat_str=" ?[^ ]+", mergeable_ranks=ranks, special_tokens={}), names, np.array([n[:1] == b" " for n in names])
+
+
+def spell(words: list[bytes], path: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks of all words in a row, number of each); every word begins with a rank that begins with a space, and no other does."""
+    encoder, _, begins = _encoding(path)
     if not words:
-        return
-    # a word counts in proportion to the root of its frequency, so that rare spellings are learnt
-    times = np.ceil(np.sqrt(np.array([counts[w] for w in words]))).astype(np.int64)
-    again = np.repeat(np.arange(len(words)), np.minimum(times, 40))
-    place = np.repeat(starts[again] - (np.cumsum(lengths[again]) - lengths[again]), lengths[again]) + np.arange(int(lengths[again].sum()))
-    inputs, wanted, count = windows_of(ids[place], lengths[again], settings.word_window, settings.word_stride)
-    wanted[np.cumsum(count) - count, 0] = -1  # the first subword is the other model's
-    if fresh and not within.steps:
-        within.begin(wanted)
-    within.train(inputs, wanted, rate, 192)
-
-
-class Scorer:
-    """Scores blocks of texts; remembers words that it has met."""
-
-    KEPT = 500_000
-    _last: tuple[bytes, Scorer] | None = None
-
-    @classmethod
-    def of(cls, model: dict, spec: str, settings: Settings) -> Scorer:
-        """The worker's scorer of this model, so that the next block finds the words it has met."""
-        key = hashlib.sha1(b"".join(x.tobytes() for m in ("between", "within") for x in model[m].values())).digest()
-        if cls._last is None or cls._last[0] != key:
-            cls._last = key, cls(model, spec, settings)
-        return cls._last[1]
-
-    def __init__(self, model: dict, spec: str, settings: Settings):
-        self.s, self.spelling = settings, Spelling(spec, model["subwords"], settings)
-        self.between = Attention(settings, settings.window, settings.stride, model["between"])
-        self.within = Attention(settings, settings.word_window, settings.word_stride, model["within"])
-        self.known: dict[bytes, int] = {}
-        self.first, self.rest = np.zeros(0, np.int16), np.zeros(0, np.float64)
-
-    def words(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(first ids, natural log-probabilities of the rest and the end) of words."""
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-            self.first, self.rest = np.zeros(0, np.int16), np.zeros(0, np.float64)
-        new = [w for w in distinct if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids, lengths = self.spelling.spell(part)
-            values = self.within.score(ids, lengths)
-            starts = np.cumsum(lengths + 1) - lengths - 1
-            rest = np.add.reduceat(values.astype(np.float64), starts) - values[starts]
-            n = len(self.first)
-            self.known.update(zip(part, range(n, n + len(part))))
-            self.first, self.rest = np.concatenate([self.first, ids[np.cumsum(lengths) - lengths]]), np.concatenate([self.rest, rest])
-        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        return self.first[at], self.rest[at]
-
-    def texts(self, codes: np.ndarray, lengths: np.ndarray, distinct: list[bytes], counts: np.ndarray, ends_seen: int, tokens: int, kinds: int) -> np.ndarray:
-        """log10 probabilities of texts, given as codes into ``distinct``; ``counts`` has the words' numbers in training, of ``tokens`` of ``kinds``."""
-        first, rest = self.words(distinct)
-        s = self.s
-        share = (1 - s.attention_share) * np.maximum(counts - s.discount, 0) / max(1, tokens)
-        end_share = (1 - s.attention_share) * max(ends_seen - s.discount, 0) / max(1, tokens)
-        out, a = np.zeros(len(lengths)), s.attention_share + (1 - s.attention_share) * (s.discount * kinds / tokens if tokens else 1.0)
-        bounds = np.cumsum(lengths)
-        group = np.searchsorted(bounds, np.arange(0, int(bounds[-1]) + 1, 200_000) if len(bounds) else [])
-        cuts = np.unique(np.append(group, len(lengths)))
-        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            part = codes[bounds[low] - lengths[low] : bounds[high - 1]]
-            n = lengths[low:high]
-            value = self.between.score(first[part], n).astype(np.float64)
-            ends = np.cumsum(n + 1) - 1
-            body = np.ones(len(value), bool)
-            body[ends] = False
-            value[body] += rest[part]
-            frequency = np.empty(len(value))
-            frequency[body], frequency[ends] = share[part], end_share
-            out[low:high] = np.add.reduceat(np.log10(a * np.exp(np.maximum(value, -600)) + frequency), ends - n)
-        return out
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    parts = []
+    for at in range(0, len(words), 20_000):
+        parts.append(encoder.encode_to_numpy(" " + b" ".join(words[at : at + 20_000]).decode("utf-8", "replace"), disallowed_special=()).astype(np.uint16))
+    ranks = np.concatenate(parts)
+    starts = np.flatnonzero(begins[ranks])
+    return ranks, np.diff(np.append(starts, len(ranks)))
+
+
+class Ids:
+    """The model's ids of ranks: the kept ranks have an id each, all others are spelled in bytes."""
+
+    def __init__(self, kept: list[int], names: list[bytes]):
+        number = {rank: BYTES + 256 + k for k, rank in enumerate(kept)}
+        spelled = [[number[r]] if r in number else [BYTES + b for b in name] for r, name in enumerate(names)]
+        self.sizes = np.array([len(x) for x in spelled], np.int32)
+        self.starts, self.ids = np.cumsum(self.sizes) - self.sizes, np.array([i for x in spelled for i in x], np.int16)
 
+    def of(self, ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words in a row, number of each) for their ``ranks`` in a row, of which each word has ``sizes``."""
+        if not len(ranks):
+            return np.zeros(0, np.int16), np.zeros(0, np.int64)
+        each = self.sizes[ranks]
+        return laid(self.ids, self.starts[ranks], each), np.add.reduceat(each, np.cumsum(sizes) - sizes).astype(np.int64)
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
+def laid(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` from ``starts``, of ``sizes``, one after another."""
+    return values.take(np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())))
 
-def _in_buckets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _pack(x: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+
+
+def _unpack(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+def _buckets_of(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(order by bucket and hash, ends of the buckets in it)."""
     bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
     order = np.lexsort((hashes, bucket))
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _unpack(packed: bytes, sizes: np.ndarray) -> list[bytes]:
-    data, ends = zstandard.ZstdDecompressor().decompress(packed), np.cumsum(sizes).tolist()
-    return [data[e - n : e] for e, n in zip(ends, sizes.tolist())]
+BLOCK = "kind int, block string, bucket int, ids binary, marks binary, lengths binary, codes binary, ranks binary, sizes binary, seen binary, hashes binary, counts binary"
 
 
-def blocks(docs: DataFrame, buckets: int, settings: Settings) -> DataFrame:
+def blocks(docs: DataFrame, buckets: int, path: str | None, settings: Settings) -> DataFrame:
     """``docs`` (doc_id, held, text) as blocks, written once.
 
-    A block's row of kind 0 has its ids, marks, sizes and compressed texts; rows of kind 1 have, for each
-    bucket of word hashes, its distinct words' hashes in order and their counts in training texts.
+    A block's row of kind 0 has its ids, marks (1: held out, 2: null id), numbers of tokens, codes of the
+    tokens (0: end), spellings of the distinct words in ranks, and numbers of each rank in its training
+    texts. Rows of kind 1 have, for each bucket of word hashes, the places of its distinct words by hash
+    order and their counts in training texts.
     """
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.string()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-
-    def rows(ids: list, marks: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        name = hashlib.sha1(b"".join(hashlib.sha1(b"%d" % i + t).digest() for i, t in zip(ids, texts))).hexdigest()
-        sizes = np.array([len(t) for t in texts], "<i8").tobytes()
-        packed = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-        counts: Counter = Counter()
-        for t, mark in zip(texts, marks):
-            if mark:
-                counts.update(dict.fromkeys(t.lower().split(), 0))
-            else:
-                counts.update(t.lower().split())
-        hashes, number = _hashes(list(counts)), np.fromiter(counts.values(), "<i8", len(counts))
-        order, ends = _in_buckets(hashes, buckets)
-        hashes, number = hashes[order], number[order]
-        out = [(0, name, -1, np.array(ids, "<i8").tobytes(), np.array(marks, bool).tobytes(), sizes, packed)]
-        out += [(1, name, k, hashes[b:e].tobytes(), number[b:e].tobytes(), None, None) for k, (b, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if e > b]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
+
+    def rows(name: str, ids: list, marks: list, texts: list[bytes]) -> Iterator[pd.DataFrame]:
+        number: defaultdict = defaultdict(itertools.count(1).__next__)
+        listed = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for words in (t.lower().split() for t in texts)]
+        lengths = np.array([len(x) + 1 for x in listed], np.int64)
+        codes = np.zeros(int(lengths.sum()), np.int32)
+        body = np.ones(len(codes), bool)
+        body[np.cumsum(lengths) - 1] = False
+        codes[body] = np.concatenate(listed)
+        words = list(number)
+        training = np.repeat((np.array(marks) & 1) == 0, lengths) & body
+        counts = np.bincount(codes[training], minlength=len(words) + 1)[1:]
+        ranks, sizes = spell(words, path)
+        seen = np.bincount(ranks, np.repeat(counts, sizes), len(_encoding(path)[1])).astype(np.int64)
+        unsorted = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        order, ends = _buckets_of(unsorted, buckets)
+        hashes, counts = unsorted[order], counts[order].astype("<i8")
+        out = [(0, name, -1, np.array(ids, "<i8").tobytes(), np.array(marks, np.uint8).tobytes(), lengths.tobytes(), _pack(codes), _pack(ranks), _pack(sizes.astype(np.int32)), _pack(seen), _pack(unsorted), None)]
+        out += [(1, name, k, *[None] * 7, hashes[low:high].tobytes(), counts[low:high].tobytes()) for k, (low, high) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if high > low]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in BLOCK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        schema = pa.schema([(n, {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[k]) for n, k in map(str.split, BLOCK.split(", "))])
+        made, task = itertools.count(), TaskContext.get().partitionId()
         ids, marks, texts, size = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for frame in rows(f"{task}-{next(made)}", ids, marks, texts):
+                yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
+
         for batch in batches:
-            for i, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-                ids.append(i)
-                marks.append(mark)
+            for i, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                ids.append(i or 0)
+                marks.append(bool(held) + 2 * (i is None))
                 texts.append(text or b"")
                 size += len(texts[-1])
                 if size >= settings.block_bytes or len(ids) >= 100_000:
-                    yield from rows(ids, marks, texts)
+                    yield from flush()
                     ids, marks, texts, size = [], [], [], 0
         if ids:
-            yield from rows(ids, marks, texts)
+            yield from flush()
 
-    return written(docs.mapInArrow(run, "kind int, block string, bucket int, a binary, b binary, c binary, d binary"), "blocks")
+    return written(docs.mapInArrow(run, BLOCK), "blocks")
 
 
 def word_counts(made: DataFrame) -> DataFrame:
@@ -442,142 +405,171 @@ def word_counts(made: DataFrame) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
-        hashes = [np.frombuffer(x, np.uint64) for x in rows["a"]]
-        number = np.concatenate([np.frombuffer(x, "<i8") for x in rows["b"]])
+        hashes = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+        number = np.concatenate([np.frombuffer(x, "<i8") for x in rows["counts"]])
         _, at = np.unique(np.concatenate(hashes), return_inverse=True)
         summed = np.bincount(at, number).astype("<i8")
         back, ends = summed[at], np.cumsum([len(h) for h in hashes]).tolist()
         first = [True] + [False] * (len(rows) - 1)
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "counts": [back[e - len(h) : e].tobytes() for e, h in zip(ends, hashes)], "total": [int(summed.sum()) if f else 0 for f in first], "distinct": [int((summed > 0).sum()) if f else 0 for f in first]})
 
-    return written(made.where("kind = 1").select("block", "bucket", "a", "b").groupBy("bucket").applyInPandas(run, "block string, bucket int, counts binary, total long, distinct long"), "counts")
+    return written(made.where("kind = 1").select("block", "bucket", "hashes", "counts").groupBy("bucket").applyInPandas(run, "block string, bucket int, counts binary, total long, distinct long"), "counts")
+
+
+VECTOR = pa.schema([("task", pa.int64()), ("v", pa.binary())])
+
 
+def _vector(x: np.ndarray) -> pa.RecordBatch:
+    from pyspark import TaskContext
 
-def _training_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The texts of each block (its marks, sizes and packed texts) that are not held out."""
-    for batch in batches:
-        for marks, sizes, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            texts = _unpack(packed, np.frombuffer(sizes, "<i8"))
-            if kept := [t for t, mark in zip(texts, np.frombuffer(marks, bool)) if not mark]:
-                yield kept
+    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([x.astype(float).tobytes()], pa.binary())], schema=VECTOR)
 
 
-def _total(rows: DataFrame, groups: int = 16) -> np.ndarray | None:
-    """The sum of packed vectors (task, v) of doubles, first in ``groups`` tasks, so that the driver adds up no more than these; None without rows."""
+def _total(rows: DataFrame, tasks: int, fan: int = 32) -> np.ndarray | None:
+    """The sum of packed vectors of doubles, a row (task, v) a task: ``fan`` at a time in tasks, until one is left; None without rows."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part, total = part.sort_values("task"), 0.0
         for v in part["v"]:
             total = total + np.frombuffer(v)
-        return pd.DataFrame({"task": [part["task"].iloc[0]], "v": [total.tobytes()]})
+        return pd.DataFrame({"task": [int(part["task"].iloc[0]) // fan], "v": [total.tobytes()]})
 
-    found = rows.groupBy(F.pmod("task", F.lit(groups)).alias("g")).applyInPandas(run, "task int, v binary").collect()
-    return sum(np.frombuffer(bytes(r.v)) for r in sorted(found, key=lambda r: r.task)) if found else None
+    while True:
+        rows, tasks = rows.groupBy(F.floor(F.col("task") / fan).alias("g")).applyInPandas(run, "task long, v binary"), -(-tasks // fan)
+        if tasks <= 1:
+            found = rows.first()
+            return np.frombuffer(bytes(found.v)) if found else None
 
 
-def fit(made: DataFrame, spec: str, settings: Settings = Settings()) -> dict:
-    """The subwords kept and the parameters of both models, from all training texts of the blocks ``made``.
+class Block:
+    """A block's tokens as the model's ids."""
 
-    Subwords are counted over all of them. In each of ``epochs`` rounds a task trains on every training
-    text of its blocks, beginning with the round's parameters; the averages of what the tasks come to,
-    weighted by their numbers of targets, are the next round's.
-    """
-    texts = made.where("kind = 0").select("b", "c", "d")
-    spark, schema = made.sparkSession, pa.schema([("task", pa.int32()), ("v", pa.binary())])
-    models = lambda p: (Attention(settings, settings.window, settings.stride, p and p[0]), Attention(settings, settings.word_window, settings.word_stride, p and p[1]))
+    def __init__(self, lengths: bytes, codes: bytes, ranks: bytes, sizes: bytes, ids: Ids):
+        self.lengths, self.codes = np.frombuffer(lengths, np.int64), _unpack(codes, np.int32)
+        flat, each = ids.of(_unpack(ranks, np.uint16), _unpack(sizes, np.int32))
+        self.flat, self.each = np.append(np.int16(END), flat), np.append(1, each)
+        self.starts = np.cumsum(self.each) - self.each
+        self.ends = np.cumsum(self.lengths)
 
-    def vector(x: np.ndarray) -> pa.RecordBatch:
-        from pyspark import TaskContext
+    def parts(self, docs: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(documents, ids in a row, number of each) for ``docs``, in parts of about ``most`` tokens; a longer text is one."""
+        if not len(docs):
+            return
+        sizes = self.lengths[docs]
+        group = np.cumsum(sizes) // most
+        for part in np.split(docs, np.flatnonzero(np.diff(group)) + 1):
+            n = self.lengths[part]
+            codes = laid(self.codes, self.ends[part] - n, n)
+            each = self.each[codes]
+            yield part, laid(self.flat, self.starts[codes], each), np.add.reduceat(each, np.cumsum(n) - n)
+
+
+def _place(n: int) -> np.ndarray:
+    """A fixed place in [0, 1) for each of n documents, evenly spread."""
+    return (np.arange(n, dtype=np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32)).astype(float) / (1 << 32)
+
+
+def fit(made: DataFrame, path: str | None, settings: Settings = Settings()) -> dict:
+    """{subwords, parameters, tokens}: the ranks kept and the model, from all training texts of the blocks ``made``.
 
-        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([x.tobytes()], pa.binary())], schema=schema)
+    Every pass trains on every id of every training text. A pass is spread over rounds; in a round a
+    task trains on its blocks' documents of that round, beginning with the round's parameters, and the
+    averages of what the tasks come to, weighted by their targets, are the next round's.
+    """
+    whole = made.where("kind = 0")
+    spark, tasks, names = made.sparkSession, whole.rdd.getNumPartitions(), _encoding(path)[1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, encoder = [], Encoder.of(spec)
-        for part in _training_texts(batches):
-            found = [sum(found) + subword_counts(part, encoder)]
-        yield from map(vector, found)
-
-    counted = _total(texts.mapInArrow(count, "task int, v binary"))
-    pieces = counted[:-1] if counted is not None else np.zeros(0)
-    order = np.lexsort((np.arange(len(pieces)), -pieces))
-    subwords = [int(i) for i in order if pieces[i] > 0][: settings.ids - FIRST - 256]
-    held: list[dict] = [m.p for m in models(None)]
-    for turn in range(settings.epochs):
-        sent = spark.sparkContext.broadcast((held, subwords))
-        rate = settings.rate * (1 - 0.9 * (turn + 0.5) / settings.epochs)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate, fresh=turn == 0) -> Iterator[pa.RecordBatch]:
-            parameters, subwords = sent.value
-            pair, spelling = models([{k: v.copy() for k, v in p.items()} for p in parameters]), None
-            for block in _training_texts(batches):
-                spelling = spelling or Spelling(spec, subwords, settings)
-                for part in parts_of(block, settings.sample_words):
-                    learn(*pair, part, spelling, rate, fresh)
-            if pair[0].steps:
-                yield vector(np.concatenate([np.append(m.seen_targets * np.concatenate([x.reshape(-1).astype(float) for x in m.p.values()]), m.seen_targets) for m in pair]))
-
-        total = _total(texts.mapInArrow(run, "task int, v binary"))
+        found = None
+        for batch in batches:
+            for seen, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                more = np.append(_unpack(seen, np.int64), ((np.frombuffer(marks, np.uint8) & 1) == 0).sum())
+                found = more if found is None else found + more
+        if found is not None:
+            yield _vector(found)
+
+    counted = _total(whole.select("seen", "marks").mapInArrow(count, "task long, v binary"), tasks)
+    seen, texts = (counted[:-1], counted[-1]) if counted is not None else (np.zeros(len(names)), 0)
+    order = np.lexsort((np.arange(len(seen)), -seen))
+    kept = [int(r) for r in order if seen[r] > 0][: settings.ids - BYTES - 256]
+    model, ids = Attention(settings), Ids(kept, names)
+    frequency = np.bincount(ids.ids, np.repeat(seen, ids.sizes), settings.ids)
+    frequency[END] += texts
+    if not texts:
+        return {"subwords": kept, "parameters": model.flat, "tokens": 0}
+    model.begin(frequency)
+    flat, passes = model.flat, settings.passes(int(frequency.sum()))
+    rounds = max(settings.rounds, passes)
+    for turn in range(rounds):
+        sent = spark.sparkContext.broadcast((flat, kept))
+        span, rate = (turn * passes / rounds, (turn + 1) * passes / rounds), settings.rate * (1 - turn / rounds)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, span=span, rate=rate) -> Iterator[pa.RecordBatch]:
+            flat, kept = sent.value
+            model, ids = Attention(settings, flat.copy()), Ids(kept, _encoding(path)[1])
+            for batch in batches:
+                for marks, *block in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                    marks = np.frombuffer(marks, np.uint8)
+                    at = _place(len(marks))
+                    for part in Block(*block, ids).parts(np.flatnonzero(((marks & 1) == 0) & (np.floor(span[1] - at) > np.floor(span[0] - at)))):
+                        model.train(*windows_of(*part[1:], settings.window, settings.stride), rate)
+            if model.trained:
+                yield _vector(np.append(model.flat.astype(float) * model.trained, model.trained))
+
+        total = _total(whole.select("marks", "lengths", "codes", "ranks", "sizes").mapInArrow(run, "task long, v binary"), tasks)
         sent.unpersist()
-        if total is None:
-            break
-        held, at = [{k: x for k, x in p.items()} for p in held], 0
-        for p in held:
-            size = sum(x.size for x in p.values())
-            weight, place = total[at + size], at
-            for k, x in p.items():
-                if weight:
-                    p[k] = (total[place : place + x.size] / weight).reshape(x.shape).astype(np.float32)
-                place += x.size
-            at += size + 1
-    return {"subwords": subwords, "between": held[0], "within": held[1], "words": int(counted[-1]) if counted is not None else 0}
-
-
-def score(docs: DataFrame, spec: str | None = None, settings: Settings = Settings()) -> DataFrame:
+        if total is not None:
+            flat = (total[:-1] / total[-1]).astype(np.float32)
+    return {"subwords": kept, "parameters": flat, "tokens": int(frequency.sum())}
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score(docs: DataFrame, path: str | None = None, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (doc_id, held, text).
 
-    Every text is scored whole; a null text counts as empty and is its end alone. Rows with a null
-    doc_id are left out. Without training texts all words are unknown and N is 0.
+    Every row is scored, and its text whole; a null text counts as empty and is its end alone, a null
+    doc_id stays null. Without training texts all words are unknown, N is 0 and the model stays as it
+    begins. An empty table gives no rows.
     """
-    spec = spec or file_spec()
-    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "held", F.col("text").cast("string"))
+    plain = docs.select(F.col("doc_id").cast("long"), F.coalesce("held", F.lit(False)).alias("held"), F.col("text").cast("string"))
     ends, size = plain.agg(F.sum((~F.col("held")).cast("long")), F.sum(F.octet_length("text"))).first()
-    ends, buckets = ends or 0, max(8, -(-(size or 0) // settings.block_bytes))
-    made = blocks(plain, buckets, settings)
+    ends, buckets = ends or 0, max(8, -(-(size or 0) // (8 * settings.block_bytes)))
+    made = blocks(plain, buckets, path, settings)
     counts = word_counts(made)
     total, distinct = counts.agg(F.sum("total"), F.sum("distinct")).first()
     tokens, kinds = (total or 0) + ends, (distinct or 0) + (ends > 0)
-    held = docs.sparkSession.sparkContext.broadcast((fit(made, spec, settings), spec))
+    below = tokens + 0.5 * (kinds + 1)
+    held = docs.sparkSession.sparkContext.broadcast(fit(made, path, settings))
 
     def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        scorer = Scorer.of(*held.value, settings)
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        parts = []
-        for r in block.itertuples(index=False):
-            ids, marks, sizes = np.frombuffer(r.a, "<i8"), np.frombuffer(r.b, bool), np.frombuffer(r.c, "<i8")
-            listed = [t.lower().split() for t in _unpack(r.d, sizes)]
-            number: dict[bytes, int] = {}
-            for w in listed:
-                number.update(dict.fromkeys(w))
-            distinct_words = list(number)
-            number = dict(zip(distinct_words, range(len(distinct_words))))
-            lengths = np.array([len(w) for w in listed], np.int64)
-            codes = np.concatenate([np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in listed]) if listed else np.zeros(0, np.int64)
-            c = np.zeros(len(distinct_words), np.int64)
-            order, bounds = _in_buckets(_hashes(distinct_words), buckets)
-            for k, packed in zip(found["bucket"], found["counts"]):
-                c[order[bounds[k] : bounds[k + 1]]] = np.frombuffer(packed, "<i8")
-            below = tokens + 0.5 * (kinds + 1)
-            base, known = np.log10((c + 0.5) / below), c > 0
-            cut = np.concatenate([[0], np.cumsum(lengths)])
-            sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[codes])])[cut])
-            per_text = np.array([base[codes[b:e]].sum() for b, e in zip(cut[:-1].tolist(), cut[1:].tolist())])
-            value = scorer.texts(codes, lengths, distinct_words, c, ends, tokens, kinds)
-            parts.append(pd.DataFrame(dict(zip(names, (ids, marks, lengths + 1, sums(known.astype(np.int64)) + (ends > 0), np.full(len(ids), tokens), per_text + np.log10((ends + 0.5) / below), value)))))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=names)
-
-    texts = made.where("kind = 0").select("block", "a", "b", "c", "d")
+        if not len(block):
+            return pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
+        r, model = block.iloc[0], Attention(settings, held.value["parameters"])
+        texts = Block(r["lengths"], r["codes"], r["ranks"], r["sizes"], Ids(held.value["subwords"], _encoding(path)[1]))
+        # the counts of the block's words, in the order of their codes: the block's hash order is found again from its buckets
+        c = np.zeros(len(texts.each), np.int64)
+        c[0] = ends
+        order, bounds = _buckets_of(_unpack(r["hashes"], np.uint64), buckets)
+        for k, packed in zip(found["bucket"], found["counts"]):
+            c[1 + order[bounds[k] : bounds[k + 1]]] = np.frombuffer(packed, "<i8")
+        base, known, n, marks = np.log10((c + 0.5) / below), (c > 0).astype(np.int64), texts.lengths, np.frombuffer(r["marks"], np.uint8)
+        value = np.zeros(len(n))
+        for part, ids, each in texts.parts(np.arange(len(n))):
+            windows, wanted = windows_of(ids, each, settings.window, settings.stride)
+            logs = model.score(windows, wanted).astype(np.float64).sum(1)
+            count = -(-each // settings.stride)
+            value[part] = np.add.reduceat(logs, np.cumsum(count) - count) / np.log(10)
+        starts, ids = texts.ends - n, np.frombuffer(r["ids"], "<i8")
+        return pd.DataFrame({
+            "doc_id": pd.array(ids, "Int64") if not (marks & 2).any() else pd.arrays.IntegerArray(ids.copy(), (marks & 2) > 0), "held_out": (marks & 1) > 0, "n_tokens": n, "n_known": np.add.reduceat(known[texts.codes], starts),
+            "train_tokens": np.full(len(n), tokens), "base_score": np.add.reduceat(base[texts.codes], starts), "score": value,
+        })
+
+    texts = made.where("kind = 0").select("block", "ids", "marks", "lengths", "codes", "ranks", "sizes", "hashes")
     both = texts.groupBy("block").cogroup(counts.select("block", "bucket", "counts").groupBy("block"))
-    return both.applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.applyInPandas(run, RESULT)
 
 
 def op1_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
