@@ -40,15 +40,15 @@ from gridlight.llm.common import held_out, table, written
 class Settings:
     """Sizes of the model, of its training and of the blocks."""
 
-    size: int = 16  # of embeddings
+    size: int = 24  # of embeddings
     hidden: int = 32  # units between attention and output
     window: int = 32  # ids that a window sees
     stride: int = 24  # ids that it scores: the last ones
     classes: int = 32  # of the two-level output; as many subwords in each
     batch: int = 128  # windows a training step
-    rate: float = 0.015
+    rate: float = 0.03
     rounds: int = 6  # of averaging, over which the documents of a pass are spread
-    least_targets: int = 3_000_000  # small corpora are passed over several times, until about so many ids are trained on
+    least_targets: int = 6_000_000  # small corpora are passed over several times, until about so many ids are trained on
     most_passes: int = 8
     block_bytes: int = 8_000_000
 
@@ -67,8 +67,9 @@ END, BYTES = 0, 1
 class Attention:
     """One layer of causal self-attention with a two-level softmax; ``flat`` has all parameters, ``p`` views of it by name."""
 
-    def __init__(self, settings: Settings, flat: np.ndarray | None = None):
+    def __init__(self, settings: Settings, flat: np.ndarray | None = None, slots: np.ndarray | None = None):
         s, self.s = settings, settings
+        self.slots = np.arange(s.ids, dtype=np.int32) if slots is None else slots  # of ids at the output: class * classes + place in the class
         d, c = s.size, s.classes
         shapes = {"e": (s.ids, d), "before": (s.ids, d), "v": (s.ids, d), "q": (d, d), "k": (d, d), "near": (s.window,), "m1": (d, s.hidden), "mb": (s.hidden,), "m2": (s.hidden, d), "c": (d, c), "cb": (c,), "i": (c, d, c), "ib": (c, c)}
         ends = np.cumsum([0, *(int(np.prod(x)) for x in shapes.values())])
@@ -95,15 +96,17 @@ class Attention:
     def begin(self, counts: np.ndarray) -> None:
         """Sets the output biases to the log frequencies of the ids."""
         c = self.s.classes
-        seen = counts.reshape(c, c) + 0.1
+        seen = np.empty(self.s.ids)
+        seen[self.slots] = counts + 0.1
+        seen = seen.reshape(c, c)
         self.p["cb"][:] = np.log(seen.sum(1) / seen.sum())
         self.p["ib"][:] = np.log(seen / seen.sum(1, keepdims=True))
 
     def attend(self, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Hidden states (n * stride, size) of the last ``stride`` positions of windows (n, window), and what the gradient needs."""
         p, s = self.p, self.s
-        last, before = np.ascontiguousarray(ids[:, -s.stride :]), np.ascontiguousarray(np.pad(ids, ((0, 0), (1, 0)))[:, -s.stride - 1 : -1])
-        q, k, v = self.queries.take(last, 0), self.keys.take(ids, 0), p["v"].take(ids, 0)
+        last, before = ids[:, -s.stride :], ids[:, -s.stride - 1 : -1]
+        q, k, v, e = self.queries.take(last, 0), self.keys.take(ids, 0), p["v"].take(ids, 0), p["e"].take(last, 0)
         a = q @ k.transpose(0, 2, 1)
         if not np.abs(a, out=np.empty_like(a)).max(initial=0) < 60:  # else exp() could overflow; a shift of a row changes nothing
             a -= a.max(2, keepdims=True)
@@ -112,67 +115,74 @@ class Attention:
         a *= self.mask
         a /= (a.reshape(-1, s.window) @ self.ones[: s.window]).reshape(len(ids), s.stride, 1)
         mixed = a @ v
-        h = mixed + p["e"].take(last, 0)
-        h += p["before"].take(before, 0)
+        h = p["before"].take(before, 0)
+        h += mixed
+        h += e
         h = h.reshape(-1, s.size)
         z = h @ p["m1"]
         z += p["mb"]
         np.maximum(z, 0, out=z)
-        return h + z @ p["m2"], (last, before, q, k, v, a, mixed, h, z)
+        return h + z @ p["m2"], (q, k, v, e, a, mixed, h, z)
 
-    def _level(self, x: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probability of column ``right`` of each row, probabilities) for logits ``x``, which are overwritten."""
-        rows, ones = np.arange(len(x)), self.ones[: x.shape[1]]
-        logs = x[rows, right]
+    def _level(self, x: np.ndarray, rows: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probability of column ``right`` of each of ``rows``, sums of all rows) for logits ``x``, which become their exponentials."""
         high = np.abs(x, out=np.empty_like(x)).max(initial=0)
-        if not high < 60:
-            top = x.max(1)
-            x -= top[:, None]
-            logs -= top
+        if not high < 60:  # as in attend()
+            x -= x.max(1, keepdims=True)
+            np.maximum(x, -60, out=x)
+        logs = x[rows, right]
         np.exp(x, out=x)
-        total = x @ ones
-        logs -= np.log(total)
+        total = x @ self.ones[: x.shape[1]]
+        logs -= np.log(total.take(rows))
         return logs, total
 
     def log_probabilities(self, hidden: np.ndarray, targets: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of ``targets`` (n) from ``hidden`` (n, size); with ``gradient``, adds to it and gives d(-sum)/d(hidden)."""
-        p, c = self.p, self.s.classes
-        which, inner = np.divmod(targets, np.int16(c))
-        order = np.argsort(which.astype(np.uint16), kind="stable")
-        h, which, inner = hidden.take(order, 0), which.take(order), inner.take(order)
-        rows = np.arange(len(h))
-        x = h @ p["c"]
+        """Natural log-probabilities of ``targets`` (n) from ``hidden`` (n, size); with ``gradient``, adds to it and gives d(-sum)/d(hidden).
+
+        The first level chooses the class, the second the id in it. For the second, rows are laid out by
+        class, each class filled up to the largest: ids are dealt to classes of about equal frequency.
+        """
+        p, c, d, n = self.p, self.s.classes, self.s.size, len(targets)
+        which, inner = np.divmod(self.slots.take(targets), np.int32(c))
+        rows = np.arange(n)
+        x = hidden @ p["c"]
         x += p["cb"]
-        out, total = self._level(x, which)
+        out, total = self._level(x, rows, which)
         back = None
         if gradient is not None:
             x /= total[:, None]
             x[rows, which] -= 1
             back = x @ p["c"].T
-            gradient["c"] += h.T @ x
-            gradient["cb"] += x.sum(0)
-        ends = np.searchsorted(which, np.arange(c + 1)).tolist()
-        for j, (low, high) in enumerate(zip(ends[:-1], ends[1:])):
-            if low == high:
-                continue
-            part, right = h[low:high], inner[low:high]
-            x = part @ p["i"][j]
-            x += p["ib"][j]
-            more, total = self._level(x, right)
-            out[low:high] += more
-            if gradient is not None:
-                x /= total[:, None]
-                x[rows[: high - low], right] -= 1
-                back[low:high] += x @ p["i"][j].T
-                gradient["i"][j] += part.T @ x
-                gradient["ib"][j] += x.sum(0)
-        result = np.empty_like(out)
-        result[order] = out
-        if back is not None:
-            placed = np.empty_like(back)
-            placed[order] = back
-            back = placed
-        return result, back
+            gradient["c"] += hidden.T @ x
+            gradient["cb"] += self.ones_of(n) @ x
+        order, sizes = np.argsort(which.astype(np.uint16), kind="stable"), np.bincount(which, minlength=c)
+        most = int(sizes.max(initial=0))
+        at = np.empty(n, np.int64)  # the place of each row in the layout
+        at[order] = rows + np.repeat(np.arange(c) * most - (np.cumsum(sizes) - sizes), sizes)
+        filled = np.zeros(c * most, np.int64)
+        filled[at] = rows
+        h = hidden.take(filled, 0).reshape(c, most, d)
+        x = h @ p["i"]
+        x += p["ib"][:, None]
+        x = x.reshape(c * most, c)
+        more, total = self._level(x, at, inner)
+        out += more
+        if gradient is not None:
+            real = np.zeros(c * most, np.float32)
+            real[at] = 1
+            real /= total
+            x *= real[:, None]
+            x[at, inner] -= 1
+            x = x.reshape(c, most, c)
+            back += (x @ p["i"].transpose(0, 2, 1)).reshape(c * most, d).take(at, 0)
+            gradient["i"] += h.transpose(0, 2, 1) @ x
+            gradient["ib"] += self.ones_of(most) @ x
+        return out, back
+
+    def ones_of(self, n: int) -> np.ndarray:
+        if n > len(self.ones):
+            self.ones = np.ones(n, np.float32)
+        return self.ones[:n]
 
     def _by_id(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         """The sums of the rows of ``x`` by id."""
@@ -188,7 +198,7 @@ class Attention:
         p, s, n = self.p, self.s, len(ids)
         out = np.zeros_like(self.flat)
         g, d = self.views(out), s.size
-        hidden, (last, before, q, k, v, a, mixed, h, z) = self.attend(ids)
+        hidden, (q, k, v, e, a, mixed, h, z) = self.attend(ids)
         wanted = targets.reshape(-1)
         scored = np.flatnonzero(wanted >= 0)
         if len(scored) == len(wanted):
@@ -201,11 +211,9 @@ class Attention:
         dz *= z > 0
         g["m2"] += z.T @ dh
         g["m1"] += h.T @ dz
-        g["mb"] += dz.sum(0)
+        g["mb"] += self.ones_of(len(dz)) @ dz
         dh += dz @ p["m1"].T
-        g["before"] += self._by_id(before.reshape(-1), dh)
         dh = dh.reshape(n, s.stride, d)
-        dv = a.transpose(0, 2, 1) @ dh
         da = dh @ v.transpose(0, 2, 1)
         da -= np.einsum("nsd,nsd->ns", dh, mixed)[:, :, None]
         da *= a
@@ -213,12 +221,18 @@ class Attention:
         g["near"] += np.bincount(self.back[self.seen], near[self.seen], s.window).astype(np.float32)
         dq, dk = da @ k, da.transpose(0, 2, 1) @ q
         dq /= np.float32(d**0.5)
-        at_last = self._by_id(last.reshape(-1), np.concatenate([dq, dh], 2).reshape(-1, 2 * d))
-        at_all = self._by_id(ids.reshape(-1), np.concatenate([dk, dv], 2).reshape(-1, 2 * d))
-        g["q"] += p["e"].T @ at_last[:, :d]
-        g["k"] += p["e"].T @ at_all[:, :d]
-        g["v"] += at_all[:, d:]
-        g["e"] += at_last[:, :d] @ p["q"].T + at_last[:, d:] + at_all[:, :d] @ p["k"].T
+        g["q"] += e.reshape(-1, d).T @ dq.reshape(-1, d)
+        g["k"] += p["e"].take(ids, 0).reshape(-1, d).T @ dk.reshape(-1, d)
+        # what each position of a window gives to its id's row of "v", "e" and "before"
+        each = np.zeros((n, s.window, 3 * d), np.float32)
+        each[:, :, :d] = a.transpose(0, 2, 1) @ dh
+        each[:, :, d : 2 * d] = dk @ p["k"].T
+        each[:, -s.stride :, d : 2 * d] += dq @ p["q"].T + dh
+        each[:, -s.stride - 1 : -1, 2 * d :] = dh
+        sums = self._by_id(ids.reshape(-1), each.reshape(-1, 3 * d))
+        g["v"] += sums[:, :d]
+        g["e"] += sums[:, d : 2 * d]
+        g["before"] += sums[:, 2 * d :]
         return -float(logs.sum()), out
 
     def train(self, ids: np.ndarray, targets: np.ndarray, rate: float) -> None:
@@ -470,7 +484,7 @@ def _place(n: int) -> np.ndarray:
 
 
 def fit(made: DataFrame, path: str | None, settings: Settings = Settings()) -> dict:
-    """{subwords, parameters, tokens}: the ranks kept and the model, from all training texts of the blocks ``made``.
+    """{subwords, parameters, slots, tokens}: the ranks kept and the model, from all training texts of the blocks ``made``.
 
     Every pass trains on every id of every training text. A pass is spread over rounds; in a round a
     task trains on its blocks' documents of that round, beginning with the round's parameters, and the
@@ -496,17 +510,22 @@ def fit(made: DataFrame, path: str | None, settings: Settings = Settings()) -> d
     frequency = np.bincount(ids.ids, np.repeat(seen, ids.sizes), settings.ids)
     frequency[END] += texts
     if not texts:
-        return {"subwords": kept, "parameters": model.flat, "tokens": 0}
+        return {"subwords": kept, "parameters": model.flat, "slots": model.slots, "tokens": 0}
+    # ids to classes of about equal frequency: dealt from the most frequent on, to and fro
+    c, ranked = settings.classes, np.empty(settings.ids, np.int32)
+    ranked[np.argsort(-frequency, kind="stable")] = np.arange(settings.ids)
+    turn, place = np.divmod(ranked, c)
+    model.slots = slots = np.where(turn % 2, c - 1 - place, place) * c + turn
     model.begin(frequency)
     flat, passes = model.flat, settings.passes(int(frequency.sum()))
     rounds = max(settings.rounds, passes)
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((flat, kept))
+        sent = spark.sparkContext.broadcast((flat, kept, slots))
         span, rate = (turn * passes / rounds, (turn + 1) * passes / rounds), settings.rate * (1 - turn / rounds)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, span=span, rate=rate) -> Iterator[pa.RecordBatch]:
-            flat, kept = sent.value
-            model, ids = Attention(settings, flat.copy()), Ids(kept, _encoding(path)[1])
+            flat, kept, slots = sent.value
+            model, ids = Attention(settings, flat.copy(), slots), Ids(kept, _encoding(path)[1])
             for batch in batches:
                 for marks, *block in zip(*(batch.column(k).to_pylist() for k in range(5))):
                     marks = np.frombuffer(marks, np.uint8)
@@ -520,7 +539,7 @@ def fit(made: DataFrame, path: str | None, settings: Settings = Settings()) -> d
         sent.unpersist()
         if total is not None:
             flat = (total[:-1] / total[-1]).astype(np.float32)
-    return {"subwords": kept, "parameters": flat, "tokens": int(frequency.sum())}
+    return {"subwords": kept, "parameters": flat, "slots": slots, "tokens": int(frequency.sum())}
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -546,7 +565,7 @@ def score(docs: DataFrame, path: str | None = None, settings: Settings = Setting
     def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
             return pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
-        r, model = block.iloc[0], Attention(settings, held.value["parameters"])
+        r, model = block.iloc[0], Attention(settings, held.value["parameters"], held.value["slots"])
         texts = Block(r["lengths"], r["codes"], r["ranks"], r["sizes"], Ids(held.value["subwords"], _encoding(path)[1]))
         # the counts of the block's words, in the order of their codes: the block's hash order is found again from its buckets
         c = np.zeros(len(texts.each), np.int64)

@@ -281,67 +281,115 @@ def test_empty_benchmark(spark):
 # language model
 
 
-def test_gradients_are_those_of_the_loss():
-    s = language_model.Settings(size=4, classes=4)
-    model, rng = language_model.Attention(s, 6, 4), np.random.default_rng(3)
-    model.p = {k: v.astype(float) + rng.normal(0, 0.1, v.shape) for k, v in model.p.items()}
-    ids, wanted = rng.integers(0, 16, (5, 6)), rng.integers(-1, 16, (5, 4))
+def small_model(seed=3):
+    s = language_model.Settings(size=4, hidden=5, classes=4, window=8, stride=5)
+    rng = np.random.default_rng(seed)
+    model = language_model.Attention(s, slots=rng.permutation(16).astype(np.int32))
+    model.flat += rng.normal(0, 0.3, len(model.flat)).astype(np.float32)
     model.prepare()
-    g = model.gradient(ids, wanted)[1]
-    for k, p in model.p.items():
-        at = tuple(rng.integers(0, n) for n in p.shape)
+    return model, rng
+
+
+def plain_score(model, ids):
+    """Log-probability of a text's ids, one after another, by loops over the definition in doubles."""
+    s, p, total = model.s, {k: v.astype(float) for k, v in model.p.items()}, 0.0
+    for t, wanted in enumerate(ids):
+        low = t - t % s.stride - (s.window - s.stride)  # where the window that scores t begins
+        seen = [ids[j - 1] if j > 0 else 0 for j in range(low, t + 1)]
+        here = p["e"][seen[-1]]
+        far = [np.exp(here @ p["q"] @ (p["e"][x] @ p["k"]) / s.size**0.5 + p["near"][len(seen) - 1 - j]) for j, x in enumerate(seen)]
+        h = here + p["before"][seen[-2]] + sum(w * p["v"][x] for w, x in zip(far, seen)) / sum(far)
+        h = h + np.maximum(h @ p["m1"] + p["mb"], 0) @ p["m2"]
+        which, inner = divmod(int(model.slots[wanted]), s.classes)
+        first, second = h @ p["c"] + p["cb"], h @ p["i"][which] + p["ib"][which]
+        total += first[which] - np.log(np.exp(first).sum()) + second[inner] - np.log(np.exp(second).sum())
+    return total
+
+
+def test_gradients_are_those_of_the_loss():
+    model, rng = small_model()
+    lengths = np.array([1, 3, 12, 7])
+    ids, wanted = language_model.windows_of(rng.integers(1, 16, 23).astype(np.int16), lengths, 8, 5)
+    g, before = model.gradient(ids, wanted)[1], model.flat.copy()
+    for at in rng.permutation(len(before))[:100]:
         value = []
-        for e in (1e-4, -2e-4):
-            p[at] += e
+        for e in (1e-2, -1e-2):
+            model.flat[:] = before
+            model.flat[at] += e
             model.prepare()
             value.append(model.gradient(ids, wanted)[0])
-        p[at] += 1e-4
-        assert (value[0] - value[1]) / 2e-4 == pytest.approx(float(g[k][at]), rel=0.02, abs=0.02), k
-
-
-def test_windows_score_every_position_once_and_causally():
-    s = language_model.Settings(size=4, classes=4)
-    model, rng = language_model.Attention(s, 8, 5), np.random.default_rng(1)
-    lengths = np.array([0, 1, 4, 5, 9, 23])
-    seq = rng.integers(2, 16, int(lengths.sum()))
-    whole = model.score(seq, lengths)
-    assert len(whole) == int((lengths + 1).sum())
-    # a prefix has the same values, up to its end
-    alone = model.score(seq[-23:-10], np.array([13]))
-    assert np.allclose(alone[:-1], whole[-24:-11], atol=1e-5)
-    # all continuations together have probability 1
-    each = [np.exp(model.score(np.array([x, y]), np.array([2]))[:1]) for x in range(16) for y in (2,)]
-    assert sum(float(e[0]) for e in each) == pytest.approx(1, abs=1e-4)
+        assert (value[0] - value[1]) / 2e-2 == pytest.approx(float(g[at]), rel=0.03, abs=0.03)
+
+
+def test_windows_score_every_id_once_and_as_the_plain_loop():
+    model, rng = small_model(1)
+    lengths = np.array([1, 2, 5, 6, 10, 24])
+    seq = rng.integers(1, 16, int(lengths.sum())).astype(np.int16)
+    seq[np.cumsum(lengths) - 1] = 0
+    ids, wanted = language_model.windows_of(seq, lengths, 8, 5)
+    assert wanted[wanted >= 0].tolist() == seq.tolist()
+    logs, at = model.score(ids, wanted).sum(1), 0
+    for n, end in zip(lengths, np.cumsum(lengths)):
+        count = -(-n // 5)
+        assert logs[at : at + count].sum() == pytest.approx(plain_score(model, seq[end - n : end]), abs=1e-3)
+        at += count
+    # all ids together have probability 1; shifted logits beyond what exp() can hold give the same
+    hidden, _ = model.attend(ids[:1])
+    value = [model.log_probabilities(hidden[:1], np.array([x], np.int16))[0][0] for x in range(16)]
+    assert np.exp(value).sum() == pytest.approx(1, abs=1e-4)
+    model.p["cb"] += 300
+    assert model.log_probabilities(hidden[:1], np.array([3], np.int16))[0][0] == pytest.approx(value[3], abs=1e-3)
+
+
+def test_spellings_are_unique_and_whole():
+    words = [b"the", "漢字".encode(), b"don't", b"\x1c", "ß🙂".encode(), b"a" * 3000, b"the"]
+    names = language_model._encoding(None)[1]
+    ranks, sizes = language_model.spell(words, None)
+    kept = [int(r) for r in set(ranks.tolist())][::2]
+    ids, each = language_model.Ids(kept, names).of(ranks, sizes)
+    text = [names[kept[i - 257]] if i > 256 else bytes([i - 1]) for i in ids.tolist()]
+    ends = np.cumsum(each).tolist()
+    assert [b"".join(text[e - n : e]) for e, n in zip(ends, each.tolist())] == [b" " + w for w in words]
 
 
 def test_language_model_counts_against_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(80)
-    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(5000 + k, t) for k, t in enumerate(ODD)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", held_out(1).alias("held"), "text")
-    small = language_model.Settings(sample_words=4000, epochs=1, block_bytes=20_000)
-    got = {r.doc_id: r for r in language_model.score(df, settings=small).collect()}
-    train = [words_of(t) for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(5000 + k, t) for k, t in enumerate(ODD)] + [(5001, ""), (None, "one"), (None, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", held_out(1).alias("held"), "text").withColumn("ids", F.lit(1)).repartition(3)
+    small = language_model.Settings(size=8, hidden=8, least_targets=1, block_bytes=20_000)
+    found = language_model.score(df, settings=small).collect()
+    got = {r.doc_id: r for r in found}
+    train = [words_of(t) for d, t in rows if zlib.crc32(str("" if d is None else d).encode()) % 5 != 1]
     c = collections.Counter(w for t in train for w in t)
     n, v = sum(c.values()) + len(train), len(c) + 1
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(d) for d, _ in rows)
     for d, t in rows:
         w = words_of(t)
         base = sum(np.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w) + np.log10((len(train) + 0.5) / (n + 0.5 * (v + 1)))
         r = got[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(d).encode()) % 5 == 1, len(w) + 1, sum(c[x] > 0 for x in w) + 1, n)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str("" if d is None else d).encode()) % 5 == 1, len(w) + 1, sum(c[x] > 0 for x in w) + 1, n)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
     assert language_model.score(df.limit(0), settings=small).count() == 0
+    alone = language_model.score(df.where("doc_id = 5003").withColumn("held", F.lit(True)), settings=small).collect()
+    assert [(r.n_known, r.train_tokens) for r in alone] == [(0, 0)] and np.isfinite(alone[0].score)
 
 
 def test_language_model_learns_from_all_training_texts(spark):
-    """An order of words that only texts beyond the first ``sample_words`` words have is learnt; held-out texts are not."""
+    """An order of words that only some of many blocks have is learnt, by more rounds than one; held-out texts are not."""
     rng = random.Random(3)
     noise = [(k, k % 4 == 0, " ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(60))) for k in range(20)]
     order = [(100 + k, k % 4 == 0, "aa bb cc dd " * 40) for k in range(60)]
-    df = spark.createDataFrame(noise + order, "doc_id long, held boolean, text string")
-    s = language_model.Settings(sample_words=300, block_bytes=4000)
-    made = language_model.blocks(df, 8, s)
-    model = language_model.fit(made, bpe.file_spec(), s)
-    assert model["words"] == sum(len(t.split()) for _, held, t in noise + order if not held)
+    df = spark.createDataFrame(noise + order, "doc_id long, held boolean, text string").repartition(3)
+    s = language_model.Settings(block_bytes=4000, batch=16, least_targets=40_000)
+    made = language_model.blocks(df, 8, None, s)
+    model = language_model.fit(made, None, s)
+    listed = [t.encode().split() for _, held, t in noise + order if not held]
+    assert model["tokens"] == sum(len(language_model.spell(words, None)[0]) + 1 for words in listed)
     tests = spark.createDataFrame([(1, True, "aa bb cc dd " * 5), (2, True, "dd cc bb aa " * 5)], "doc_id long, held boolean, text string")
     rows = {r.doc_id: r for r in language_model.score(df.unionByName(tests.withColumn("doc_id", F.col("doc_id") + 1000)), settings=s).collect()}
     assert rows[1001].base_score == pytest.approx(rows[1002].base_score) and rows[1001].score > rows[1002].score + 1
+
+
+def test_language_model_beats_word_counts_on_held_out_texts(spark, data):
+    found = language_model.op1_attention_scores(spark, data.replace("sf0.001", "sf0.01")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert found[0] > found[1]
