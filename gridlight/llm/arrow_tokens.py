@@ -86,8 +86,8 @@ def write(docs: DataFrame, spec: str, folder: str, end_id: int = 0, length: int
             if batch.num_rows and out is None:
                 out = TokenFile(folder, f"{part:06d}-{uuid.uuid4().hex}", encoder.dtype, length)
             ids.append(batch.column(0))
-            for text in batch.column(1).to_pylist():
-                out.add(packed := encoder.encode(text or "") + end)
+            for ids_of in encoder.encode_all([t or "" for t in batch.column(1).to_pylist()]):
+                out.add(packed := ids_of + end)
                 lengths.append(len(packed) // encoder.dtype.itemsize)
         if out is not None:
             out.close(pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_tokens": pa.array(lengths, pa.int64())}))

@@ -16,8 +16,9 @@ from collections.abc import Iterator
 from itertools import filterfalse
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
@@ -69,6 +70,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose token begins with a space
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(byte_characters()[32])]] = True
         self.pieces: dict[str, bytes] = {}  # of pieces with the space before them
         self.firsts: dict[str, bytes] = {}  # of texts' beginnings
 
@@ -84,56 +88,89 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _join(self, pieces: list[str]) -> None:
-        """Encodes pieces, each with the space before it, in one call and deals the ids out by their offsets."""
-        found = self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False)
-        ids, at = np.array(found.ids, self.dtype), np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-        cut = np.searchsorted(at, np.cumsum([len(p) + 1 for p in pieces]))
-        packed, w, begin = ids.tobytes(), self.dtype.itemsize, 0
-        for piece, end in zip(pieces, cut.tolist()):
-            self.pieces[piece] = packed[begin * w : end * w]
-            begin = end
-
-    def _first(self, text: str) -> bytes:
-        """The packed ids of a short text without a space before it."""
-        if text not in self.firsts:
-            if len(self.firsts) > CACHE_PIECES // 8:
-                self.firsts.clear()
-            self.firsts[text] = self.whole(text)
-        return self.firsts[text]
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """The packed ids of new pieces, each with the space before it; they are remembered.
+        """Encodes pieces, each with the space before it, in one call and deals the ids out.
+
+        No other token than a piece's first begins with a space; where a piece holds spaces itself, offsets tell.
+        """
+        lines = [" " + " ".join(pieces[at : at + 100]) for at in range(0, len(pieces), 100)]
+        ids = np.array([i for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in x.ids], self.dtype)
+        cut = np.flatnonzero(self.begins[ids])
+        if len(cut) != len(pieces):
+            found = self.tokenizer.encode("".join(lines), add_special_tokens=False)
+            ids, at = np.array(found.ids, self.dtype), np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            cut = np.searchsorted(at, np.cumsum([0, *(len(p) + 1 for p in pieces[:-1])]))
+        packed, ends = ids.tobytes(), (np.append(cut, len(ids)) * self.dtype.itemsize).tolist()
+        self.pieces.update((p, packed[a:b]) for p, a, b in zip(pieces, ends, ends[1:]))
+
+    def _learn(self, missing: set[str], firsts: set[str]) -> None:
+        """Remembers the packed ids of new pieces, each with the space before it, and of new beginnings of texts.
 
         A piece that is plainly letters and punctuation is put together from its parts: each part is one
         match of the splitting pattern, and most are known from other pieces.
         """
-        known = self.pieces
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        parted = {}
+        known, parted = self.pieces, {}
         for piece in missing:
             parts = _PARTS.findall(piece)
             if len(parts) > 1 and sum(map(len, parts)) == len(piece) and "\n\n" not in piece:
                 parted[piece] = parts
         if "" in missing:  # a space that ends the text
             known[""] = self.whole(" ")
-        if new := [*filterfalse(known.__contains__, {p[0] for p in parted.values()} | (missing - parted.keys()))]:
+        heads = {p[0] for p in parted.values()}
+        if new := [*filterfalse(known.__contains__, heads | (missing - parted.keys()))]:
             self._join(new)
-        for piece, (head, *tail) in parted.items():
-            known[piece] = known[head] + b"".join(map(self._first, tail))
-        return {p: known[p] for p in missing}
+        firsts.update(part for parts in parted.values() for part in parts[1:])
+        if new := [*filterfalse(self.firsts.__contains__, firsts)]:
+            self.firsts.update((t, np.array(x.ids, self.dtype).tobytes()) for t, x in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)))
+        tail = self.firsts.__getitem__
+        for piece, (head, *more) in parted.items():
+            known[piece] = known[head] + b"".join(map(tail, more))
+
+    def _few(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of some texts: Arrow cuts them and numbers the distinct pieces, whose ids are then laid out by number."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        if len(self.firsts) > CACHE_PIECES // 8:
+            self.firsts.clear()
+        risky = [bool(_RISKY.search(t)) for t in texts]
+        cut = pc.split_pattern(pa.array([t for t, r in zip(texts, risky) if not r], pa.string()), " ")
+        cut = pa.concat_arrays([cut, pa.array([_CUT.split(t) for t, r in zip(texts, risky) if r], pa.list_(pa.string()))])
+        starts, coded = cut.offsets.to_numpy()[:-1], cut.flatten().dictionary_encode()
+        codes, distinct = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
+        heads = [distinct[k] for k in codes[starts].tolist()]
+        codes[starts] = len(distinct) + np.arange(len(starts), dtype=np.int32)
+        wanted = [distinct[k] for k in np.flatnonzero(np.bincount(codes, minlength=len(distinct))[: len(distinct)]).tolist()]
+        self._learn({*filterfalse(self.pieces.__contains__, wanted)}, {*heads})
+        packed = [*(self.pieces.get(d, b"") for d in distinct), *map(self.firsts.__getitem__, heads)]
+        sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // np.int32(self.dtype.itemsize)
+        pool, begin = np.frombuffer(b"".join(packed), self.dtype), np.cumsum(sizes, dtype=np.int32) - sizes
+        each = sizes.take(codes)
+        ends = np.append(np.int32(0), np.cumsum(each, dtype=np.int32))
+        at = np.repeat(begin.take(codes) - ends[:-1], each)
+        at += np.arange(ends[-1], dtype=np.int32)
+        ids = pool.take(at)
+        bounds = np.append(ends[starts], len(ids)).tolist()
+        found = (ids[low:high].tobytes() for low, high in zip(bounds, bounds[1:]))
+        order = sorted(range(len(texts)), key=risky.__getitem__)  # plain ones first, as they were cut
+        out = [b""] * len(texts)
+        for k, x in zip(order, found):
+            out[k] = x
+        return out
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The packed ids of each text; some five million characters are cut at once."""
+        part, size = [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= 5_000_000:
+                yield from self._few(part)
+                part, size = [], 0
+        if part:
+            yield from self._few(part)
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a text."""
-        if len(text) < 2:
-            return self.whole(text)
-        first, *rest = _CUT.split(text) if _RISKY.search(text) else text.split(" ")
-        found = [*map(self.pieces.get, rest)]
-        if missing := {p for p, x in zip(rest, found) if x is None}:
-            fresh = self._learn(missing)
-            found = [fresh[p] if x is None else x for p, x in zip(rest, found)]
-        tail = b"".join(found)
-        return self._first(first) + tail if first else tail
+        return self._few([text])[0]
 
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.dtype)
@@ -178,7 +215,7 @@ def encode(docs: DataFrame, spec: str, text: str = "text", out: str = "ids") ->
         encoder = Encoder.of(held.value)
         for batch in batches:
             texts = batch.column(names.index(text)).to_pylist()
-            packed = pa.array([encoder.encode(t or "") for t in texts], pa.binary())
+            packed = pa.array([*encoder.encode_all([t or "" for t in texts])], pa.binary())
             width = pa.array(np.full(len(texts), encoder.dtype.itemsize, np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, packed, width], names=[*names, out, "token_width"])
 
@@ -217,8 +254,8 @@ def round_trip(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
         digits = [str(i) for i in range(len(table))]
         for batch in batches:
             n, sha, back = [], [], []
-            for t in batch.column(1).to_pylist():
-                ids = encoder.ids(encoder.encode(t or "")).tolist()
+            for packed in encoder.encode_all([t or "" for t in batch.column(1).to_pylist()]):
+                ids = encoder.ids(packed).tolist()
                 n.append(len(ids))
                 sha.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
