@@ -33,8 +33,8 @@ HIDDEN = frozenset("head script style noscript template svg math iframe object e
 FURNITURE = frozenset("nav footer header aside form menu dialog".split())
 MAIN = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role attributes that mark furniture.
-MARKS = frozenset("ad ads advert advertisement adsbygoogle sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended footer header masthead share sharing social comment comments disqus respond reply replies pagination pager toolbar search complementary contentinfo alert".split())
+#: Whole tokens of class, id and role attributes that mark furniture.
+MARKS = frozenset("ad-slot ad-banner ad-container cookie-banner cookie-notice cookie-consent site-header site-footer page-header page-footer global-header global-footer main-nav main-menu site-nav nav-menu nav-bar left-sidebar right-sidebar sidebar-left sidebar-right comment-list comments-area comment-form related-posts related-articles share-buttons social-share social-links newsletter-signup skip-link ad ads advert advertisement adsbygoogle sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended footer header masthead share sharing social comment comments disqus respond reply replies pagination pager toolbar search complementary contentinfo alert".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
@@ -61,7 +61,7 @@ class Block:
     text: str
     linked: int  # characters of it inside links
     furniture: bool  # inside menus, footers, adverts, forms and such
-    main: bool  # inside an article or main element
+    main: int  # number of the innermost article or main element around it, 0 outside
     heading: bool
     label: str = ""
 
@@ -81,8 +81,9 @@ def blocks_of(markup: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     linked = at = 0
-    #: Open elements: name, hidden, furniture, main, link
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    mains = 0
+    #: Open elements: name, hidden, furniture by element, by mark, number of the main element, link
+    stack: list[tuple[str, bool, bool, bool, int, bool]] = [("", False, False, False, 0, False)]
 
     def flush() -> None:
         nonlocal linked
@@ -90,7 +91,7 @@ def blocks_of(markup: str) -> list[Block]:
             joined = _SPACE.sub(" ", "".join(text)).strip()
             if joined:
                 top = stack[-1]
-                out.append(Block(joined, linked, top[2], top[3], any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-4:])))
+                out.append(Block(joined, linked, top[2] or top[3], top[4], any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-4:])))
             text.clear()
         linked = 0
 
@@ -100,7 +101,7 @@ def blocks_of(markup: str) -> list[Block]:
         if piece and not top[1]:
             said = html.unescape(piece) if "&" in piece else piece
             text.append(said)
-            if top[4]:
+            if top[5]:
                 linked += len(said.strip())
 
     size = len(markup)
@@ -140,69 +141,77 @@ def blocks_of(markup: str) -> list[Block]:
         marked = False
         if attributes:
             said = [v.strip("\"'").lower() for _, v in _ATTRIBUTE.findall(attributes)]
-            marked = name not in ("html", "body") and any(w in MARKS for v in said for w in re.split(r"[^a-z]+", v))
+            marked = name not in ("html", "body") and any(w in MARKS for v in said for w in v.split())
         hidden = top[1] or name in HIDDEN or bool(attributes and _HIDING.search(attributes))
         if name == "body":
             hidden = False  # an unclosed head ends here
-        furniture = top[2] or marked or (name in FURNITURE and not (name == "header" and top[3]))
-        stack.append((name, hidden, furniture, top[3] or name in MAIN, top[4] or name == "a"))
+        main = top[4]
+        if name in MAIN:  # a mark on what is around an article doesn't reach into it
+            mains += 1
+            main = mains
+        furniture = top[2] or (name in FURNITURE and not (name == "header" and top[4]))
+        stack.append((name, hidden, furniture, marked or (top[3] and name not in MAIN), main, top[5] or name == "a"))
     flush()
     return out
 
 
+def _density(text: str) -> float:
+    """The share of stop words among the words of a text; 0 without words."""
+    words = _WORD.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
+
+
 def classify(blocks: list[Block], settings: Settings = Settings()) -> None:
     """First pass: labels 'good', 'bad', 'near' (longer, but undecided) or 'short'.
 
-    Furniture and blocks of links are bad. Inside an article or main element only those are; elsewhere
-    stop words decide: a block with few is bad if it is long and ambiguous if it is short.
+    Furniture and blocks of links are bad. Otherwise stop words decide, everywhere: outside articles a
+    block needs many and length to be good, and one with few is bad; inside an article or main element
+    some stop words make a longer block good, and one with few stays undecided.
     """
     for b in blocks:
-        words = _WORD.findall(b.text)
-        stops = sum(w.lower() in STOP_WORDS for w in words) / len(words) if words else 0.0
-        links = b.linked / max(1, len(b.text))
-        if b.furniture or links > settings.link_most:
+        stops = _density(b.text)
+        if b.furniture or b.linked / max(1, len(b.text)) > settings.link_most:
             b.label = "bad"
-        elif b.main:
-            b.label = "good" if len(b.text) >= settings.short or b.heading else "short"
         elif len(b.text) < settings.short:
             b.label = "short"
-        elif stops >= settings.stop_high:
-            b.label = "good" if len(b.text) > settings.long else "near"
+        elif stops >= settings.stop_high and (b.main or len(b.text) > settings.long) or b.main and stops >= settings.stop_low:
+            b.label = "good"
         else:
-            b.label = "near" if stops >= settings.stop_low else "bad"
+            b.label = "near" if b.main or stops >= settings.stop_low else "bad"
 
 
 def inherit(blocks: list[Block]) -> list[bool]:
     """Second pass: whether each block is main text; an ambiguous one follows its nearest decided neighbours, at any distance.
 
-    'near' blocks and blocks inside an article are text if either neighbour is, others if both are;
-    a page's end is no text. Without any decided block the 'near' ones are text.
+    Inside an article or main element the neighbours are those of the element, and one good one is
+    enough; where the element has no good block, its ambiguous blocks are text: articles of tables and
+    names have no stop words, and an article is wanted whole. Elsewhere 'near' blocks are text if either neighbour is,
+    'short' ones if both are; a page's end is no text. Without any decided block the 'near' ones are text.
     """
-    labels = [b.label for b in blocks]
-    decided = any(x in ("good", "bad") for x in labels)
+    decided = any(b.label in ("good", "bad") for b in blocks)
+    mains_good = {b.main for b in blocks if b.main and b.label == "good"}
 
-    def nearest(order: Iterator[int]) -> list[str]:
-        """For each block the last decided label met before it in ``order``."""
-        found, last = [""] * len(labels), "bad"
+    def nearest(order: Iterator[int]) -> list[tuple[str, str]]:
+        """For each block the last decided labels met before it in ``order``: on the page, and in its main element."""
+        found, last, within = [("", "")] * len(blocks), "bad", {}
         for k in order:
-            found[k] = last
-            if labels[k] in ("good", "bad"):
-                last = labels[k]
+            b = blocks[k]
+            found[k] = last, within.get(b.main, "")
+            if b.label in ("good", "bad"):
+                last = within[b.main] = b.label
         return found
 
-    befores, afters = nearest(iter(range(len(labels)))), nearest(reversed(range(len(labels))))
+    befores, afters = nearest(iter(range(len(blocks)))), nearest(reversed(range(len(blocks))))
     out = []
-    for k, b in enumerate(blocks):
+    for b, before, after in zip(blocks, befores, afters):
         if b.label in ("good", "bad"):
             out.append(b.label == "good")
-            continue
-        before, after = befores[k], afters[k]
-        if b.main:
-            out.append(True)
+        elif b.main:
+            out.append(b.main not in mains_good or "good" in (before[1], after[1]))
         elif b.label == "near":
-            out.append("good" in (before, after) or not decided)
+            out.append("good" in (before[0], after[0]) or not decided)
         else:
-            out.append(before == after == "good")
+            out.append(before[0] == after[0] == "good")
     return out
 
 

@@ -46,6 +46,20 @@ def test_a_short_block_with_a_link_in_it_is_undecided():
     assert "Next page" not in html_text.main_text(page)
 
 
+def test_marks_are_whole_tokens_and_do_not_reach_into_articles():
+    """Wrappers that only mention furniture keep the article; furniture of its own goes; an article without stop words stays whole."""
+    noise = "Xkcd plmv qwrt zxcv bnmk hjgf dsrt wqpl. " * 12
+    for around in ('<div class="content with-sidebar">', '<div class="page no-sidebar">', '<div class="sidebar">', '<body class="nav">'):
+        assert html_text.main_text(f"{around}<article><p>{GOOD}</p></article>") == GOOD.strip()
+    assert html_text.main_text(f'<div class="page no-sidebar"><p>{GOOD}</p></div>') == GOOD.strip()
+    assert html_text.main_text(f'<article><div class="entry-header"><p>{GOOD}</p></div></article>') == GOOD.strip()
+    for gone in ('<div class="sidebar">', '<div class="box comment-list">', "<div class=x role=search>", '<article class="comment">', "<aside><article>"):
+        assert html_text.main_text(f"{gone}<p>{GOOD}</p>") == ""
+    assert html_text.main_text(f"<nav>Menu</nav><article><h1>Title</h1><p>{noise}</p></article><footer>End</footer>") == f"Title\n{noise.strip()}"
+    assert html_text.main_text(f"<nav>Menu</nav><p>{noise}</p>") == ""
+    assert html_text.main_text(f"<p>{GOOD}</p><p>{noise}</p><p>{GOOD}</p>") == f"{GOOD.strip()}\n{GOOD.strip()}"
+
+
 @pytest.mark.parametrize("markup", [None, "", "<", "<p", "plain", "<p>a<p>b</b></i>", "<!-- open", "<script>x", "&#xFFFFFFFF; &bogus;", "<p>" * 3000 + "deep", "a < b > c"])
 def test_broken_markup_is_no_error(markup):
     assert isinstance(html_text.main_text(markup), str)
