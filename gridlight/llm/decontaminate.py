@@ -7,6 +7,7 @@ rarest term on and intersects the offset-adjusted position lists, block by block
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None) ->
     ``docs`` holds the posting's document number in its block and ``positions`` its word positions,
     both ascending. Each block has one more row with the term b"": its doc_ids and then their row numbers
     as ``docs`` and their numbers of words as ``positions``; it has all documents, also those without
-    words. Row numbers are the column ``row`` of ``docs``, or are given here. A block is named by its
+    words. Row numbers are given here. A block is named by its
     partition and its number there, so equal blocks are told apart. With a
     ``vocabulary`` only its terms are stored; it is broadcast, so its size has to be bounded.
     A block is up to 4 MB of texts, or one longer text, whatever the size of the table.
@@ -80,8 +81,7 @@ def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None) ->
         if ids:
             yield rows(f"{partition}:{made}", ids, numbers, texts)
 
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
-    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row.alias("row"))
+    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
     return written(plain.mapInArrow(run, schema), "index")
 
 
@@ -112,29 +112,57 @@ class BlockIndex:
             self.opened[term] = self.starts[np.frombuffer(d, "<i4")] + np.frombuffer(p, "<i4")
         return self.opened[term]
 
-    def phrase(self, window: tuple[bytes, ...], slack: int = 0) -> np.ndarray:
-        """Places where a document has the window's words in a row; with ``slack``, each at most that many words off its place."""
-        if any(w not in self.packed for w in window):
-            return np.zeros(0, np.int64)
-        order = sorted(range(len(window)), key=lambda i: len(self.packed[window[i]][0]))
-        at = self.places(window[order[0]]) - order[0]
-        for i in order[1:]:
-            if not len(at):
-                return at
-            there = self.places(window[i]) - i
-            if slack:
-                near = np.searchsorted(there, at - slack)
-                at = at[(near < len(there)) & (there[np.minimum(near, len(there) - 1)] <= at + slack)]
-            elif len(there) > 8 * len(at):
-                near = np.searchsorted(there, at)
-                at = at[(near < len(there)) & (there[np.minimum(near, len(there) - 1)] == at)]
-            else:
-                at = np.intersect1d(at, there, assume_unique=True)
-        at = at[at >= 0]
+    def phrases(self, windows: list[tuple[bytes, ...]], slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the window, place) of all occurrences of ``windows``; with ``slack``, each word at most that many words off its place.
+
+        All windows are searched at once. Candidates are the places of each window's rarest term here;
+        each further term, from the rarer ones on, keeps those that its offset-adjusted list has, by a
+        search in the block's postings laid end to end, term after term.
+        """
+        terms = {t: k for k, t in enumerate(self.packed)}
+        found = [k for k, w in enumerate(windows) if all(map(terms.__contains__, w))]
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not found:
+            return nothing
+        lists = [self.places(t) for t in terms]
+        sizes, span = np.array([len(x) for x in lists], np.int64), int(self.lengths.sum()) + 2 * (slack + 1) + max(map(len, windows))
+        flat = np.concatenate(lists)
+        postings = flat + np.repeat(np.arange(len(lists)) * span, sizes)  # ascending
+        begins = np.cumsum(sizes) - sizes
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        for length in sorted({len(windows[k]) for k in found}):
+            own = np.array([k for k in found if len(windows[k]) == length], np.int64)
+            words = np.array([[terms[t] for t in windows[k]] for k in own.tolist()], np.int64)
+            order = np.argsort(sizes[words], axis=1, kind="stable")
+            for low in range(0, len(own), 4096):
+                rows = np.arange(low, min(low + 4096, len(own)))
+                rarest = words[rows, order[rows, 0]]
+                n = sizes[rarest]
+                row = np.repeat(rows, n)
+                at = flat[np.repeat(begins[rarest] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] - order[row, 0]
+                inside = at >= 0
+                row, at = row[inside], at[inside]
+                for rank in range(1, length):
+                    if not len(at):
+                        break
+                    offset = order[row, rank]
+                    key = words[row, offset] * span + at + offset
+                    # with slack a place before the first or behind the last word is still one of the term's own
+                    near = np.searchsorted(postings, np.maximum(key - slack, words[row, offset] * span))
+                    kept = (near < len(postings)) & (postings[np.minimum(near, len(postings) - 1)] <= key + slack)
+                    row, at = row[kept], at[kept]
+                hits.append((own[row], at))
+        number, at = (np.concatenate(x) for x in zip(*hits))
         doc = np.searchsorted(self.starts + self.lengths, at, side="right")
         inside = doc < len(self.starts)
-        at, doc = at[inside], doc[inside]
-        return at[(at >= self.starts[doc]) & (at + len(window) <= self.starts[doc] + self.lengths[doc])]
+        number, at, doc = number[inside], at[inside], doc[inside]
+        size = np.array([len(w) for w in windows], np.int64)[number]
+        inside = (at >= self.starts[doc]) & (at + size <= self.starts[doc] + self.lengths[doc])
+        return number[inside], at[inside]
+
+    def phrase(self, window: tuple[bytes, ...], slack: int = 0) -> np.ndarray:
+        """The places of one window, ascending."""
+        return np.sort(self.phrases([window], slack)[1])
 
 
 def search(index: DataFrame, items: list[tuple[str, bytes | None]], size: int = WINDOW, slack: int = 0) -> DataFrame:
@@ -150,14 +178,13 @@ def search(index: DataFrame, items: list[tuple[str, bytes | None]], size: int =
         block = BlockIndex(rows)
         found, owners, names = held.value
         total = int(block.lengths.sum())
-        cover, hits = np.zeros(total + 1, np.int32), [set() for _ in block.ids]
-        for window, own in zip(found, owners):
-            at = block.phrase(window, slack)
-            if len(at):
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + len(window), -1)
-                for d in np.unique(np.searchsorted(block.starts + block.lengths, at, side="right")).tolist():
-                    hits[d].update(own)
+        number, at = block.phrases(found, slack)
+        size = np.array([len(w) for w in found], np.int64)[number] if len(number) else number
+        cover = np.bincount(at, minlength=total + 1)[: total + 1] - np.bincount(at + size, minlength=total + 1)[: total + 1]
+        hits = [set() for _ in block.ids]
+        doc = np.searchsorted(block.starts + block.lengths, at, side="right")
+        for d, w in np.unique(np.stack([doc, number], 1), axis=0).tolist():
+            hits[d].update(owners[w])
         hit = np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]])
         edge = np.flatnonzero(np.diff(hit))
         # runs end at document borders
@@ -185,19 +212,22 @@ def item_slices(benchmark: DataFrame, most: int = QUERY_BYTES) -> Iterator[list[
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, spans, items): what of each document is in windows of benchmark items.
 
-    Benchmarks of up to 8 MB of text are searched at once; larger ones slice by slice, each with an
-    index of its own terms, and the spans and items of a document are joined by its row number. Null texts
-    have no words; rows without a doc_id are left out; repeated item_ids count as one item; documents
-    whose doc_id repeats give a row each.
+    Benchmarks of up to 8 MB of text are searched at once, in an index of their own terms; larger ones
+    slice by slice in one index of all terms, from which each slice takes the postings of its terms, and
+    the spans and items of a document are joined by its row number. Null texts have no words; rows
+    without a doc_id are left out; repeated item_ids count as one item; documents whose doc_id repeats
+    give a row each.
     """
-    # rows are numbered once for all slices, and written, so that a row has its number in each
-    plain = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "rows")
+    slices = item_slices(benchmark)
+    first, second = next(slices), next(slices, None)
+    terms_of = lambda items: {w for _, t in items for w in words(t)}
+    index = build_index(docs, frozenset(terms_of(first)) if second is None else None)  # written once, so a row has its number in each slice
+    if second is None:
+        return search(index, first, size).drop("row")
     parts = []
-    for items in item_slices(benchmark):
-        terms = frozenset(w for _, t in items for w in words(t))
-        parts.append(search(build_index(plain, terms), items, size))
-    if len(parts) == 1:
-        return parts[0].drop("row")
+    for items in itertools.chain([first, second], slices):
+        own = docs.sparkSession.createDataFrame([(bytearray(t),) for t in {DOCUMENTS} | terms_of(items)], "term binary")
+        parts.append(search(index.join(F.broadcast(own), "term", "left_semi"), items, size))  # at most 8 MB of terms
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
