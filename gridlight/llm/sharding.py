@@ -4,7 +4,7 @@ Rows are ordered by (hash of the text, doc_id), so equal texts stand together, a
 too large for one shard is cut between two documents. Splitters of that order are found by counting:
 each round counts exact rows and bytes below candidate boundaries over all partitions (one
 pre-aggregated groupBy of at most 4,096 cells for each open splitter) and opens only those cells that
-hold a boundary not yet within tolerance. Then every row gets its part from the splitters and is
+hold a boundary not yet within tolerance; one row for each splitter comes to the driver. Then every row gets its part from the splitters and is
 exchanged once.
 """
 
@@ -49,52 +49,43 @@ def _cell(level: tuple[str, int]) -> list[Column]:
 def find_splitters(rows: DataFrame, targets: list[tuple[str, float]], tolerance: dict[str, float], doc_bits: int) -> list[Splitter]:
     """A splitter for each target (measure, amount): measure 'rows' or 'bytes' below it within tolerance, or as near as rows allow.
 
-    ``rows`` has key, doc (both from 0) and size. At most 4,096 counts for each open splitter come to
-    the driver in a round, whatever the input.
+    ``rows`` has key, doc (both from 0) and size. A round counts the cells below the open ones and finds,
+    by sums over each open cell's at most 4,096 counts, the one that holds each target; only these, one
+    row for each splitter, come to the driver, whatever the input.
     """
-    levels = _levels(doc_bits)
+    spark, levels = rows.sparkSession, _levels(doc_bits)
     found: dict[int, Splitter] = {}
-    open_cells: dict[tuple[int, int], list[int]] = {(0, 0): list(range(len(targets)))}
-    before: dict[tuple[int, int], tuple[int, int]] = {(0, 0): (0, 0)}
-    for depth, level in enumerate(levels):
-        named = rows.select(*_cell(level), "size", *([] if depth == 0 else [c.alias(n) for c, n in zip(_cell(levels[depth - 1]), ("pa", "pb"))]))
+    open_targets = [(i, 0, 0, 0, 0) for i in range(len(targets))]  # number, cell, rows and bytes before the cell
+    within = Window.partitionBy("pa", "pb").orderBy("a", "b")
+    for depth, (column, shift) in enumerate(levels):
+        above = [c.alias(n) for c, n in zip(_cell(levels[depth - 1]), ("pa", "pb"))] if depth else [F.lit(0).cast("long").alias("pa"), F.lit(0).cast("long").alias("pb")]
+        named = rows.select(*_cell((column, shift)), "size", *above)
         if depth:
-            parents = rows.sparkSession.createDataFrame([(a, b) for a, b in open_cells], "pa long, pb long")
-            named = named.join(F.broadcast(parents), ["pa", "pb"])
-            kept = ["pa", "pb"]
-        else:
-            named, kept = named.withColumns({"pa": F.lit(0).cast("long"), "pb": F.lit(0).cast("long")}), ["pa", "pb"]
-        counted = named.groupBy(*kept, "a", "b").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()
-        cells: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
-        for r in counted:
-            cells.setdefault((r.pa, r.pb), []).append((r.a, r.b, r.n, r.s))
-        column, shift = level
+            parents = spark.createDataFrame(sorted({x[1:3] for x in open_targets}), "pa long, pb long")
+            named = named.join(F.broadcast(parents), ["pa", "pb"])  # no more rows than splitters
+        cells = named.groupBy("pa", "pb", "a", "b").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+        cells = cells.withColumns({"rows": F.sum("n").over(within), "bytes": F.sum("s").over(within), "after": F.lead(F.struct("a", "b")).over(within)})
+        wanted = spark.createDataFrame([(i, pa, pb, targets[i][0], float(targets[i][1] - (n if targets[i][0] == "rows" else s))) for i, pa, pb, n, s in open_targets], "i int, pa long, pb long, measure string, amount double")
+        high = F.when(F.col("measure") == "rows", F.col("rows")).otherwise(F.col("bytes"))
+        low = high - F.when(F.col("measure") == "rows", F.col("n")).otherwise(F.col("s"))
+        holds = ((F.col("amount") <= high) | F.col("after").isNull()) & ((F.col("amount") > low) | (F.col("rows") == F.col("n")))
+        picked = cells.join(F.broadcast(wanted), ["pa", "pb"]).where(holds).select("i", "a", "b", "n", "s", "rows", "bytes", "after").collect()
+        before = {x[0]: x[3:] for x in open_targets}
         at = lambda a, b: (a << shift, 0) if column == "key" else (a, b << shift)  # noqa: E731, B023
-        next_open: dict[tuple[int, int], list[int]] = {}
-        next_before: dict[tuple[int, int], tuple[int, int]] = {}
-        for parent, wanted in open_cells.items():
-            n, s = before[parent]
-            todo = sorted(wanted, key=lambda i: targets[i][1])
-            below = sorted(cells.get(parent, []))
-            for j, (a, b, cn, cs) in enumerate(below):
-                after = below[j + 1][:2] if j + 1 < len(below) else (a, b + 1) if column == "doc" else (a + 1, b)
-                for i in list(todo):
-                    measure, amount = targets[i]
-                    low, high = (n, n + cn) if measure == "rows" else (s, s + cs)
-                    if amount > high and j + 1 < len(below):
-                        continue
-                    todo.remove(i)
-                    if abs(amount - low) <= tolerance[measure] or depth + 1 == len(levels) and amount - low <= high - amount:
-                        found[i] = Splitter(*at(a, b), n, s)
-                    elif abs(amount - high) <= tolerance[measure] or depth + 1 == len(levels):
-                        found[i] = Splitter(*at(*after), n + cn, s + cs)
-                    else:
-                        next_open.setdefault((a, b), []).append(i)
-                        next_before[(a, b)] = (n, s)
-                n, s = n + cn, s + cs
-        if not next_open:
+        open_targets = []
+        for r in picked:
+            (measure, amount), (n, s) = targets[r.i], before[r.i]
+            first, last = (n + r.rows - r.n, s + r.bytes - r.s), (n + r.rows, s + r.bytes)
+            low, high = (x[measure == "bytes"] for x in (first, last))
+            after = tuple(r.after) if r.after else (r.a, r.b + 1) if column == "doc" else (r.a + 1, r.b)
+            if abs(amount - low) <= tolerance[measure] or depth + 1 == len(levels) and amount - low <= high - amount:
+                found[r.i] = Splitter(*at(r.a, r.b), *first)
+            elif abs(amount - high) <= tolerance[measure] or depth + 1 == len(levels):
+                found[r.i] = Splitter(*at(*after), *last)
+            else:
+                open_targets.append((r.i, r.a, r.b, *first))
+        if not open_targets:
             break
-        open_cells, before = next_open, next_before
     return [found[i] for i in range(len(targets))]
 
 
