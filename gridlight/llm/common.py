@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; without one nothing can be written."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        found = spark.sparkContext.getCheckpointDir()
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return found.rstrip("/")
 
 

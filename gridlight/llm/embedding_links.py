@@ -1,9 +1,11 @@
 """Embedding near-duplicates (operator 9): randomised-rotation binary codes with correction factors.
 
 A unit vector is rotated by a random orthogonal matrix and kept as the signs of its coordinates, with
-the factor that makes inner-product estimates from signs unbiased (the RaBitQ estimator). Tables of
-sign bits along directions of their own find candidate pairs; the estimate and its confidence bound drop pairs that are certainly
-below the threshold; what is left is recomputed exactly in double precision.
+the factor that makes inner-product estimates from signs unbiased (the RaBitQ estimator), and as its
+turned coordinates in bytes, for its side of an estimate as the query. Tables of sign bits along
+directions of their own find candidate pairs. Only these codes are exchanged for them: the estimate and
+its confidence bounds drop pairs that are certainly below the threshold, and the full vectors are
+fetched for what is left, which is recomputed exactly in double precision.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ class Settings:
     miss: float = 0.002
     sigmas: float = 6.0
     block: int = 1024
+    sparse: int = 4  # pairs for each member of two blocks up to which they are listed; beyond, the blocks' full vectors are compared
     seed: int = 9
 
     def tables(self, rows: int) -> tuple[int, int]:
@@ -52,23 +55,29 @@ def codes(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turned > 0, np.abs(turned).sum(1) / math.sqrt(unit.shape[1])
 
 
-def estimates(query: np.ndarray, bits: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimates, standard deviations) of the inner products of turned unit ``query`` rows with coded vectors.
+def in_bytes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signed bytes, step) of turned rows: coordinates are at most half a step off."""
+    step = np.maximum(np.abs(turned).max(1), 1e-300) / 127
+    return np.rint(turned / step[:, None]).astype(np.int8), step
+
+
+def bounds(query: np.ndarray, bits: np.ndarray, factor: np.ndarray, sigmas: float, step: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(estimates, lower, upper confidence bounds) of the inner products of turned ``query`` rows with coded unit vectors.
 
     The estimate is <code, query> / factor. Its error comes from the part of the code orthogonal to the
-    vector, in a direction that the rotation makes uniform in size - 1 dimensions.
+    vector, in a direction that the rotation makes uniform in size - 1 dimensions: its deviation is
+    k * sqrt(1 - c * c) for an inner product c, and the bounds are the c that lie ``sigmas`` such deviations off
+    the estimate, on either side. ``step`` is that of queries in bytes, whose largest possible error is added.
     """
     size = query.shape[1]
     signs = np.where(bits, 1.0, -1.0) / math.sqrt(size)
     guess = query @ signs.T / factor
-    spread = np.sqrt(np.maximum(0, 1 - np.minimum(1, guess) ** 2))
-    return guess, np.maximum(spread, 0.05) * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, size - 1))
-
-
-def _possible(query: np.ndarray, bits: np.ndarray, factor: np.ndarray, settings: Settings) -> np.ndarray:
-    """Which pairs the confidence bound does not put below the threshold."""
-    guess, spread = estimates(query, bits, factor)
-    return guess + settings.sigmas * spread >= settings.cosine
+    k2 = sigmas**2 * np.maximum(0, 1 - factor**2) / factor**2 / max(1, size - 1)
+    wide = np.sqrt(k2 * np.maximum(0, 1 + k2 - guess**2))
+    slack = np.asarray(step).reshape(-1, 1) * (math.sqrt(size) / 2) / factor
+    low, high = (guess - wide) / (1 + k2) - slack, (guess + wide) / (1 + k2) + slack
+    beyond = guess**2 > 1 + k2  # more than any inner product allows: the nearest possible
+    return guess, np.where(beyond, np.minimum(low, np.sign(guess)), low), np.where(beyond, np.maximum(high, np.sign(guess)), high)
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -114,72 +123,141 @@ def groups(count: int) -> Column:
     return F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("t", "key"), F.lit(max(64, count // 256)))).otherwise(F.xxhash64("t", "key", "i", "j"))
 
 
+CELL = ["t", "key", "i", "j"]
+
+
+def _cells(rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray | None]]:
+    """(rows of two blocks, places of the first block's, places of the second's or None for one block with itself) of a group."""
+    for (_, _, i, j), cell in rows.sort_values([*CELL, "node"]).groupby(CELL, sort=False):
+        mine = cell["mine"].to_numpy()
+        yield cell, np.flatnonzero(mine == i), None if i == j else np.flatnonzero(mine == j)
+
+
+def _fresh(a: np.ndarray, b: np.ndarray, t: np.ndarray | int, bits: int, tables: int, seed: int) -> np.ndarray:
+    """Whether no table before ``t`` has both vectors of a pair in one bucket: a pair counts in the first of its tables."""
+    same = table_keys(a, bits, tables, seed) == table_keys(b, bits, tables, seed)
+    return same.argmax(1) == t
+
+
 def links(nodes: DataFrame, settings: Settings) -> DataFrame:
     """For distinct unit vectors (node, weight, unit): rows (a, b, n): with a = b, ``n`` more rows linked to node a; else an edge.
 
-    A bucket of a table is dealt into blocks, and every two blocks are compared in one task, so a
-    crowded bucket is neither one task nor a list of pairs: a task gives each member's count of links
-    and a spanning forest. A pair that shares several buckets counts in the first table that has both.
+    A bucket of a table is dealt into blocks, and every two blocks are sifted in one task from their
+    codes. What the bounds leave is listed as pairs while it is a few for each member; the full
+    vectors of listed pairs are fetched and compared. Two blocks with more are compared in one task from
+    their full vectors, which gives each member's count of links and a spanning forest, so a crowded
+    bucket is neither one task nor a list of its pairs. A pair that shares several buckets counts in
+    the first table that has both.
     """
     held = settings
     count = nodes.count()
+    bits, tables = held.tables(count)
+
+    def by_size(packed: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, unit rows) of packed vectors, those of one length together."""
+        sizes = np.array([len(p) for p in packed])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            yield at, np.frombuffer(b"".join(packed[k] for k in at.tolist()), float).reshape(len(at), -1)
 
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, tables = held.tables(count)
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, weights, packed = (batch.column(c).to_pylist() for c in range(3))
-            by_size: dict[int, list[int]] = {}
-            for k, p in enumerate(packed):
-                by_size.setdefault(len(p) // 8, []).append(k)
-            for size, rows in by_size.items():
-                unit = np.stack([np.frombuffer(packed[k], float) for k in rows])
-                keys = table_keys(unit, bits, tables, held.seed) ^ (size << 44)
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(keys[:, t]), pa.array([ids[k] for k in rows], pa.int64()), pa.array([weights[k] for k in rows], pa.int64())], names=["t", "key", "node", "weight"])
-
-    places = written(nodes.select("node", "weight", "unit").mapInArrow(tag, "t int, key long, node long, weight long"), "places")
+            ids, weights = (batch.column(c).to_numpy() for c in range(2))
+            for at, unit in by_size(batch.column(2).to_pylist()):
+                turn = rotation(unit.shape[1], held.seed)
+                (signs, factor), (query, step) = codes(unit, turn), in_bytes(unit @ turn)
+                keys = table_keys(unit, bits, tables, held.seed) ^ (unit.shape[1] << 47)
+                packed = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (np.packbits(signs, axis=1), query, keys)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(weights[at]), packed[0], pa.array(factor), packed[1], pa.array(step), packed[2]], names=["node", "weight", "code", "factor", "query", "step", "keys"])
+
+    coded = written(nodes.select("node", "weight", "unit").mapInArrow(code, "node long, weight long, code binary, factor double, query binary, step double, keys binary"), "codes")
+    every = F.array(*[F.struct(F.lit(k).alias("t"), F.xxhash64(F.substring("keys", 8 * k + 1, 8)).alias("key")) for k in range(tables)])
+    places = coded.select("node", F.explode(every).alias("at")).select("at.t", "at.key", "node")
     sizes = places.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(settings.block)).cast("int")
     crowded = places.join(sizes, ["t", "key"]).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node", "t"), F.col("blocks")).cast("int"))
-    dealt = crowded.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("t", "key", "node", "weight", "mine", "blocks", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
-    full = dealt.join(nodes.select("node", "unit"), "node")
+    dealt = crowded.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("t", "key", "node", "mine", "blocks", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
+    dealt = written(dealt, "dealt")
+
+    def sift(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for cell, left, right in _cells(rows):
+            first = cell.iloc[0]
+            pairs, dense, members = [], False, len(cell)
+            for size, own in cell.groupby(cell["query"].map(len)).indices.items():
+                ours = left[np.isin(left, own)]
+                theirs = ours if right is None else right[np.isin(right, own)]
+                if not len(ours) or not len(theirs):
+                    continue
+                get = lambda c, at: cell[c].to_numpy()[at]  # noqa: E731, B023
+                step = get("step", ours)
+                query = np.frombuffer(b"".join(get("query", ours)), np.int8).reshape(len(ours), -1) * step[:, None]
+                signs = np.unpackbits(np.frombuffer(b"".join(get("code", theirs)), np.uint8).reshape(len(theirs), -1), axis=1, count=size)
+                possible = bounds(query, signs, get("factor", theirs), held.sigmas, step)[2] >= held.cosine
+                a, b = np.nonzero(np.triu(possible, 1) if right is None else possible)
+                dense = dense or len(a) > held.sparse * members
+                if not dense:
+                    pairs.append(np.stack([get("node", ours)[a], get("node", theirs)[b]], 1))
+            kind = {c: first[c] for c in CELL}
+            if dense:
+                out.append(pd.DataFrame([kind | {"a": None, "b": None}]))
+            elif pairs:
+                a, b = np.concatenate(pairs).T
+                out.append(pd.DataFrame(kind | {"a": pd.array(np.minimum(a, b), "Int64"), "b": pd.array(np.maximum(a, b), "Int64")}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (*CELL, "a", "b")})
+
+    sent = dealt.join(coded.select("node", "code", "factor", "query", "step"), "node")
+    sifted = written(sent.withColumn("group", groups(count)).groupBy("group").applyInPandas(sift, "t int, key long, i int, j int, a long, b long"), "sifted")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, t, wa, wb = (batch.column(c).to_numpy() for c in range(5))
+            x, y = (batch.column(c).to_pylist() for c in (5, 6))
+            for at, first in by_size(x):
+                second = np.frombuffer(b"".join(y[k] for k in at.tolist()), float).reshape(len(at), -1)
+                near = (first * second).sum(1) >= held.cosine
+                at, first, second = at[near], first[near], second[near]
+                at = at[_fresh(first, second, t[at], bits, tables, held.seed)] if len(at) else at
+                zero = np.zeros(len(at), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in ((a[at], b[at], a[at]), (a[at], b[at], b[at]), (wb[at], wa[at], zero))], names=["a", "b", "n"])
+
+    side = lambda c, w, u: nodes.select(F.col("node").alias(c), F.col("weight").alias(w), F.col("unit").alias(u))
+    pairs = sifted.where("a is not null").groupBy("a", "b").agg(F.min("t").alias("t"))
+    full = pairs.join(side("a", "wa", "x"), "a").join(side("b", "wb", "y"), "b").select("a", "b", "t", "wa", "wb", "x", "y")
+    listed = full.mapInArrow(decide, "a long, b long, n long")
+
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        bits, tables = held.tables(count)
         out = []
-        for size, rows in rows.groupby(rows["unit"].map(len)):
-            rows = rows.sort_values(["t", "key", "i", "j", "node"], ignore_index=True)
-            unit = np.frombuffer(b"".join(rows["unit"]), float).reshape(len(rows), -1)
-            turn = rotation(unit.shape[1], held.seed)
-            turned, (code, factor) = unit @ turn, codes(unit, turn)
-            keys = table_keys(unit, bits, tables, held.seed)
-            ids, weight, mine, t = (rows[c].to_numpy() for c in ("node", "weight", "mine", "t"))
-            bucket = rows[["t", "key", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]).any(1)) + 1
-            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
-                if bucket[low, 2] == bucket[low, 3]:
-                    left = right = slice(low, high)
-                    a, b = np.nonzero(np.triu(_possible(turned[left], code[right], factor[right], held), 1))
-                    a, b = a + low, b + low
-                else:
-                    first = low + np.flatnonzero(mine[low:high] == bucket[low, 2])
-                    second = low + np.flatnonzero(mine[low:high] == bucket[low, 3])
-                    a, b = np.nonzero(_possible(turned[first], code[second], factor[second], held))
-                    a, b = first[a], second[b]
-                if len(a):
-                    fresh = ~(keys[a, : t[low]] == keys[b, : t[low]]).any(1)  # a pair counts in the first of its tables
-                    a, b = a[fresh], b[fresh]
-                    near = (unit[a] * unit[b]).sum(1) >= held.cosine
-                    a, b = a[near] - low, b[near] - low
-                if len(a):
-                    own, weights = ids[low:high], weight[low:high]
-                    more = np.bincount(a, weights[b], len(own)) + np.bincount(b, weights[a], len(own))
-                    some = np.flatnonzero(more)
-                    kept = np.array(_forest(np.stack([a, b], 1), len(own)), np.int64).reshape(-1, 2)
-                    out.append(np.stack([own[some], own[some], more[some].astype(np.int64)], 1))
-                    out.append(np.stack([own[kept[:, 0]], own[kept[:, 1]], np.zeros(len(kept), np.int64)], 1))
+        for cell, left, right in _cells(rows):
+            packed, ids, weight, t = cell["unit"].tolist(), cell["node"].to_numpy(), cell["weight"].to_numpy(), int(cell["t"].iloc[0])
+            for own, unit in by_size(packed):
+                ours = np.flatnonzero(np.isin(own, left))
+                theirs = ours if right is None else np.flatnonzero(np.isin(own, right))
+                turn = rotation(unit.shape[1], held.seed)
+                signs, factor = codes(unit[theirs], turn)
+                possible = bounds(unit[ours] @ turn, signs, factor, held.sigmas)[2] >= held.cosine
+                a, b = np.nonzero(np.triu(possible, 1) if right is None else possible)
+                a, b = ours[a], theirs[b]
+                near = np.concatenate([(unit[a[k : k + 50_000]] * unit[b[k : k + 50_000]]).sum(1) >= held.cosine for k in range(0, len(a), 50_000)]) if len(a) else np.zeros(0, bool)
+                a, b = a[near], b[near]
+                if not len(a):
+                    continue
+                keys = table_keys(unit, bits, tables, held.seed)
+                earlier = np.zeros(len(a), bool)
+                for k in range(t):
+                    earlier |= keys[a, k] == keys[b, k]
+                a, b = a[~earlier], b[~earlier]
+                nodes_of, weights = ids[own], weight[own]
+                more = np.bincount(a, weights[b], len(own)) + np.bincount(b, weights[a], len(own))
+                some = np.flatnonzero(more)
+                kept = np.array(_forest(np.stack([a, b], 1), len(own)), np.int64).reshape(-1, 2)
+                out.append(np.stack([nodes_of[some], nodes_of[some], more[some].astype(np.int64)], 1))
+                out.append(np.stack([nodes_of[kept[:, 0]], nodes_of[kept[:, 1]], np.zeros(len(kept), np.int64)], 1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3), np.int64), columns=["a", "b", "n"])
 
-    return full.withColumn("group", groups(count)).groupBy("group").applyInPandas(compare, "a long, b long, n long")
+    dense = sifted.where("a is null").select(*CELL)
+    whole = dealt.join(dense, CELL, "left_semi").join(nodes, "node").select(*CELL, "node", "weight", "mine", "unit")
+    return listed.unionByName(whole.groupBy(*CELL).applyInPandas(compare, "a long, b long, n long"))
 
 
 def near_duplicates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:

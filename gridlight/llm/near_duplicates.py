@@ -184,9 +184,9 @@ def links(nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """
     positions = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("keys", 8 * k + 1, 8).alias("key")) for k in range(settings.bands)])
     members = nodes.select("node", F.explode(positions).alias("at")).select("node", F.xxhash64("at.band", "at.key").alias("bucket"))
-    counted = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.sum(F.hash("node").cast("long")).alias("mix"))
-    # buckets with the same members (equal counts, ends and sums of hashes) are one
-    several = counted.where("n > 1").groupBy("n", "first", "last", "mix").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    counted = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    # buckets with the same members (equal counts, ends and 128 bits of their hashes) are one
+    several = counted.where("n > 1").groupBy("n", "first", "last", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     placed = written(members.join(several, "bucket"), "members")
 
     small = placed.where(F.col("n") <= settings.pairs_up_to).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("m"))

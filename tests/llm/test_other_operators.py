@@ -161,15 +161,16 @@ def brute_links(rows, least=0.95):
     return {i: (n[i], root(i), root(i) == i) for i in up}
 
 
-@pytest.mark.parametrize("block", [1024, 9])
-def test_vectors_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, sparse", [(1024, 4), (9, 4), (1024, 0), (9, 0), (9, 1000)])
+def test_vectors_against_brute_force(spark, block, sparse):
+    """Blocks of a bucket, pairs listed or compared from full vectors: the same links."""
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(12, 64))
     rows = [(k, (centres[k % 12] + rng.normal(0, 0.1 * (k % 4), 64)).tolist()) for k in range(160)]
     rows += [(500 + k, rows[7][1]) for k in range(30)]  # copies
     rows += [(600, [2 * c for c in rows[7][1]]), (601, None), (602, [0.0] * 64), (603, [math.nan] * 64), (604, [None] * 64), (605, [math.inf] * 64), (606, []), (607, [1.0, 0.0]), (608, [1.0, 0.01])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, digest string, n int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_links.near_duplicates(df, embedding_links.Settings(block=block)).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_links.near_duplicates(df, embedding_links.Settings(block=block, sparse=sparse)).collect()}
     assert got == brute_links(rows)
     assert embedding_links.near_duplicates(df.limit(0)).count() == 0
 
@@ -183,10 +184,18 @@ def test_estimates_are_unbiased_and_bounded():
     turn = embedding_links.rotation(64, 9)
     bits, factor = embedding_links.codes(y, turn)
     errors, inside = [], []
-    for k in range(len(x)):
-        guess, spread = embedding_links.estimates(x[k : k + 1] @ turn, bits[k : k + 1], factor[k : k + 1])
-        errors.append(float(guess[0, 0] - x[k] @ y[k]))
-        inside.append(abs(errors[-1]) <= 6 * float(spread[0, 0]))
+    for c, other in ((0.95, y), (0.999, 0.999 * x + math.sqrt(1 - 0.999**2) * y), (0.1, x[::-1])):
+        other = other / np.linalg.norm(other, axis=1)[:, None]
+        bits, factor = embedding_links.codes(other, turn)
+        turned = x @ turn
+        query, step = embedding_links.in_bytes(turned)
+        for k in range(0, len(x), 2):
+            true = x[k] @ other[k]
+            guess, low, high = embedding_links.bounds(turned[k : k + 1], bits[k : k + 1], factor[k : k + 1], 6)
+            errors.append(float(guess[0, 0] - true))
+            inside.append(low[0, 0] - 1e-9 <= true <= high[0, 0] + 1e-9)
+            _, low, high = embedding_links.bounds(query[k : k + 1] * step[k], bits[k : k + 1], factor[k : k + 1], 6, step[k : k + 1])
+            inside.append(low[0, 0] <= true <= high[0, 0])
     assert abs(np.mean(errors)) < 0.01 and all(inside)
 
 
