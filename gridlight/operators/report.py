@@ -6,10 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def fixed(value: Column, places: int = 3) -> Column:
+    """A double as text with ``places`` decimals, rounded by its exact binary value, ties to even; null for null.
+
+    The fraction is scaled to an integer, exactly, by 2^62 and what that leaves by 2^30, and its decimals
+    are taken by integer arithmetic.
+    """
+    v = value.cast("double")
+    size, unit, ten = F.abs(v), 1 << 92, 10**places
+    whole = F.floor(size)
+    scaled = (size - whole) * float(1 << 62)
+    high = F.floor(scaled)
+    low = F.floor((scaled - high) * float(1 << 30))
+    exact = lambda x: F.lit(str(x)).cast("decimal(29,0)")
+    fraction = (high.cast("decimal(19,0)") * F.lit(1 << 30).cast("decimal(10,0)") + low.cast("decimal(10,0)")).cast("decimal(28,0)")
+    big = (fraction * F.lit(ten).cast("decimal(6,0)")).cast("decimal(35,0)")
+    rest = big % exact(unit)
+    digits = F.round((big - rest) / exact(unit)).cast("long")
+    up = (rest > exact(unit // 2)) | ((rest == exact(unit // 2)) & (digits % 2 == 1 if places else whole % 2 == 1))
+    digits = digits + up.cast("long")
+    whole = whole + (digits == ten).cast("long")
+    tail = F.concat(F.lit("."), F.lpad((digits % ten).cast("string"), places, "0")) if places else F.lit("")
+    made = F.concat(F.when(v < 0, "-").otherwise(""), whole.cast("string"), tail)
+    return F.when(size < 1e15, made).otherwise(F.format_string(f"%.{places}f", v))
+
+
 def number(value: str | Column, places: int = 3) -> Column:
     """A number with fixed places, a dash for null."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.when(v.isNull() | F.isnan(v.cast("double")), "—").otherwise(F.format_string(f"%.{places}f", v.cast("double")))
+    return F.when(v.isNull() | F.isnan(v.cast("double")), "—").otherwise(fixed(v, places))
 
 
 def with_interval(point: str, lo: str, hi: str, places: int = 3) -> Column:
@@ -45,7 +70,7 @@ def inline(texts: DataFrame, refs: DataFrame, key: str = "id", text: str = "text
     cut = F.split(F.col(text), r"(?=<!--r:)|(?<=<!--/r-->)")
     pieces = texts.select(key, F.posexplode(cut).alias("pos", "piece")).withColumn("ref", F.regexp_extract("piece", r"(?s)^<!--r:([\w.]+)-->.*<!--/r-->$", 1))
     both = pieces.join(F.broadcast(refs), "ref", "left")
-    value = F.when(F.col("value").isNull(), F.raise_error(F.concat(F.lit("unknown reference "), "ref"))).otherwise(F.format_string("%.3f", "value"))
+    value = F.when(F.col("value").isNull(), F.raise_error(F.concat(F.lit("unknown reference "), "ref"))).otherwise(fixed(F.col("value")))
     new = F.when(F.col("ref") == "", F.col("piece")).otherwise(F.concat(F.lit("<!--r:"), "ref", F.lit("-->"), value, F.lit("<!--/r-->")))
     made = both.select(key, F.struct("pos", new.alias("p")).alias("s"))
     return made.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.p), "").alias(text))
