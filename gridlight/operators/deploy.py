@@ -106,7 +106,7 @@ def export_check(detectors: DataFrame, exported: DataFrame) -> DataFrame:
     ``exported`` has name, ok and ops; pieces that aren't in it are left out, and none at all count as exported.
     """
     rows = detectors.select("detector", "op_class", F.explode("pieces").alias("name")).join(exported, "name", "left")
-    attention = F.arrays_overlap("ops", F.array(*map(F.lit, ("Attention", "MultiHeadAttention", "Softmax"))))
+    attention = F.array_contains("ops", "Softmax")
     got = rows.groupBy("detector", "op_class").agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("pieces_exported"), F.coalesce(F.bool_or(attention), F.lit(False)).alias("has_attention"))
     expected = F.col("op_class") == "transformer_attention"
     return got.select("detector", "pieces_exported", "has_attention", F.when(F.col("pieces_exported"), F.col("has_attention") == expected).otherwise(~expected).alias("corroborated"))
@@ -117,37 +117,52 @@ def log_lines(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(text,)], "t string").select(F.posexplode(F.split("t", "\n")).alias("pos", "line"))
 
 
+#: Fixed values of the two compilers' logs: columns of a table's header, data types and targets of its rows, operators that only
+#: feed a graph; the status of a mapped operator.
+COLUMNS, TYPES, TARGETS, ENDS = ("ID", "OpType", "Target"), ("FLOAT16", "INT64", "INT8", "BOOL", "FLOAT"), ("NPU", "CPU"), ("InputOperator", "OutputOperator")
+MAPPED = "Mapped to Edge TPU"
+#: Operators that select from a bank, and that only change a layout or a sign.
+SELECT = ("TopK", "ArgMin", "ArgMax", "TOPK_V2", "ARG_MIN", "ARG_MAX")
+LAYOUT = ("Reshape", "TRANSPOSE", "QUANTIZE", "DEQUANTIZE", "Neg", "NEG")
+
+
 def parse_rknn(lines: DataFrame, names: list[str]) -> DataFrame:
     """(graph, pos, op, target) of operator tables: a header begins one, the first foreign line ends it; graphs are named in order.
 
-    Running sums mark the table and whether it has ended. The window has one partition because a log is one.
+    Lines are cut into words. A row is a number, an operator, a data type and a target in a row; other lines of
+    the compiler and empty ones don't end a table. Running sums mark the table and whether it has ended. The window has one partition because a log is one.
     """
-    w = Window.partitionBy(F.lit(1)).orderBy("pos")
-    header = F.col("line").rlike(r"\bID\b.*\bOpType\b.*\bTarget\b")
-    row = r"\b\d+\s+(\w+)\s+(?:FLOAT16|INT64|INT8|BOOL|FLOAT)\s+(NPU|CPU)\b"
-    foreign = ~header & ~F.col("line").rlike(row) & (F.trim("line") != "") & ~F.col("line").contains("OpType") & ~F.col("line").contains("RKNN:")
-    t = lines.withColumns({"table": F.sum(header.cast("int")).over(w), "op": F.regexp_extract("line", row, 1), "target": F.regexp_extract("line", row, 2), "foreign": foreign.cast("int")})
+    w, words = Window.partitionBy(F.lit(1)).orderBy("pos"), F.split(F.trim("line"), r"\s+")
+    t = lines.withColumn("words", words).withColumn("at", F.array_position(F.transform("words", lambda x: x.rlike("^[0-9]+$")), True).cast("int"))
+    word = lambda k: F.get("words", F.col("at") - 1 + k)
+    is_row = F.coalesce((F.col("at") > 0) & word(2).isin(*TYPES) & word(3).isin(*TARGETS), F.lit(False))
+    header = F.forall(F.array(*map(F.lit, COLUMNS)), lambda c: F.array_contains("words", c))
+    foreign = ~header & ~is_row & (F.trim("line") != "") & ~F.exists("words", lambda x: x.endswith("RKNN:"))
+    t = t.withColumns({"table": F.sum(header.cast("int")).over(w), "row": is_row, "foreign": foreign.cast("int"), "op": word(1), "target": word(3)})
     t = t.withColumn("ended", F.sum("foreign").over(Window.partitionBy("table").orderBy("pos")))
-    kept = t.where("table > 0 and ended = 0 and op != '' and op not in ('InputOperator', 'OutputOperator')")
+    kept = t.where("table > 0 and ended = 0 and row").where(~F.col("op").isin(*ENDS))
     kept = kept.withColumn("k", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("table")))
     return kept.select(F.get(F.array(*map(F.lit, names)), (F.col("k") - 1).cast("int")).alias("graph"), "pos", "op", "target").where("graph is not null")
 
 
 def parse_edgetpu(lines: DataFrame) -> DataFrame:
-    """(graph, pos, op, n, target) of operator tables under headlines; the headline carries down."""
-    w = Window.partitionBy(F.lit(1)).orderBy("pos")
-    head = F.regexp_extract("line", r"^=+\s*(\w+)\s*=+", 1)
-    row = r"^([A-Z][A-Z0-9_]+)\s+(\d+)\s+(.+?)\s*$"
-    t = lines.withColumn("graph", F.last(F.when(head != "", head), ignorenulls=True).over(w))
-    t = t.where(F.col("graph").isNotNull() & F.col("line").rlike(row))
-    return t.select("graph", "pos", F.regexp_extract("line", row, 1).alias("op"), F.regexp_extract("line", row, 2).cast("long").alias("n"), F.when(F.regexp_extract("line", row, 3).contains("Mapped to Edge TPU"), "EDGETPU").otherwise("CPU").alias("target"))
+    """(graph, pos, op, n, target) of operator tables under headlines (a name between rulers), which carry down.
+
+    A row is an operator in capitals, a count and a status.
+    """
+    w, words = Window.partitionBy(F.lit(1)).orderBy("pos"), F.split(F.trim("line"), r"\s+")
+    name = F.when(F.startswith("line", F.lit("=")), F.trim(F.translate("line", "=", " ")))
+    t = lines.withColumns({"words": words, "graph": F.last(F.nullif(name, F.lit("")), ignorenulls=True).over(w)})
+    word = lambda k: F.get("words", F.lit(k))
+    is_row = (F.size("words") > 2) & (word(0) == F.upper(word(0))) & word(0).rlike("^[A-Z]") & word(1).rlike("^[0-9]+$")
+    target = F.when(F.contains("line", F.lit(MAPPED)), "EDGETPU").otherwise("CPU")
+    return t.where(F.col("graph").isNotNull() & is_row).select("graph", "pos", word(0).alias("op"), word(1).cast("long").alias("n"), target.alias("target"))
 
 
 def op_verdict(ops: DataFrame) -> DataFrame:
     """(graph, verdict) of compiled operators: native, host_tail if only the selection and reshaping are on the host, else the host's operators."""
-    tail, layout = ("TopK", "ArgMin", "ArgMax", "TOPK_V2", "ARG_MIN", "ARG_MAX"), ("Reshape", "TRANSPOSE", "QUANTIZE", "DEQUANTIZE", "Neg", "NEG")
     host: Column = ~F.col("target").isin("NPU", "EDGETPU")
-    g = ops.groupBy("graph").agg(F.array_sort(F.collect_set(F.when(host, F.col("op")))).alias("host"), F.bool_or(F.col("op").isin(*tail)).alias("tail"), F.bool_and(~host | F.col("op").isin(*tail, *layout)).alias("rest"))
+    g = ops.groupBy("graph").agg(F.array_sort(F.collect_set(F.when(host, F.col("op")))).alias("host"), F.bool_or(F.col("op").isin(*SELECT)).alias("tail"), F.bool_and(~host | F.col("op").isin(*SELECT, *LAYOUT)).alias("rest"))
     return g.select("graph", F.when(F.size("host") == 0, "native").when(F.col("tail") & F.col("rest"), "host_tail").otherwise(F.concat(F.lit("host_fragmented("), F.substring(F.array_join("host", ","), 1, 60), F.lit(")"))).alias("verdict"))
 
 

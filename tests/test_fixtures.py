@@ -128,8 +128,8 @@ def test_verdicts(spark):
 
 
 def test_mesh_text(spark):
-    v, f = deploy.parse_obj(deploy.log_lines(spark, "v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1/4/7 2/5/8 3/6/9"))
-    assert v.count() == 3 and one(f).face == [0, 1, 2]
+    v, f = deploy.parse_obj(deploy.log_lines(spark, "v 4 -1 0.5\nv 2 2 2\nv 0 0 9\nv 1 1 1\nf 4/1/1 2/2/2 3/3/3"))
+    assert v.count() == 4 and one(f).face == [3, 1, 2]
 
 
 def test_strict_invariants_raise(spark):
