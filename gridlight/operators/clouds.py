@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlight.operators.grid import lattice
 from gridlight.operators.graph import components
 
 
@@ -64,11 +65,6 @@ def descriptors(points: DataFrame, key: str, k: int) -> DataFrame:
     return points.select(key, "vec_id", "x", "y", "z").groupBy(key).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, vec_id long, fpfh array<double>")
 
 
-def lattice(seed: Column, x: Column, y: Column) -> Column:
-    """A number in [0, 1) for each whole lattice point, a fixed function of its place."""
-    return F.pmod((seed * 7919 + x * 104729 + y * 1299709) * 48271, F.lit(1000003)) / F.lit(1000003.0)
-
-
 def noise(seed: Column, u: Column, v: Column, cell: float) -> Column:
     """Bilinear value noise at (u, v) over a lattice of the given cell size."""
     x, y = F.floor(u / cell), F.floor(v / cell)
@@ -81,3 +77,17 @@ def gauss(seed: Column, x: Column, y: Column) -> Column:
     """A standard normal number by Box-Muller from two lattice numbers."""
     a, b = lattice(seed, x, y), lattice(seed + 1, x + 17, y + 31)
     return F.sqrt(-2 * F.log(a + F.lit(1e-9))) * F.cos(2 * F.lit(np.pi) * b)
+
+
+def noise_defect(points: DataFrame, cell: float) -> DataFrame:
+    """``points`` with m, hit and blended: value noise, whether it is above the image's threshold, and the height, there mixed with noise.
+
+    The threshold lies between 0.6 and 0.8 and the share of noise between 0.2 and 1, both fixed functions of the
+    image's id; the noise has the deviation of the image's heights.
+    """
+    image = lambda x, y: lattice(F.col("vec_id"), F.lit(x), F.lit(y))
+    beta = 0.2 + 0.8 * image(47, 53)
+    made = points.withColumn("m", noise(F.col("vec_id"), F.col("u"), F.col("v"), cell)).withColumn("hit", F.col("m") > 0.6 + 0.2 * image(41, 43))
+    sd = points.groupBy("vec_id").agg(F.stddev_pop("z").alias("sd"))
+    mixed = beta * F.col("sd") * gauss(F.col("vec_id") + 5, F.col("u"), F.col("v")) + (1 - beta) * F.col("z")
+    return made.join(sd, "vec_id").withColumn("blended", F.when(F.col("hit"), mixed).otherwise(F.col("z")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def _norm(x: list[Column]) -> Column:
     return F.sqrt(x[0] * x[0] + x[1] * x[1] + x[2] * x[2])
 
 
+def lattice(seed: Column, x: Column, y: Column) -> Column:
+    """A number in [0, 1) for each whole lattice point, a fixed function of its place."""
+    return F.pmod((seed * 7919 + x * 104729 + y * 1299709) * 48271, F.lit(1000003)) / F.lit(1000003.0)
+
+
 def _lines() -> dict:
     return {"v": Window.partitionBy("vec_id", "u").orderBy("v"), "u": Window.partitionBy("vec_id", "v").orderBy("u")}
 
@@ -58,11 +65,23 @@ def grazing(points: DataFrame) -> DataFrame:
     return g.select("vec_id", "v", "u", "valid", F.when(length > 1e-12, F.abs("c") / length).otherwise(1.0).alias("cos"))
 
 
-def dropout(cosines: DataFrame, mean: float, most: float) -> DataFrame:
-    """Drop probability in proportion to 1 - cos, with the given mean over an image's valid pixels, at most ``most``; draws are a fixed function of the pixel."""
-    grid = cosines.where("valid")
-    m = grid.groupBy("vec_id").agg(F.avg(1 - F.col("cos")).alias("m"))
-    p = F.when(F.col("m") > 0, F.least((1 - F.col("cos")) * mean / F.col("m"), F.lit(most))).otherwise(mean)
+#: Fixed values of the sensor model: axial noise at normal incidence, least cosine, mean and most drop probability, share and size of spikes.
+SIGMA, LEAST_COS, DROP_MEAN, DROP_MOST, SPIKES, SPIKE_SIZE = 8e-4, 0.15, 0.11, 0.6, 0.02, 0.02
+
+
+def excess() -> Column:
+    """How much more than at normal incidence the sensor's noise is, less one: 1 / cos - 1, the cosine being clamped."""
+    return 1 / F.least(F.greatest(F.col("cos"), F.lit(LEAST_COS)), F.lit(1.0)) - 1
+
+
+def dropout(cosines: DataFrame, mean: float = DROP_MEAN, most: float = DROP_MOST) -> DataFrame:
+    """Drop probability of every valid pixel, and a draw that is a fixed function of the pixel.
+
+    It grows with 1 / cos - 1 up to ``most``, is scaled to the given mean over an image's valid pixels, and cut at ``most`` again.
+    """
+    grid = cosines.where("valid").withColumn("p", F.least(F.lit(most) * excess(), F.lit(most)))
+    m = grid.groupBy("vec_id").agg(F.greatest(F.avg("p"), F.lit(1e-6)).alias("m"))
+    p = F.least(F.col("p") * (mean / F.col("m")), F.lit(most))
     draw = (F.col("vec_id") * 7919 + F.col("v") * 104729 + F.col("u") * 1299709) % 1000003 / F.lit(1000003.0)
     return grid.join(m, "vec_id").withColumn("p_drop", p).select("vec_id", "v", "u", "p_drop", (draw < F.col("p_drop")).alias("dropped"))
 
@@ -113,19 +132,46 @@ def box_center_clip(points: DataFrame, scale: float, within: float) -> DataFrame
     return box.join(kept, "vec_id")
 
 
-def dent(points: DataFrame, edge: float, depth: float) -> DataFrame:
-    """An elliptic Gaussian dent, centre and radii by the image's id: (vec_id, pixels where the profile is above ``edge``, their displacement)."""
-    i = F.col("vec_id")
-    x, y = F.col("u") - i % 8, F.col("v") - F.expr("vec_id div 8") % 8
-    f = F.exp(-(x**2 / (2 * (1 + i % 3) ** 2) + y**2 / (2 * (1 + i % 2) ** 2)))
-    profile = points.where("valid").select("vec_id", f.alias("f"))
-    return profile.groupBy("vec_id").agg(F.sum((F.col("f") > edge).cast("long")).alias("n_mask"), F.sum(F.when(F.col("f") > edge, depth * F.col("f")).otherwise(0.0)).alias("moved"))
+#: Kinds of synthetic defects, by number.
+DENT, BUMP, SCRATCH, CONTAMINATION = range(4)
+
+
+def draw(k: int, low: float = 0.0, high: float = 1.0) -> Column:
+    """The k-th number of an image between two limits, a fixed function of its id."""
+    return low + (high - low) * lattice(F.col("vec_id"), F.lit(k), F.lit(31 * k))
+
+
+def defect(points: DataFrame, h: int, w: int, edge: float) -> DataFrame:
+    """(vec_id, kind, n_mask, moved): a synthetic defect in every image, the pixels that its profile exceeds ``edge`` in, and their displacement.
+
+    The profile is a rotated ellipse, 1 - r^2 cut at 0, or for a scratch a thin line of limited length; it is
+    0 off the object. Valid pixels move along the normal by a share of the object's extent in z: up for
+    bumps, down for all others.
+    """
+    y, x, a = F.col("v") - draw(1, 0.2, 0.8) * h, F.col("u") - draw(2, 0.2, 0.8) * w, draw(3, 0.0, math.pi)
+    along, across = y * F.cos(a) + x * F.sin(a), x * F.cos(a) - y * F.sin(a)
+    blob = 1 - ((along / (draw(4, 0.03, 0.14) * h)) ** 2 + (across / (draw(5, 0.03, 0.14) * w)) ** 2)
+    line = F.when(F.abs(along) < draw(6, 0.15, 0.4) * h / 2, 1 - (across / (draw(7, 0.004, 0.012) * h)) ** 2)
+    kind = F.floor(draw(0) * 4).cast("int")
+    extent = Window.partitionBy("vec_id")
+    on = points.where("valid").withColumns({"kind": kind, "extent": F.greatest(F.max("z").over(extent) - F.min("z").over(extent), F.lit(1e-6))})
+    on = on.withColumn("f", F.greatest(F.when(F.col("kind") == SCRATCH, line).otherwise(blob), F.lit(0.0)))
+    share = F.when(F.col("kind") == SCRATCH, draw(8, 0.2, 0.5)).otherwise(draw(8, 0.15, 0.35))
+    moved = F.when(F.col("kind") == BUMP, 1.0).otherwise(-1.0) * share * F.col("extent") * F.when(F.col("f") > edge, F.col("f")).otherwise(0.0)
+    return on.withColumn("moved", moved).groupBy("vec_id", "kind").agg(F.sum((F.col("f") > edge).cast("long")).alias("n_mask"), F.sum("moved").alias("moved"))
 
 
 def deform(points: DataFrame, sign: float) -> DataFrame:
-    """A Gaussian bump along z around vertex id % 64: amplitude 5 % and width 10 % of the mesh's largest extent."""
-    size = points.groupBy("vec_id").agg(F.greatest(*(F.max(c) - F.min(c) for c in "xyz")).alias("ext"))
-    centre = points.where(F.col("pix") == F.col("vec_id") % 64).select("vec_id", *(F.col(c).alias(f"p{c}") for c in "xyz"))
+    """(vec_id, amplitude, sum_z): a Gaussian displacement along z around one vertex, in the direction of ``sign``.
+
+    Width and amplitude are shares of the length of the bounding box's diagonal; they and the vertex are
+    fixed functions of the image's id.
+    """
+    diagonal = F.sqrt(sum(((F.max(c) - F.min(c)) ** 2 for c in "xyz"), F.lit(0.0)))
+    size = points.groupBy("vec_id").agg(diagonal.alias("ext"), F.count("*").alias("n"))
+    size = size.select("vec_id", (F.col("ext") * draw(1, 0.05, 0.12)).alias("radius"), (F.col("ext") * draw(2, 0.03, 0.06)).alias("amplitude"), F.floor(draw(3) * F.col("n")).alias("vertex"))
+    all_ = points.join(size, "vec_id")
+    centre = all_.where("pix = vertex").select("vec_id", *(F.col(c).alias(f"p{c}") for c in "xyz"))
     d2 = sum(((F.col(c) - F.col(f"p{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    moved = F.col("z") + sign * 0.05 * F.col("ext") * F.exp(-d2 / (2 * (0.1 * F.col("ext")) ** 2))
-    return points.join(size, "vec_id").join(centre, "vec_id").groupBy("vec_id").agg(F.max(0.05 * F.col("ext")).alias("amplitude"), F.sum(moved).alias("sum_z"))
+    moved = F.col("z") + sign * F.col("amplitude") * F.exp(-d2 / (2 * F.col("radius") ** 2))
+    return all_.join(centre, "vec_id").groupBy("vec_id").agg(F.max("amplitude").alias("amplitude"), F.sum(moved).alias("sum_z"))

@@ -28,10 +28,21 @@ def finite(metrics: str) -> Column:
     return F.map_filter(metrics, lambda _, v: v.isNotNull() & ~F.isnan(v))
 
 
-def violations(rows: DataFrame, key: str, tolerance: float = 1e-6, most_ece: float = 0.6) -> DataFrame:
-    """(key, rule) of each rule that a row of (mean, lo, hi, ece) breaks."""
-    outside = ~((F.col("lo") - tolerance <= F.col("mean")) & (F.col("mean") <= F.col("hi") + tolerance))
-    found = F.array_compact(F.array(F.when(outside, "bracket"), F.when(~F.col("ece").between(0, most_ece), "ece")))
+def violations(rows: DataFrame, key: str, tolerance: float = 1e-6) -> DataFrame:
+    """(key, rule) of each rule that a row of (mean, point, lo, hi, ece, least, most, delta, a, b) breaks.
+
+    bracket: an interval holds its own point. aggregate: the interval's point is the reported mean. range: where
+    a calibration error is reported, the map's values (least, most) lie in [0, 1]. reconciles: a paired
+    delta is b - a. A rule with an undefined figure holds.
+    """
+    defined = lambda *names: F.coalesce(F.forall(F.array(*(F.col(n).cast("double") for n in names)), lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+    broken = {
+        "bracket": defined("point", "lo", "hi") & ~F.col("point").between(F.col("lo"), F.col("hi")),
+        "aggregate": defined("point", "mean") & (F.abs(F.col("point") - F.col("mean")) > tolerance),
+        "range": F.col("ece").isNotNull() & defined("least", "most") & ((F.col("least") < 0) | (F.col("most") > 1)),
+        "reconciles": defined("delta", "a", "b") & (F.abs(F.col("delta") - (F.col("b") - F.col("a"))) > tolerance),
+    }
+    found = F.array_compact(F.array(*(F.when(c, rule) for rule, c in broken.items())))
     return rows.select(key, F.explode(found).alias("rule"))
 
 

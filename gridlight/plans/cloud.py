@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlight.operators import clouds, grid
 from gridlight.plans.banks import _C, _cloud
-from gridlight.plans.grids import _GRAZING, PIXELS_SQL, scans, surface
+from gridlight.plans.grids import _GRAZING, PIXELS_SQL, scans, surface, lattice_sql
 from gridlight.sources.tables import table
 
 
@@ -34,15 +34,16 @@ def fpfh_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noise_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic defect masks: value noise above 0.6 on the object."""
-    s = surface(spark, sf_dir).where("valid").withColumn("m", clouds.noise(F.col("vec_id"), F.col("u"), F.col("v"), 3.0))
-    return s.groupBy("vec_id").agg(F.round(F.avg("m"), 7).alias("mean"), F.sum((F.col("m") > 0.6).cast("long")).alias("n_mask"))
+    """Synthetic defect masks: value noise above a threshold drawn for each image, on the object; the masked heights are blended with noise."""
+    s = clouds.noise_defect(surface(spark, sf_dir).where("valid"), 3.0)
+    return s.groupBy("vec_id").agg(F.round(F.avg("m"), 7).alias("mean"), F.sum(F.col("hit").cast("long")).alias("n_mask"), (F.round(F.sum("blended"), 6) + F.lit(0.0)).alias("blended"))
 
 
 def sensor_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Axial noise of the sensor model: sigma 0.01 over the grazing cosine, along z only."""
+    """Axial noise of the sensor model, along z only: its deviation grows with 1 / cos, and so does the chance of a spike."""
     g = grid.grazing(surface(spark, sf_dir)).where("valid")
-    z = 0.01 / F.greatest(F.col("cos"), F.lit(0.1)) * clouds.gauss(F.col("vec_id"), F.col("u"), F.col("v"))
+    hit = clouds.lattice(F.col("vec_id") + 2, F.col("u") + 5, F.col("v") + 11) < grid.SPIKES * grid.excess()
+    z = grid.SIGMA * (1 + grid.excess()) * clouds.gauss(F.col("vec_id"), F.col("u"), F.col("v")) + F.when(hit, grid.SPIKE_SIZE * clouds.gauss(F.col("vec_id") + 3, F.col("u"), F.col("v"))).otherwise(0.0)
     return g.withColumn("dz", z).groupBy("vec_id").agg(F.round(F.sum("dz"), 6).alias("sum_dz"), F.round(F.max(F.abs("dz")), 6).alias("max_dz"))
 
 
@@ -70,19 +71,19 @@ re AS (SELECT a AS s, a AS t FROM co UNION SELECT re.s, ln.b FROM re JOIN ln ON
 db AS (SELECT c.vec_id, coalesce(min(comp) FILTER (WHERE nb.b = c.vec_id), min(comp)) AS cluster FROM c LEFT JOIN nb ON nb.a = c.vec_id LEFT JOIN cm ON cm.b = nb.b GROUP BY 1)"""
 
 
-def _lat(seed: str, x: str, y: str) -> str:
-    return f"(((({seed}) * 7919 + ({x}) * 104729 + ({y}) * 1299709) * 48271 % 1000003 + 1000003) % 1000003 / 1000003e0)"
+_X, _Y = "CAST(floor(u / 3e0) AS BIGINT)", "CAST(floor(v / 3e0) AS BIGINT)"
+_NOISE = f"(1 - (v / 3e0 - {_Y})) * ((1 - (u / 3e0 - {_X})) * {lattice_sql('vec_id', _X, _Y)} + (u / 3e0 - {_X}) * {lattice_sql('vec_id', _X + ' + 1', _Y)}) + (v / 3e0 - {_Y}) * ((1 - (u / 3e0 - {_X})) * {lattice_sql('vec_id', _X, _Y + ' + 1')} + (u / 3e0 - {_X}) * {lattice_sql('vec_id', _X + ' + 1', _Y + ' + 1')})"
 
+def _gauss(seed: str) -> str:
+    return f"(sqrt(-2 * ln({lattice_sql(seed, 'u', 'v')} + 1e-9)) * cos(2 * pi() * {lattice_sql(seed + ' + 1', 'u + 17', 'v + 31')}))"
 
-_X, _Y = "CAST(floor(u / 3e0) AS BIGINT)", "CAST(floor(v / 3e0) AS BIGINT)"
-_NOISE = f"(1 - (v / 3e0 - {_Y})) * ((1 - (u / 3e0 - {_X})) * {_lat('vec_id', _X, _Y)} + (u / 3e0 - {_X}) * {_lat('vec_id', _X + ' + 1', _Y)}) + (v / 3e0 - {_Y}) * ((1 - (u / 3e0 - {_X})) * {_lat('vec_id', _X, _Y + ' + 1')} + (u / 3e0 - {_X}) * {_lat('vec_id', _X + ' + 1', _Y + ' + 1')})"
 
 QUERIES = {f.__name__: f for f in (radius_pairs, dbscan_clusters, largest_cluster, fpfh_descriptors, noise_mask, sensor_jitter, pca_reconstruction, organized_points)}
 ORACLES = {
     "radius_pairs": f"WITH {_P8} SELECT a AS vec_id, count(*) AS n FROM nb GROUP BY 1",
     "dbscan_clusters": f"WITH RECURSIVE {_DB} SELECT vec_id, coalesce(cluster, -1) AS cluster FROM db",
     "largest_cluster": f"WITH RECURSIVE {_DB} SELECT cluster, count(*) AS n FROM db WHERE cluster IS NOT NULL GROUP BY 1 ORDER BY n DESC, cluster LIMIT 1",
-    "noise_mask": f"SELECT vec_id, round(avg(m), 7) AS mean, CAST(sum(CAST(m > 0.6 AS INT)) AS BIGINT) AS n_mask FROM (SELECT vec_id, {_NOISE} AS m FROM ({PIXELS_SQL}) WHERE valid) GROUP BY 1",
-    "sensor_jitter": f"WITH {_GRAZING} SELECT vec_id, round(sum(dz), 6) AS sum_dz, round(max(abs(dz)), 6) AS max_dz FROM (SELECT vec_id, 0.01e0 / greatest(cos, 0.1e0) * sqrt(-2 * ln({_lat('vec_id', 'u', 'v')} + 1e-9)) * cos(2 * pi() * {_lat('vec_id + 1', 'u + 17', 'v + 31')}) AS dz FROM g WHERE valid) GROUP BY 1",
+    "noise_mask": f"WITH n AS (SELECT vec_id, u, v, amap + 2 AS z, {_NOISE} AS m, 0.6e0 + 0.2e0 * {lattice_sql('vec_id', '41', '43')} AS low, 0.2e0 + 0.8e0 * {lattice_sql('vec_id', '47', '53')} AS beta FROM ({PIXELS_SQL}) WHERE valid), d AS (SELECT vec_id, stddev_pop(z) AS sd FROM n GROUP BY 1) SELECT vec_id, round(avg(m), 7) AS mean, CAST(sum(CAST(m > low AS INT)) AS BIGINT) AS n_mask, round(sum(CASE WHEN m > low THEN beta * sd * {_gauss('vec_id + 5')} + (1 - beta) * z ELSE z END), 6) + 0.0 AS blended FROM n JOIN d USING (vec_id) GROUP BY 1",
+    "sensor_jitter": f"WITH {_GRAZING}, q1 AS (SELECT *, 1 / least(greatest(cos, 0.15e0), 1e0) - 1 AS ex FROM g WHERE valid) SELECT vec_id, round(sum(dz), 6) AS sum_dz, round(max(abs(dz)), 6) AS max_dz FROM (SELECT vec_id, 8e-4 * (1 + ex) * {_gauss('vec_id')} + CASE WHEN {lattice_sql('vec_id + 2', 'u + 5', 'v + 11')} < 0.02e0 * ex THEN 0.02e0 * {_gauss('vec_id + 3')} ELSE 0 END AS dz FROM q1) GROUP BY 1",
     "organized_points": f"SELECT vec_id, count(*) AS n, CAST(sum(CAST(mask AS INT)) AS BIGINT) AS red, round(sum(least(greatest((amap + 1) / 2, 0), 1)), 7) AS colour FROM ({PIXELS_SQL}) WHERE valid GROUP BY 1",
 }

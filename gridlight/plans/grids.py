@@ -31,7 +31,7 @@ def grazing_cos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sensor_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drop probability of every valid pixel, calibrated to a mean of 0.11 for each image, and the draw that decides."""
-    return _rounded(grid.dropout(grid.grazing(surface(spark, sf_dir)), 0.11, 0.6), "p_drop")
+    return _rounded(grid.dropout(grid.grazing(surface(spark, sf_dir))), "p_drop")
 
 
 def backproject(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,8 @@ def depth_diff_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def defect_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An elliptic dent in every image, its place and size by the image's id: pixels in the mask and the summed displacement."""
-    return _rounded(grid.dent(surface(spark, sf_dir), 0.05, 0.5), "moved")
+    """A synthetic defect in every image, its kind, place and size by the image's id: pixels in the mask and the summed displacement."""
+    return _rounded(grid.defect(surface(spark, sf_dir), 8, 8, 0.05), "moved")
 
 
 def mesh_deform(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +89,21 @@ def _r(*columns: str) -> str:
     return ", ".join(f"round({c} + 0.0, 6) + 0.0 AS {c}" for c in columns)
 
 
+def lattice_sql(seed: str, x: str, y: str) -> str:
+    return f"(((({seed}) * 7919 + ({x}) * 104729 + ({y}) * 1299709) * 48271 % 1000003 + 1000003) % 1000003 / 1000003e0)"
+
+
+def _draw(k: int, low: float = 0.0, high: float = 1.0) -> str:
+    return f"({low}e0 + {high - low!r} * {lattice_sql('vec_id', str(k), str(31 * k))})"
+
+
+def _beside(c: str, t: str) -> str:
+    """Sum of the valid forward and backward differences of ``c`` in the window ``t``."""
+    return f"CASE WHEN valid AND lead(valid) OVER {t} THEN lead({c}) OVER {t} - {c} ELSE 0 END + CASE WHEN valid AND lag(valid) OVER {t} THEN {c} - lag({c}) OVER {t} ELSE 0 END"
+
+
 _NORMALS = f"""WITH {_S},
-n AS (SELECT s.vec_id, s.v, s.u, s.x, s.y, s.z, s.valid,
-  {", ".join(f"CASE WHEN s.valid AND {b}.valid THEN {b}.{c} - s.{c} ELSE 0 END + CASE WHEN s.valid AND {a}.valid THEN s.{c} - {a}.{c} ELSE 0 END AS {t}{c}" for t, a, b in (("v", "up", "dn"), ("u", "lf", "rt")) for c in "xyz")}
-  FROM s LEFT JOIN s up ON up.vec_id = s.vec_id AND up.v = s.v - 1 AND up.u = s.u LEFT JOIN s dn ON dn.vec_id = s.vec_id AND dn.v = s.v + 1 AND dn.u = s.u
-  LEFT JOIN s lf ON lf.vec_id = s.vec_id AND lf.v = s.v AND lf.u = s.u - 1 LEFT JOIN s rt ON rt.vec_id = s.vec_id AND rt.v = s.v AND rt.u = s.u + 1),
+n AS (SELECT vec_id, v, u, x, y, z, valid, {", ".join(f"{_beside(c, f'w{t}')} AS {t}{c}" for t in "vu" for c in "xyz")} FROM s WINDOW wv AS (PARTITION BY vec_id, u ORDER BY v), wu AS (PARTITION BY vec_id, v ORDER BY u)),
 c AS (SELECT *, vy * uz - vz * uy AS a, vz * ux - vx * uz AS b, vx * uy - vy * ux AS c FROM n),
 k AS (SELECT *, sqrt(a * a + b * b + c * c) AS len, CASE WHEN a * x + b * y + c * z > 0 THEN -1e0 ELSE 1e0 END AS sg FROM c),
 o AS (SELECT vec_id, v, u, CASE WHEN valid AND len > 1e-12 THEN sg * a / len ELSE 0 END AS nx, CASE WHEN valid AND len > 1e-12 THEN sg * b / len ELSE 0 END AS ny, CASE WHEN valid AND len > 1e-12 THEN sg * c / len ELSE 0 END AS nz FROM k)
@@ -109,15 +119,19 @@ QUERIES = {f.__name__: f for f in (grid_normals, grazing_cos, sensor_dropout, ba
 ORACLES = {
     "grid_normals": _NORMALS,
     "grazing_cos": f"WITH {_GRAZING} SELECT vec_id, v, u, valid, {_r('cos')} FROM g",
-    "sensor_dropout": f"WITH {_GRAZING}, m AS (SELECT vec_id, avg(1 - cos) AS m FROM g WHERE valid GROUP BY 1) SELECT vec_id, v, u, round(p_drop + 0.0, 6) + 0.0 AS p_drop, (vec_id * 7919 + v * 104729 + u * 1299709) % 1000003 / 1000003e0 < p_drop AS dropped FROM (SELECT vec_id, v, u, CASE WHEN m > 0 THEN least((1 - cos) * 0.11 / m, 0.6) ELSE 0.11 END AS p_drop FROM g JOIN m USING (vec_id) WHERE valid)",
+    "sensor_dropout": f"WITH {_GRAZING}, q1 AS (SELECT *, least(0.6e0 * (1 / least(greatest(cos, 0.15e0), 1e0) - 1), 0.6e0) AS p FROM g WHERE valid), m AS (SELECT vec_id, greatest(avg(p), 1e-6) AS m FROM q1 GROUP BY 1) SELECT vec_id, v, u, round(p_drop + 0.0, 6) + 0.0 AS p_drop, (vec_id * 7919 + v * 104729 + u * 1299709) % 1000003 / 1000003e0 < p_drop AS dropped FROM (SELECT vec_id, v, u, least(p * (0.11e0 / m), 0.6e0) AS p_drop FROM q1 JOIN m USING (vec_id))",
     "backproject": f"WITH {_S} SELECT vec_id, v, u, {_r('x', 'y', 'z')} FROM (SELECT vec_id, v, u, CASE WHEN valid THEN (u - 4e0) * z / 2 ELSE 0 END AS x, CASE WHEN valid THEN (v - 4e0) * z / 2 ELSE 0 END AS y, CASE WHEN valid THEN z ELSE 0 END AS z FROM s)",
-    "bilinear_upsample": f"""WITH p AS ({PIXELS_SQL}), o AS (SELECT r AS row, c AS col, greatest((r + 0.5e0) / 2 - 0.5e0, 0) AS fy, greatest((c + 0.5e0) / 2 - 0.5e0, 0) AS fx FROM range(0, 16) a(r), range(0, 16) b(c)),
-t AS (SELECT row, col, CAST(floor(fy) AS INT) AS y0, least(CAST(floor(fy) AS INT) + 1, 7) AS y1, CAST(floor(fx) AS INT) AS x0, least(CAST(floor(fx) AS INT) + 1, 7) AS x1, fy - floor(fy) AS wy, fx - floor(fx) AS wx FROM o)
-SELECT a.vec_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, {_r('value')} FROM (SELECT a.vec_id, row, col, (1 - wy) * ((1 - wx) * a.amap + wx * b.amap) + wy * ((1 - wx) * c.amap + wx * d.amap) AS value FROM t JOIN p a ON a.v = y0 AND a.u = x0 JOIN p b ON b.vec_id = a.vec_id AND b.v = y0 AND b.u = x1 JOIN p c ON c.vec_id = a.vec_id AND c.v = y1 AND c.u = x0 JOIN p d ON d.vec_id = a.vec_id AND d.v = y1 AND d.u = x1) a""",
+    "bilinear_upsample": f"""WITH o AS (SELECT r AS row, c AS col, greatest((r + 0.5e0) / 2 - 0.5e0, 0) AS fy, greatest((c + 0.5e0) / 2 - 0.5e0, 0) AS fx FROM range(0, 16) a(r), range(0, 16) b(c)),
+t AS (SELECT row, col, CAST(floor(fy) AS INT) AS y0, least(CAST(floor(fy) AS INT) + 1, 7) AS y1, CAST(floor(fx) AS INT) AS x0, least(CAST(floor(fx) AS INT) + 1, 7) AS x1, fy - floor(fy) AS wy, fx - floor(fx) AS wx FROM o),
+a AS (SELECT vec_id, row, col, {", ".join(f"CAST(embedding[{y} * 8 + {x} + 1] AS DOUBLE) AS {y}{x}" for y in ("y0", "y1") for x in ("x0", "x1"))}, wy, wx FROM embeddings, t)
+SELECT vec_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, {_r('value')} FROM (SELECT vec_id, row, col, (1 - wy) * ((1 - wx) * y0x0 + wx * y0x1) + wy * ((1 - wx) * y1x0 + wx * y1x1) AS value FROM a)""",
     "local_mean_pool": f"WITH p AS ({PIXELS_SQL}) SELECT a.vec_id, CAST(a.pix AS INT) AS pix, round(sum(b.amap) / 9 + 0.0, 6) + 0.0 AS value FROM p a JOIN p b ON a.vec_id = b.vec_id AND abs(a.v - b.v) <= 1 AND abs(a.u - b.u) <= 1 GROUP BY 1, 2",
     "robust_normalise": f"WITH p AS ({PIXELS_SQL}), q AS (SELECT vec_id, quantile_cont(amap, 0.99) AS p99 FROM p GROUP BY 1) SELECT vec_id, round(sum(least(greatest(amap / (p99 + 1e-9), 0), 1)), 6) AS total, round(max(p99), 9) AS p99 FROM p JOIN q USING (vec_id) GROUP BY 1",
     "crop_center_clip": f"WITH {_S}, b AS (SELECT vec_id, min(v) AS v0, max(v) + 1 AS v1, min(u) AS u0, max(u) + 1 AS u1, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM s WHERE valid GROUP BY 1) SELECT vec_id, CAST(v0 AS INT) AS v0, CAST(v1 AS INT) AS v1, CAST(u0 AS INT) AS u0, CAST(u1 AS INT) AS u1, {_r('cx', 'cy', 'cz')}, n_valid, n_kept FROM b JOIN (SELECT vec_id, count(*) AS n_valid, count(*) FILTER (WHERE sqrt(((x - cx) * 0.5) ** 2 + ((y - cy) * 0.5) ** 2 + ((z - cz) * 0.5) ** 2) < 1.6) AS n_kept FROM s JOIN b USING (vec_id) WHERE valid GROUP BY 1) USING (vec_id)",
     "depth_diff_truth": f"WITH {_S} SELECT a.vec_id, count(*) AS n, CAST(sum(CAST(abs(b.z - a.z) > 0.3e0 * 0.5e0 AS INT)) AS BIGINT) AS changed FROM s a JOIN s b ON b.vec_id = a.vec_id + 1 AND a.pix = b.pix WHERE a.valid AND b.valid GROUP BY 1",
-    "defect_profile": f"WITH {_S}, f AS (SELECT vec_id, exp(-((u - vec_id % 8) ** 2 / (2 * (1 + vec_id % 3) ** 2) + (v - vec_id // 8 % 8) ** 2 / (2 * (1 + vec_id % 2) ** 2))) AS f FROM s WHERE valid) SELECT vec_id, CAST(count(*) FILTER (WHERE f > 0.05) AS BIGINT) AS n_mask, round(coalesce(sum(0.5e0 * f) FILTER (WHERE f > 0.05), 0) + 0.0, 6) + 0.0 AS moved FROM f GROUP BY 1",
-    "mesh_deform": f"WITH {_S}, e AS (SELECT vec_id, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS ext FROM s GROUP BY 1), c AS (SELECT s.vec_id, x AS px, y AS py, z AS pz FROM s WHERE pix = vec_id % 64) SELECT vec_id, round(max(0.05e0 * ext), 6) + 0.0 AS amplitude, round(sum(z + 0.05e0 * ext * exp(-((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2) / (2 * (0.1e0 * ext) ** 2))), 6) + 0.0 AS sum_z FROM s JOIN e USING (vec_id) JOIN c USING (vec_id) GROUP BY 1",
+    "defect_profile": f"""WITH {_S}, d AS (SELECT *, CAST(floor({_draw(0)} * 4) AS INT) AS kind, greatest(max(z) OVER w - min(z) OVER w, 1e-6) AS ext, v - {_draw(1, 0.2, 0.8)} * 8 AS dy, u - {_draw(2, 0.2, 0.8)} * 8 AS dx, {_draw(3, 0.0, 3.141592653589793)} AS a FROM s WHERE valid WINDOW w AS (PARTITION BY vec_id)),
+p AS (SELECT *, dy * cos(a) + dx * sin(a) AS al, dx * cos(a) - dy * sin(a) AS ac FROM d),
+f AS (SELECT *, greatest(CASE WHEN kind = 2 THEN CASE WHEN abs(al) < {_draw(6, 0.15, 0.4)} * 8 / 2 THEN 1 - (ac / ({_draw(7, 0.004, 0.012)} * 8)) ** 2 ELSE 0 END ELSE 1 - ((al / ({_draw(4, 0.03, 0.14)} * 8)) ** 2 + (ac / ({_draw(5, 0.03, 0.14)} * 8)) ** 2) END, 0) AS f FROM p)
+SELECT vec_id, kind, CAST(count(*) FILTER (WHERE f > 0.05e0) AS BIGINT) AS n_mask, round(sum(CASE WHEN kind = 1 THEN 1 ELSE -1 END * CASE WHEN kind = 2 THEN {_draw(8, 0.2, 0.5)} ELSE {_draw(8, 0.15, 0.35)} END * ext * CASE WHEN f > 0.05e0 THEN f ELSE 0 END) + 0.0, 6) + 0.0 AS moved FROM f GROUP BY 1, 2""",
+    "mesh_deform": f"WITH {_S}, e AS (SELECT vec_id, sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) AS ext, count(*) AS n FROM s GROUP BY 1), k AS (SELECT vec_id, ext * {_draw(1, 0.05, 0.12)} AS radius, ext * {_draw(2, 0.03, 0.06)} AS amp, floor({_draw(3)} * n) AS vertex FROM e), c AS (SELECT s.vec_id, x AS px, y AS py, z AS pz FROM s JOIN k USING (vec_id) WHERE pix = vertex) SELECT vec_id, round(max(amp), 6) + 0.0 AS amplitude, round(sum(z + amp * exp(-((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2) / (2 * radius ** 2))), 6) + 0.0 AS sum_z FROM s JOIN k USING (vec_id) JOIN c USING (vec_id) GROUP BY 1",
 }

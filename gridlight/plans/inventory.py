@@ -93,8 +93,10 @@ def process_missing_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules broken by reported figures: each nation's mean must lie in its interval, and the shares must be finite."""
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("mean"), F.min("c_acctbal").alias("lo"), F.percentile("c_acctbal", 0.55).alias("hi"), (F.count("*") / 100.0).alias("ece"))
+    """Rules broken by reported figures of each nation: interval, mean of means, range of the shares, and a delta."""
+    x = F.col("c_acctbal")
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg(x).alias("mean"), F.avg(F.round(x, -2)).alias("point"), F.min(x).alias("lo"), F.percentile("c_acctbal", 0.55).alias("hi"), F.min(x / 10000).alias("least"), F.max(x / 10000).alias("most"), F.avg(F.when(x > 0, x)).alias("b"), F.avg(F.when(x <= 0, x)).alias("a"))
+    c = c.withColumns({"ece": F.when(F.col("c_nationkey") % 2 == 0, 0.1), "delta": F.col("b") - F.col("a") + F.when(F.col("c_nationkey") % 3 == 0, 1e-5).otherwise(0.0)})
     return tracking.violations(c, "c_nationkey").select("c_nationkey", "rule")
 
 
@@ -135,7 +137,8 @@ ORACLES = {
     "triad_pivot": "SELECT name, round(f, 4) AS F, round(o, 4) AS O, round(p, 4) AS P, round(o - f, 4) AS O_delta, round(p - f, 4) AS P_delta FROM (SELECT o_orderpriority AS name, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS f, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS o, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1)",
     "metric_filter": "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'price,ratio' ELSE 'price' END AS names FROM orders",
     "process_missing_antijoin": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "invariant_violations": "WITH c AS (SELECT c_nationkey, avg(c_acctbal) AS mean, min(c_acctbal) AS lo, quantile_cont(c_acctbal, 0.55) AS hi, count(*) / 100e0 AS ece FROM customer GROUP BY 1) SELECT c_nationkey, 'bracket' AS rule FROM c WHERE NOT (lo - 1e-6 <= mean AND mean <= hi + 1e-6) UNION ALL SELECT c_nationkey, 'ece' FROM c WHERE NOT (ece >= 0 AND ece <= 0.6)",
+    "invariant_violations": """WITH c AS (SELECT c_nationkey, avg(c_acctbal) AS mean, avg(round(c_acctbal, -2)) AS point, min(c_acctbal) AS lo, quantile_cont(c_acctbal, 0.55) AS hi, min(c_acctbal / 10000) AS least, max(c_acctbal / 10000) AS most, c_nationkey % 3 = 0 AS off, count(*) FILTER (WHERE c_acctbal > 0) * count(*) FILTER (WHERE c_acctbal <= 0) > 0 AS signs FROM customer GROUP BY 1)
+SELECT c_nationkey, 'bracket' AS rule FROM c WHERE NOT point BETWEEN lo AND hi UNION ALL SELECT c_nationkey, 'aggregate' FROM c WHERE abs(point - mean) > 1e-6 UNION ALL SELECT c_nationkey, 'range' FROM c WHERE c_nationkey % 2 = 0 AND (least < 0 OR most > 1) UNION ALL SELECT c_nationkey, 'reconciles' FROM c WHERE off AND signs""",
     "table_mean": "SELECT round(avg(round(m, 3)), 3) AS of_rounded, round(avg(m), 3) AS rounded FROM (SELECT avg(l_discount) AS m FROM lineitem GROUP BY l_suppkey)",
     "paired_arms": "WITH e AS (SELECT user_id, event_type, avg(value) AS m FROM events GROUP BY 1, 2) SELECT count(*) AS n, round(avg(b.m - a.m), 6) AS delta FROM e a JOIN e b USING (user_id) WHERE a.event_type = 'view' AND b.event_type = 'click'",
     "score_quantiles": f"SELECT category, round(quantile_cont(score, 0.025), 6) AS lo, round(quantile_cont(score, 0.975), 6) AS hi FROM ({IMAGE_SCORES_SQL}) GROUP BY 1",

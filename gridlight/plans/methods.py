@@ -67,11 +67,10 @@ def bank_method_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triad_gap_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gap of the second arm to the first, and the share of it that the third closes: macro means over names."""
+    """Gap of the second arm to the first, and closure, what the third is above the second: macro means over names."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("arm"), F.col("o_totalprice").alias("m"))
     m = tracking.pivot_arms(o, "name", "arm", "m", ["F", "O", "P"], "F").agg(*(F.avg(a).alias(a) for a in "FOP"))
-    gap = F.col("F") - F.col("O")
-    return m.select(F.round(gap, 4).alias("gap"), F.round(F.when(gap != 0, (F.col("P") - F.col("O")) / gap), 6).alias("closure"))
+    return m.select(F.round(F.col("F") - F.col("O"), 4).alias("gap"), F.round(F.col("P") - F.col("O"), 4).alias("closure"))
 
 
 def latest_with_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +111,7 @@ def op_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.createDataFrame(EXPORTED, "name string, ok boolean, ops array<string>").select("name", F.coalesce("ops", F.array().cast("array<string>")).alias("ops"))
     said = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     fixed = lambda *x: F.array(*map(F.lit, x))
-    return e.select("name", said(F.col("ops")).alias("ops"), said(F.array_intersect("ops", fixed("Attention", "Softmax"))).alias("attention"), said(F.array_except("ops", fixed("Conv", "Relu"))).alias("other"))
+    return e.select("name", said(F.col("ops")).alias("ops"), said(F.array_intersect("ops", fixed("Softmax"))).alias("attention"), said(F.array_except("ops", fixed("Conv", "Relu"))).alias("other"))
 
 
 _EX = f"ex(name, ok, ops) AS (VALUES {_values(EXPORTED)})"
@@ -127,11 +126,11 @@ ORACLES = {
     "export_downsample": f"SELECT vec_id, count(*) AS n, CAST(sum(pix) AS BIGINT) AS pixels, round(sum(amap + 2), 6) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY (pix * 48271 + vec_id * 7919) % 1000003, pix) AS k FROM ({PIXELS_SQL}) WHERE valid) WHERE k <= 16 GROUP BY 1",
     "bank_scatter": f"WITH {_NEAR} SELECT e.vec_id, round(coalesce(dist, 0), 8) AS dist FROM e LEFT JOIN d USING (vec_id)",
     "bank_method_auroc": f"WITH {_NEAR} SELECT grp, n, n_pos, round(auroc, 9) AS auroc FROM ({auroc_sql('SELECT category // 2 AS grp, CAST(category % 2 AS INT) AS label, round(dist, 8) AS score FROM d', 'grp')})",
-    "triad_gap_closure": "SELECT round(f - o, 4) AS gap, round((p - o) / (f - o), 6) AS closure FROM (SELECT avg(f) AS f, avg(o) AS o, avg(p) AS p FROM (SELECT avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS f, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS o, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority))",
+    "triad_gap_closure": "SELECT round(f - o, 4) AS gap, round(p - o, 4) AS closure FROM (SELECT avg(f) AS f, avg(o) AS o, avg(p) AS p FROM (SELECT avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS f, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS o, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority))",
     "latest_with_metric": "SELECT o_custkey AS run_name, o_orderkey AS run_id, o_orderpriority AS experiment FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_totalprice > 100000) WHERE k = 1",
     "union_sources": f"WITH {_SAMPLES} SELECT CASE WHEN label = 0 THEN 'real' ELSE 'synth' END AS source, category, count(*) AS n FROM i GROUP BY 1, 2",
     "sample_spec": f"WITH {_SAMPLES} SELECT category, split, defect, doc_id AS idx FROM i",
     "payload_tag": "SELECT 'p' || CAST(round_even(l_quantity / 8 * 100, 0) AS INT) AS tag, count(*) AS n FROM lineitem GROUP BY 1",
     "detector_availability": f"WITH {_DET}, {_EX} SELECT detector FROM (SELECT detector, unnest(pieces) AS name FROM det) LEFT JOIN ex USING (name) GROUP BY 1 HAVING bool_and(ok IS NOT NULL)",
-    "op_sets": f"WITH {_EX} SELECT name, coalesce(array_to_string(list_sort(list_distinct(ops)), ','), '') AS ops, coalesce(array_to_string(list_sort(list_intersect(ops, ['Attention', 'Softmax'])), ','), '') AS attention, coalesce(array_to_string(list_sort(list_filter(ops, lambda x: x NOT IN ('Conv', 'Relu'))), ','), '') AS other FROM ex",
+    "op_sets": f"WITH {_EX} SELECT name, coalesce(array_to_string(list_sort(list_distinct(ops)), ','), '') AS ops, coalesce(array_to_string(list_sort(list_intersect(ops, ['Softmax'])), ','), '') AS attention, coalesce(array_to_string(list_sort(list_filter(ops, lambda x: x NOT IN ('Conv', 'Relu'))), ','), '') AS other FROM ex",
 }

@@ -133,9 +133,11 @@ def test_mesh_text(spark):
 
 
 def test_strict_invariants_raise(spark):
-    bad = spark.createDataFrame([(1, 0.7, 0.72, 0.8, 0.1)], "k int, mean double, lo double, hi double, ece double")
+    nan = float("nan")
+    rows = [(1, 0.7, 0.7, 0.72, 0.8, None, -1.0, 2.0, 0.1, 0.5, 0.6), (2, 0.7, 0.69, 0.6, 0.8, 0.1, 0.0, 1.5, 0.2, 0.5, 0.6), (3, None, nan, 0.6, 0.5, 0.1, 0.0, 1.0, None, 0.5, 0.6)]
+    bad = spark.createDataFrame(rows, "k int, mean double, point double, lo double, hi double, ece double, least double, most double, delta double, a double, b double")
     found = tracking.violations(bad, "k")
-    assert [r.rule for r in found.collect()] == ["bracket"]
+    assert sorted((r.k, r.rule) for r in found.collect()) == [(1, "bracket"), (2, "aggregate"), (2, "range"), (2, "reconciles")]
     with pytest.raises(Exception, match="invariants"):
         tracking.require(found).collect()
 
