@@ -133,16 +133,18 @@ def surface_variation(points: DataFrame, neighbours: int) -> DataFrame:
 
 
 def plane_inliers(points: DataFrame, tries: int, within: float) -> DataFrame:
-    """(trial, inliers) of the best of ``tries`` planes through three hashed points: bounded triples, one pass over the points."""
-    n = points.count()
-    ids = sorted({(t * 7919 + j * 104729 + 13) % max(1, n) for t in range(tries) for j in range(3)})
-    numbered = points.withColumn("k", F.row_number().over(Window.orderBy("vec_id")) - 1) if n <= BANK_ROWS else None
-    if numbered is None:
-        raise ValueError("more points than a cloud has")
-    place = {r.k: np.array([r.x, r.y, r.z]) for r in numbered.where(F.col("k").isin(ids)).collect()}
+    """(trial, inliers) of the best of ``tries`` planes through three points each: one pass picks the points, one counts.
+
+    A trial's points are those of the smallest hashes of (vec_id, number of the pick); picks of one
+    point twice, or on a line, make no plane, and without planes there are no rows.
+    """
+    pick = lambda k: F.min_by(F.array("x", "y", "z"), F.struct(F.xxhash64("vec_id", F.lit(k)), "vec_id")).alias(f"p{k}")
+    place = points.agg(*map(pick, range(3 * tries))).first()
     planes = []
     for t in range(tries):
-        a, b, c = (place[(t * 7919 + j * 104729 + 13) % n] for j in range(3))
+        if place[3 * t] is None:
+            break
+        a, b, c = (np.array(place[3 * t + j], float) for j in range(3))
         normal = np.cross(b - a, c - a)
         size = float(np.linalg.norm(normal))
         if size > 1e-12:

@@ -9,7 +9,8 @@ from gridlight.operators import bootstrap
 from gridlight.plans.metrics import IMAGE_SCORES_SQL, image_scores
 from gridlight.sources.tables import table
 
-DRAWS = 200
+#: Draws of every interval.
+DRAWS = 1000
 
 
 def boot_ci_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
