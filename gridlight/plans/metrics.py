@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlight.functions import calibration, ranking
-from gridlight.operators import regions
+from gridlight.operators import harness, regions
 from gridlight.plans.grids import PIXELS_SQL, scans
 from gridlight.sources.tables import table
 
@@ -66,6 +66,31 @@ def au_pro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.au_pro(scans(spark, sf_dir), ["category"]).agg(F.round(F.avg("au_pro"), 9).alias("au_pro"), F.count("au_pro").alias("n_categories"))
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans with an image label (whether a pixel is masked) and a defect type."""
+    s = scans(spark, sf_dir).withColumn("label", F.exists("mask", lambda x: x).cast("int"))
+    return s.withColumn("defect", F.when(F.col("label") == 1, F.concat(F.lit("type"), F.col("vec_id") % 3)).otherwise("good"))
+
+
+def harness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of the scans as a method's maps: by category, by defect type, and macro means with their intervals."""
+    return _ninth(harness.report(scored(spark, sf_dir)), "img_auroc", "au_pro", "img_auroc_lo", "img_auroc_hi", "au_pro_lo", "au_pro_hi", "ece")
+
+
+def au_pro_by_defect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ninth(harness.au_pro_by_defect(scored(spark, sf_dir)), "au_pro")
+
+
+def boot_macro_au_pro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the macro AU-PRO over 1,000 stratified draws of images."""
+    s = scans(spark, sf_dir)
+    return _ninth(harness.boot_macro(s.select("vec_id", "category"), harness.pixel_au_pro(regions.histogram(s, ["category"]))), "point", "lo", "hi")
+
+
+def _ninth(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
 IMAGE_SCORES_SQL = "SELECT d.doc_id, lang AS category, source AS defect, CAST(n_chars AS DOUBLE) AS score, quality AS label FROM documents d JOIN labels l USING (doc_id)"
 
 
@@ -102,7 +127,7 @@ _TYPES = f"""WITH s AS ({IMAGE_SCORES_SQL}), t AS (SELECT DISTINCT defect FROM s
 r AS (SELECT defect, score, label FROM s WHERE label = 1 UNION ALL SELECT t.defect, s.score, 0 FROM s, t WHERE s.label = 0)
 SELECT defect, n_pos AS n, round(auroc, 9) AS auroc FROM ({auroc_sql('SELECT * FROM r', 'defect')})"""
 
-QUERIES = {f.__name__: f for f in (image_auroc_by_category, macro_auroc, auroc_by_defect, ece_15bin, ece_bins, topk_image_score, region_components, au_pro_by_category, au_pro_macro)}
+QUERIES = {f.__name__: f for f in (image_auroc_by_category, macro_auroc, auroc_by_defect, ece_15bin, ece_bins, topk_image_score, region_components, au_pro_by_category, au_pro_macro, harness_report, au_pro_by_defect, boot_macro_au_pro)}
 ORACLES = {
     "image_auroc_by_category": f"SELECT category, n, n_pos, round(auroc, 9) AS auroc FROM ({auroc_sql(IMAGE_SCORES_SQL, 'category')})",
     "macro_auroc": f"SELECT round(macro, 9) AS macro, round(pooled, 9) AS pooled, n_defined FROM (SELECT avg(auroc) AS macro, count(auroc) AS n_defined FROM ({auroc_sql(IMAGE_SCORES_SQL, 'category')})), (SELECT auroc AS pooled FROM ({auroc_sql(f'SELECT 1 AS al, score, label FROM ({IMAGE_SCORES_SQL})', 'al')}))",
