@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlight.operators.graph import components
+from gridlight.sources.shared import shared_dir, written
+
+__all__ = ["SPACE", "components", "held_out", "shared_dir", "table", "written"]
+
 #: The white space that ends a word; bytes.split() without arguments splits on the same six bytes.
 SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -16,51 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; without one nothing can be written."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: it is computed once, and lost executors lose none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(remainder: int, id_col: str = "doc_id"):
     """Whether crc32(id as text) mod 5 is ``remainder``; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5) == remainder
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a long, b long): rows (node, component = smallest node reachable).
-
-    In every round each label takes the label of the local minimum that its smaller neighbours lead
-    to. The next round's edges connect labels only, without self-loops and repeats, so the edge table
-    shrinks by a factor. Each round is written to the shared folder; the loop ends when no edge
-    between two labels is left. Hubs are no hot groups: the minimum is pre-aggregated on the map side.
-    Edges with a null end are ignored; no edges give no rows.
-    """
-    both = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
-    nodes = both.select(F.col("a").alias("node")).union(both.select(F.col("b").alias("node"))).distinct()
-    labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
-    live = written(both.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    while not live.isEmpty():
-        # every label points to the smallest label beside it, if that is smaller than itself, and pointers double until all end at a local minimum
-        jump = written(live.groupBy(F.col("b").alias("label")).agg(F.min("a").alias("to")), "low")
-        while True:
-            on = jump.join(jump.select(F.col("label").alias("to"), F.col("to").alias("far")), "to", "left")
-            jump = written(on.select("label", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "jump")
-            if jump.where("moved").isEmpty():
-                break
-            jump = jump.drop("moved")
-        labels = written(labels.join(jump, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        step = live.join(jump.select(F.col("label").alias("a"), F.col("to").alias("ta")), "a", "left").join(jump.select(F.col("label").alias("b"), F.col("to").alias("tb")), "b", "left")
-        step = step.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).where("a != b")
-        live = written(step.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return labels.select("node", F.col("label").alias("component"))
