@@ -1,7 +1,7 @@
 """Feature banks: nearest neighbours, coresets and point-cloud filters.
 
-A bank is bounded (its pool is capped when it is built), so it is broadcast behind a check of its
-size; queries are unbounded and stream past it in Arrow batches.
+Queries and bank are dealt into blocks, and every block of queries meets every block of the bank in a
+task of its own; nothing passes the driver and no bank is broadcast, so neither's size matters.
 """
 
 from __future__ import annotations
@@ -13,47 +13,51 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a bank that are broadcast at once; a larger bank is scored slice by slice.
-BANK_ROWS = 200_000
+#: Vectors of a block of the bank, and of a block of queries; blocks of queries there are at least.
+BANK_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 20_000, 50_000, 8
 
 
-def _slices(bank: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    n = max(1, -(-bank.count() // BANK_ROWS))
-    for k in range(n):
-        rows = bank.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == k).toPandas().sort_values("vec_id")
-        yield rows["vec_id"].to_numpy(np.int64), np.array(rows["embedding"].tolist(), float).reshape(len(rows), -1)
+def _best(ids: np.ndarray, x: np.ndarray, bank_ids: np.ndarray, bank: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """(vec_id, bank_id, dist) of the ``k`` nearest of a block, ties by bank_id.
+
+    Squared distances come from the norm expansion as one matrix product for each 256 queries; all that
+    rounding could put among the k best are then measured directly, however many they are.
+    """
+    norms = (bank**2).sum(1)
+    for at in range(0, len(ids), 256):
+        q = x[at : at + 256]
+        d = norms - 2 * q @ bank.T
+        take = min(k, len(bank))
+        slack = 1e-9 * (norms.max() + (q**2).sum(1) + 1e-300)
+        limit = np.partition(d, take - 1, axis=1)[:, take - 1] + slack
+        row, col = np.nonzero(d <= limit[:, None])
+        exact = np.concatenate([np.sqrt(((q[row[j : j + 100_000]] - bank[col[j : j + 100_000]]) ** 2).sum(1)) for j in range(0, len(row), 100_000)])
+        order = np.lexsort((bank_ids[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        first = np.searchsorted(row, np.arange(len(q)))
+        kept = np.arange(len(row)) - first[row] < k
+        yield pd.DataFrame({"vec_id": ids[at + row[kept]], "bank_id": bank_ids[col[kept]], "dist": exact[kept]})
 
 
 def nearest(queries: DataFrame, bank: DataFrame, k: int = 1) -> DataFrame:
     """(vec_id, rank, bank_id, dist): the k nearest bank vectors of each query by Euclidean distance, ties by bank_id.
 
-    Squared distances come from the norm expansion as one matrix product for each batch; the k best are
-    then measured directly.
+    A pair of blocks gives the k best of each query, and the best of these over the bank's blocks are kept.
+    An empty bank gives no rows; null vectors are left out.
     """
-    parts = []
-    for ids, vectors in _slices(bank):
-        held = queries.sparkSession.sparkContext.broadcast((ids, vectors, (vectors**2).sum(1)))
-
-        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, b, norms = held.value
-            for f in frames:
-                if not len(f) or not len(ids):
-                    continue
-                for at in range(0, len(f), 512):
-                    g = f.iloc[at : at + 512]
-                    x = np.array(g["embedding"].tolist(), float)
-                    d = norms - 2 * x @ b.T
-                    take = min(len(ids), k + 8)  # spare ones, so that rounding doesn't decide
-                    near = np.argpartition(d, take - 1, axis=1)[:, :take]
-                    exact = np.sqrt(((x[:, None] - b[near]) ** 2).sum(2))
-                    order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-                    rows = np.arange(len(g))[:, None]
-                    yield pd.DataFrame({"vec_id": np.repeat(g["vec_id"].to_numpy(), order.shape[1]), "bank_id": ids[near][rows, order].ravel(), "dist": exact[rows, order].ravel()})
-
-        parts.append(queries.select("vec_id", "embedding").mapInPandas(run, "vec_id long, bank_id long, dist double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    bank_blocks, query_blocks = max(1, -(-bank.count() // BANK_BLOCK)), max(LEAST_BLOCKS, -(-queries.count() // QUERY_BLOCK))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    q = queries.where("embedding is not null").select("vec_id", "embedding", own(query_blocks).alias("i"), every(bank_blocks, "j"))
+    b = bank.where("embedding is not null").select("vec_id", "embedding", own(bank_blocks).alias("j"), every(query_blocks, "i"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"vec_id": [], "bank_id": [], "dist": []})
+        (ids, x), (bank_ids, y) = ((f["vec_id"].to_numpy(np.int64), np.array(f["embedding"].tolist(), float)) for f in (left, right))
+        return pd.concat(_best(ids, x, bank_ids, y, k))
+
+    found = q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, "vec_id long, bank_id long, dist double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "bank_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "bank_id", "dist")
 

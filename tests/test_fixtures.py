@@ -65,13 +65,22 @@ def test_topk_score(spark):
     assert one(regions.topk_score(s.withColumn("valid", F.transform("valid", lambda _: F.lit(False))), 5)).score == 0.0
 
 
-def test_nearest_equals_direct_distances_and_slices(spark, monkeypatch):
+def test_nearest_breaks_ties_by_id_among_many_equal_vectors(spark):
+    bank_rows = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300, 0, -1)] + [(0, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 2.5]), (8, None)], "vec_id long, embedding array<double>")
+    found = bank.nearest(queries, bank_rows, 3).orderBy("rank").collect()
+    assert [(r.vec_id, r.bank_id, r.dist) for r in found] == [(7, 1, 0.5), (7, 2, 0.5), (7, 3, 0.5)]
+    assert bank.nearest(queries, bank_rows.limit(0)).count() == 0
+
+
+def test_nearest_equals_direct_distances_and_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     q, b = rng.normal(size=(37, 16)), rng.normal(size=(64, 16))
     frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     want = np.sqrt(((q[:, None] - b[None]) ** 2).sum(2)).min(1)
     for most in (200_000, 10):
-        monkeypatch.setattr(bank, "BANK_ROWS", most)
+        monkeypatch.setattr(bank, "BANK_BLOCK", most)
+        monkeypatch.setattr(bank, "QUERY_BLOCK", 3 * most)
         got = {r.vec_id: r.dist for r in bank.nearest(frame(q), frame(b)).collect()}
         assert np.allclose([got[i] for i in range(37)], want, atol=1e-9)
 
