@@ -266,3 +266,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without a window of a benchmark item, with their columns."""
     hit = contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("items") > 0).select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES = {
+    "op5_decontamination": f"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: array_to_string(w[k:k + 9], ' '))) AS said FROM i WHERE len(w) > 0),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+grams AS (SELECT doc_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda k: {{'k': k, 'said': array_to_string(w[k:k + size - 1], ' ')}})) AS x FROM d, (SELECT DISTINCT size FROM win) WHERE len(w) >= size),
+hit AS (SELECT doc_id, grams.size, x.k AS k, item FROM grams JOIN win ON win.size = grams.size AND win.said = x.said),
+spot AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS pos FROM (SELECT DISTINCT doc_id, size, k FROM hit)) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(spot.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(spot.n, 0) > 0 AS contaminated FROM d LEFT JOIN spot ON spot.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id""",
+}

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlight.llm.common import components, table, written
-from gridlight.llm.near_duplicates import _forest
+from gridlight.llm.near_duplicates import _forest, components_sql
 
 
 @dataclass(frozen=True)
@@ -284,3 +284,13 @@ def near_duplicates(rows: DataFrame, settings: Settings = Settings()) -> DataFra
 def op9_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and decision for every vector."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES = {
+    "op9_rotation_codes": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS norm FROM v WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) >= 0.95e0 * a.norm * b.norm),
+{components_sql('embeddings', 'vec_id')},
+l AS (SELECT a AS node, count(*) AS n FROM both_ways GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp ON comp.node = vec_id LEFT JOIN l ON l.node = vec_id""",
+}

@@ -262,3 +262,24 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     gone = near_duplicates(docs, STAGE).groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+_COMPONENTS = """both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT {id} AS node, {id} AS seen FROM {table} UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON w.a = r.seen),
+comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY 1)"""
+
+
+def components_sql(table: str, key: str) -> str:
+    """DuckDB (recursive): comp (node, component_id) of the edges e (a, b) over a table's ids."""
+    return _COMPONENTS.format(table=table, id=key)
+
+
+ORACLES = {
+    "op4_min_max_hash": f"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+{components_sql('documents', 'doc_id')}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN comp ON comp.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+}
