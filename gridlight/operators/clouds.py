@@ -35,8 +35,8 @@ def dbscan(points: DataFrame, radius: float, least: int) -> DataFrame:
 def fpfh(points: np.ndarray, k: int) -> np.ndarray:
     """Fast point feature histograms (n, 33): three angles of each point and neighbour in 11 bins each, plus the neighbours' by inverse distance."""
     n = len(points)
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
-    near = np.argsort(d, axis=1, kind="stable")[:, 1 : min(k, n - 1) + 1]
+    far = lambda at: ((points[at : at + 256, None] - points[None]) ** 2).sum(2)
+    near = np.concatenate([np.argsort(far(at), axis=1, kind="stable")[:, 1 : min(k, n - 1) + 1] for at in range(0, n, 256)])
     normals = np.stack([np.linalg.eigh(np.cov(points[np.append(near[i], i)].T))[1][:, 0] for i in range(n)])
     normals *= np.where((normals * points).sum(1) > 0, -1.0, 1.0)[:, None]
     line = points[near] - points[:, None]

@@ -176,3 +176,47 @@ def test_stream_equals_batch(spark, data, tmp_path):
     want = episodes.hourly(events.withColumn("ts", F.col("ts").cast("timestamp")))
     columns = ["window", "event_type", "n"]
     assert spark.table("hours").select(columns).exceptAll(want.select(columns)).isEmpty() and spark.table("hours").count() == want.count()
+
+
+def cloud(spark, x):
+    return spark.createDataFrame([(i, [float(c) for c in p], *map(float, p)) for i, p in enumerate(x)], "vec_id long, embedding array<double>, x double, y double, z double")
+
+
+def test_plane_with_the_most_inliers_is_found(spark):
+    rng = np.random.default_rng(4)
+    flat = np.c_[rng.uniform(-1, 1, (200, 2)), np.zeros(200)]
+    found = bank.plane_inliers(cloud(spark, np.r_[flat, rng.uniform(1, 2, (30, 3))]), 24, 1e-6).collect()
+    assert [r.inliers for r in found] == [200]
+    assert bank.plane_inliers(cloud(spark, flat).limit(0), 3, 1.0).count() == 0
+    assert bank.plane_inliers(cloud(spark, flat[:1].repeat(5, 0)), 3, 1.0).count() == 0  # one point makes no plane
+
+
+def test_surface_variation_against_loops(spark):
+    x = np.random.default_rng(6).normal(size=(40, 3)) * [1, 1, 0.2]
+    got = {r.vec_id: r.variation for r in bank.surface_variation(cloud(spark, x), 8).collect()}
+    for i in range(40):
+        near = x[np.argsort(np.linalg.norm(x - x[i], axis=1), kind="stable")[:8]]
+        values = np.linalg.eigvalsh(np.cov(near.T))
+        assert got[i] == pytest.approx(values[0] / values.sum())
+
+
+def test_reconstruction_errors_against_singular_vectors(spark, data):
+    from gridlight.plans.cloud import pca_reconstruction
+
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([list(r.embedding) for r in rows], float)
+    x -= x.mean(0)
+    axes = np.linalg.svd(x, full_matrices=False)[2][:8]
+    want = (x**2).sum(1) - ((x @ axes.T) ** 2).sum(1)
+    got = {r.vec_id: r.error for r in pca_reconstruction(spark, data).collect()}
+    assert np.allclose([got[r.vec_id] for r in rows], want, atol=1e-5)
+
+
+def test_feature_histograms_do_not_change_under_motions(spark):
+    from gridlight.operators import clouds
+
+    x = np.random.default_rng(9).normal(size=(60, 3))
+    turn = np.linalg.qr(np.random.default_rng(1).normal(size=(3, 3)))[0]
+    turn *= np.sign(np.linalg.det(turn))
+    a, b = (clouds.fpfh(p, 10) for p in (x, x @ turn.T))
+    assert a.shape == b.shape and np.isfinite(a).all() and np.median(np.abs(a - b)) < 1e-6
