@@ -80,6 +80,12 @@ def bounds(query: np.ndarray, bits: np.ndarray, factor: np.ndarray, sigmas: floa
     return guess, np.where(beyond, np.minimum(low, np.sign(guess)), low), np.where(beyond, np.maximum(high, np.sign(guess)), high)
 
 
+def least_estimate(factor: np.ndarray, size: int, settings: Settings) -> np.ndarray:
+    """The estimate from which on the upper bound of ``bounds`` reaches the threshold."""
+    k = settings.sigmas * np.sqrt(np.maximum(0, 1 - factor**2) / max(1, size - 1)) / factor
+    return settings.cosine - k * math.sqrt(max(0.0, 1 - settings.cosine**2))
+
+
 def vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, digest, unit) of ``rows`` (vec_id, embedding): the packed unit vector in double precision and a digest of its direction.
 
@@ -181,30 +187,36 @@ def links(nodes: DataFrame, settings: Settings) -> DataFrame:
 
     def sift(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for cell, left, right in _cells(rows):
-            first = cell.iloc[0]
-            pairs, dense, members = [], False, len(cell)
-            for size, own in cell.groupby(cell["query"].map(len)).indices.items():
-                ours = left[np.isin(left, own)]
-                theirs = ours if right is None else right[np.isin(right, own)]
-                if not len(ours) or not len(theirs):
-                    continue
-                get = lambda c, at: cell[c].to_numpy()[at]  # noqa: E731, B023
-                step = get("step", ours)
-                query = np.frombuffer(b"".join(get("query", ours)), np.int8).reshape(len(ours), -1) * step[:, None]
-                signs = np.unpackbits(np.frombuffer(b"".join(get("code", theirs)), np.uint8).reshape(len(theirs), -1), axis=1, count=size)
-                possible = bounds(query, signs, get("factor", theirs), held.sigmas, step)[2] >= held.cosine
-                a, b = np.nonzero(np.triu(possible, 1) if right is None else possible)
-                dense = dense or len(a) > held.sparse * members
-                if not dense:
-                    pairs.append(np.stack([get("node", ours)[a], get("node", theirs)[b]], 1))
-            kind = {c: first[c] for c in CELL}
-            if dense:
-                out.append(pd.DataFrame([kind | {"a": None, "b": None}]))
-            elif pairs:
-                a, b = np.concatenate(pairs).T
-                out.append(pd.DataFrame(kind | {"a": pd.array(np.minimum(a, b), "Int64"), "b": pd.array(np.maximum(a, b), "Int64")}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (*CELL, "a", "b")})
+        for size, rows in rows.groupby(rows["query"].map(len)):
+            rows = rows.sort_values([*CELL, "node"], ignore_index=True)
+            cells, node, mine, step = rows[CELL].to_numpy(), rows["node"].to_numpy(), rows["mine"].to_numpy(), rows["step"].to_numpy()
+            query = (np.frombuffer(b"".join(rows["query"]), np.int8).reshape(len(rows), size) * step[:, None]).astype(np.float32)
+            bits = np.unpackbits(np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), axis=1, count=size)
+            signs = ((bits * 2.0 - 1) / math.sqrt(size)).astype(np.float32)
+            # the upper bound reaches the threshold from this product of code and query on; queries are up to half a step off
+            need = (least_estimate(rows["factor"].to_numpy(), size, held) * rows["factor"].to_numpy() - 1e-5).astype(np.float32)
+            off = (step * (math.sqrt(size) / 2)).astype(np.float32)
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+                if cells[low, 2] == cells[low, 3]:
+                    possible = query[low:high] @ signs[low:high].T + off[low:high, None] >= need[low:high]
+                    a, b = np.nonzero(np.triu(possible, 1))
+                    a, b = a + low, b + low
+                else:
+                    left, right = (low + np.flatnonzero(mine[low:high] == cells[low, k]) for k in (2, 3))
+                    a, b = np.nonzero(query[left] @ signs[right].T + off[left, None] >= need[right])
+                    a, b = left[a], right[b]
+                if len(a) > held.sparse * (high - low):
+                    out.append(pd.DataFrame({**dict(zip(CELL, cells[low].tolist())), "a": pd.array([None], "Int64"), "b": pd.array([None], "Int64")}))
+                elif len(a):
+                    x, y = node[a], node[b]
+                    out.append((cells[low, 0], np.minimum(x, y), np.maximum(x, y)))
+        dense = [x for x in out if isinstance(x, pd.DataFrame)]
+        pairs = [x for x in out if not isinstance(x, pd.DataFrame)]
+        if pairs:
+            t = np.repeat([x[0] for x in pairs], [len(x[1]) for x in pairs])
+            dense.append(pd.DataFrame({"t": t, "key": 0, "i": 0, "j": 0, "a": pd.array(np.concatenate([x[1] for x in pairs]), "Int64"), "b": pd.array(np.concatenate([x[2] for x in pairs]), "Int64")}))
+        return pd.concat(dense) if dense else pd.DataFrame({c: [] for c in (*CELL, "a", "b")})
 
     sent = dealt.join(coded.select("node", "code", "factor", "query", "step"), "node")
     sifted = written(sent.withColumn("group", groups(count)).groupBy("group").applyInPandas(sift, "t int, key long, i int, j int, a long, b long"), "sifted")

@@ -197,6 +197,9 @@ def test_estimates_are_unbiased_and_bounded():
             _, low, high = embedding_links.bounds(query[k : k + 1] * step[k], bits[k : k + 1], factor[k : k + 1], 6, step[k : k + 1])
             inside.append(low[0, 0] <= true <= high[0, 0])
     assert abs(np.mean(errors)) < 0.01 and all(inside)
+    s = embedding_links.Settings()
+    guess, _, high = embedding_links.bounds(turned[:200], bits, factor, s.sigmas)
+    assert ((guess >= embedding_links.least_estimate(factor, 64, s) + 1e-9) <= (high >= s.cosine - 1e-9)).all() and ((high >= s.cosine + 1e-9) <= (guess >= embedding_links.least_estimate(factor, 64, s) - 1e-9)).all()
 
 
 def test_expected_recall_of_the_tables():
