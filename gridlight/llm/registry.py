@@ -16,6 +16,9 @@ QUERIES = {
     "op8_feistel_pseudonyms": "pseudonyms",
     "op9_rotation_codes": "embedding_links",
     "op10_byte_bpe": "bpe",
+    "op11_boosted_quality": "quality",
+    "op12_residue_whitening": "whitening",
+    "op13_group_alignment": "alignment",
 }
 
 
