@@ -102,7 +102,7 @@ class Statistics:
     """Counts words and lines of texts; keeps what it knows of words."""
 
     #: The columns that ``of`` gives after the base.
-    NAMES = ["letters", "digits", "upper", "stop", "end", "wordy", "shouted", "exclaimed", "foreign", "long", "distinct", "adjacent", "n_lines", "ended_lines", "line_words"]
+    NAMES = ["letters", "digits", "upper", "stop", "end", "wordy", "shouted", "exclaimed", "foreign", "long", "distinct", "adjacent", "n_lines", "ended_lines"]
 
     def __init__(self):
         self.codes: dict[bytes, int] = {}
@@ -143,7 +143,7 @@ class Statistics:
             lines = [x for x in t.split(b"\n") if x and not x.isspace()]
             ended = sum(x.rstrip().endswith((b".", b"!", b"?", b'"')) for x in lines)
             out[k, 3] = len(lines) - len({*lines})
-            out[k, -3:] = len(lines), ended, min(map(len, map(bytes.split, lines)), default=0)
+            out[k, -2:] = len(lines), ended
         return out
 
 
