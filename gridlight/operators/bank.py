@@ -13,32 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlight.operators import neighbours
+from gridlight.operators.neighbours import best_of
+from gridlight.sources.shared import written
+
 #: Vectors of a block of the bank, and of a block of queries; blocks of queries there are at least.
 BANK_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 20_000, 50_000, 8
 
 
-def _best(ids: np.ndarray, x: np.ndarray, bank_ids: np.ndarray, bank: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """(vec_id, bank_id, dist) of the ``k`` nearest of a block, ties by bank_id.
-
-    Squared distances come from the norm expansion as one matrix product for each 256 queries; all that
-    rounding could put among the k best are then measured directly, however many they are.
-    """
-    norms = (bank**2).sum(1)
-    for at in range(0, len(ids), 256):
-        q = x[at : at + 256]
-        d = norms - 2 * q @ bank.T
-        take = min(k, len(bank))
-        slack = 1e-9 * (norms.max() + (q**2).sum(1) + 1e-300)
-        limit = np.partition(d, take - 1, axis=1)[:, take - 1] + slack
-        row, col = np.nonzero(d <= limit[:, None])
-        exact = np.concatenate([np.sqrt(((q[row[j : j + 100_000]] - bank[col[j : j + 100_000]]) ** 2).sum(1)) for j in range(0, len(row), 100_000)])
-        order = np.lexsort((bank_ids[col], exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        first = np.searchsorted(row, np.arange(len(q)))
-        kept = np.arange(len(row)) - first[row] < k
-        yield pd.DataFrame({"vec_id": ids[at + row[kept]], "bank_id": bank_ids[col[kept]], "dist": exact[kept]})
-
-
 def nearest(queries: DataFrame, bank: DataFrame, k: int = 1) -> DataFrame:
     """(vec_id, rank, bank_id, dist): the k nearest bank vectors of each query by Euclidean distance, ties by bank_id.
 
@@ -55,7 +37,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int = 1) -> DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"vec_id": [], "bank_id": [], "dist": []})
         (ids, x), (bank_ids, y) = ((f["vec_id"].to_numpy(np.int64), np.array(f["embedding"].tolist(), float)) for f in (left, right))
-        return pd.concat(_best(ids, x, bank_ids, y, k))
+        return pd.concat(best_of(ids, x, bank_ids, y, k))
 
     found = q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, "vec_id long, bank_id long, dist double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "bank_id"))
@@ -79,11 +61,38 @@ def farthest_points(points: DataFrame, keys: list[str], n: int) -> DataFrame:
     return points.select(*keys, "vec_id", "embedding").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", step long, point long")
 
 
-def outlier_filter(points: DataFrame, neighbours: int, ratio: float) -> DataFrame:
-    """(vec_id, mean_dist, kept): mean distance to the nearest points, oneself among them, against mean + ratio * deviation of the cloud."""
-    near = nearest(points, points, neighbours).groupBy("vec_id").agg(F.avg("dist").alias("mean_dist"))
-    limit = near.agg((F.avg("mean_dist") + ratio * F.stddev_samp("mean_dist")).alias("limit"))
-    return near.crossJoin(F.broadcast(limit)).select("vec_id", "mean_dist", (F.col("mean_dist") < F.col("limit")).alias("kept"))
+def surface_variation(points: DataFrame, near: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, vec_id, variation): smallest share of the covariance's eigenvalues over the nearest points in space, oneself among them; 0 for a point alone."""
+    keys = keys or []
+    points = points.where("embedding is not null").select(*keys, "vec_id", "embedding")
+    own = points.select(*keys, F.col("vec_id").alias("bank_id"), "embedding")
+    lists = neighbours.nearest(points, points, near, keys)[0].join(own, [*keys, "bank_id"]).groupBy(*keys, "vec_id").agg(F.array_sort(F.collect_list("embedding")).alias("near"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for rows in f["near"]:
+                d = np.array([list(p) for p in rows], float)
+                d = d - d.mean(0)
+                values = np.linalg.eigvalsh(d.T @ d / max(1, len(d) - 1))
+                out.append(float(max(values[0], 0) / max(values.sum(), 1e-12)))
+            yield f[[*keys, "vec_id"]].assign(variation=out)
+
+    kinds = dict(points.dtypes)
+    return lists.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "vec_id"]) + ", variation double")
+
+
+def outlier_filter(points: DataFrame, count: int, ratio: float, keys: list[str] | None = None) -> DataFrame:
+    """(keys, vec_id, mean_dist, kept): mean distance to the nearest points of the same cloud, oneself among them, against mean + ratio * deviation of the cloud.
+
+    A cloud of at most ``count`` points is kept whole, as it has no neighbourhoods to compare; its mean_dist is over the points that it has.
+    """
+    keys = keys or []
+    by = keys or [F.lit(0).alias("_all")]
+    near = written(neighbours.nearest(points, points, count, keys)[0].groupBy(*keys, "vec_id").agg(F.avg("dist").alias("mean_dist")), "near")
+    limit = near.groupBy(*by).agg((F.avg("mean_dist") + ratio * F.stddev_samp("mean_dist")).alias("limit"), F.count("*").alias("n"))
+    both = near.join(limit, keys) if keys else near.crossJoin(F.broadcast(limit))  # one row
+    return both.select(*keys, "vec_id", "mean_dist", ((F.col("n") <= count) | (F.col("mean_dist") < F.col("limit"))).alias("kept"))
 
 
 def voxel_downsample(points: DataFrame, size: float) -> DataFrame:
@@ -123,19 +132,6 @@ def fuse(pixels: DataFrame, first: str, second: str, weight: float, group: str =
     return pixels.join(F.broadcast(stats), group).withColumn("fused", fused).select(*pixels.columns, "fused")
 
 
-def surface_variation(points: DataFrame, neighbours: int) -> DataFrame:
-    """(vec_id, variation): smallest share of the covariance's eigenvalues over the nearest points in space."""
-    own = points.select(F.col("vec_id").alias("bank_id"), "embedding")
-    near = nearest(points, points, neighbours).join(own, "bank_id").groupBy("vec_id").agg(F.collect_list("embedding").alias("near"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            values = [np.linalg.eigvalsh(np.cov(np.array([list(p) for p in n], float).T)) for n in f["near"]]
-            yield pd.DataFrame({"vec_id": f["vec_id"], "variation": [float(max(v[0], 0) / max(v.sum(), 1e-12)) for v in values]})
-
-    return near.mapInPandas(run, "vec_id long, variation double")
-
-
 def plane_inliers(points: DataFrame, tries: int, within: float) -> DataFrame:
     """(trial, inliers) of the best of ``tries`` planes through three points each: one pass picks the points, one counts.
 

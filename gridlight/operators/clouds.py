@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlight.operators.grid import lattice
 from gridlight.operators.graph import components
+from gridlight.operators.neighbours import nearest
+from gridlight.sources.shared import written
 
 
 def neighbours(points: DataFrame, radius: float) -> DataFrame:
@@ -32,37 +36,108 @@ def dbscan(points: DataFrame, radius: float, least: int) -> DataFrame:
     return points.select("vec_id").join(reach.select(F.col("a").alias("vec_id"), F.coalesce("core", "border").alias("cluster")), "vec_id", "left")
 
 
-def fpfh(points: np.ndarray, k: int) -> np.ndarray:
-    """Fast point feature histograms (n, 33): three angles of each point and neighbour in 11 bins each, plus the neighbours' by inverse distance."""
-    n = len(points)
-    far = lambda at: ((points[at : at + 256, None] - points[None]) ** 2).sum(2)
-    near = np.concatenate([np.argsort(far(at), axis=1, kind="stable")[:, 1 : min(k, n - 1) + 1] for at in range(0, n, 256)])
-    normals = np.stack([np.linalg.eigh(np.cov(points[np.append(near[i], i)].T))[1][:, 0] for i in range(n)])
-    normals *= np.where((normals * points).sum(1) > 0, -1.0, 1.0)[:, None]
-    line = points[near] - points[:, None]
-    length = np.maximum(np.linalg.norm(line, axis=2), 1e-12)
-    u, w = normals[:, None], line / length[..., None]
-    v = np.cross(w, np.broadcast_to(u, w.shape))
+def _by_length(lists: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, (rows, n, width) array) of lists of rows of numbers, those of one length together."""
+    sizes = lists.map(len).to_numpy()
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        yield at, np.array([[list(e) for e in lists.iloc[k]] for k in at.tolist()], float).reshape(len(at), n, -1)
+
+
+def least_axes(near: np.ndarray) -> np.ndarray:
+    """(rows, 3) unit vectors in which each row's points (rows, n, 3) vary least; the same for a point alone as for equal points."""
+    d = near - near.mean(1, keepdims=True)
+    return np.linalg.eigh(np.einsum("rni,rnj->rij", d, d))[1][:, :, 0]
+
+
+def neighbour_table(points: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, a, b, dist): the ``k`` nearest other points b of each point a (vec_id, x, y, z) in its cloud, ties by id; written once. A cloud's last points have as many as there are."""
+    vectors = points.select(key, "vec_id", F.array(*(F.col(c).cast("double") for c in "xyz")).alias("embedding"))
+    found, _ = nearest(vectors, vectors, k + 1, [key])
+    rank = F.row_number().over(Window.partitionBy(key, "vec_id").orderBy("rank"))
+    others = found.where("bank_id != vec_id").withColumn("rank", rank).where(F.col("rank") <= k)
+    return written(others.select(key, F.col("vec_id").alias("a"), F.col("bank_id").alias("b"), "dist"), "near")
+
+
+def normals(points: DataFrame, near: DataFrame, key: str) -> DataFrame:
+    """(key, vec_id, x, y, z, nx, ny, nz): unit normals by the plane through each point and its neighbours, towards the origin."""
+    kinds = dict(points.dtypes)
+    own = points.select(key, F.col("vec_id").alias("a"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    other = own.select(key, F.col("a").alias("b"), F.array("x", "y", "z").alias("p"))
+    lists = near.join(other, [key, "b"]).groupBy(key, "a").agg(F.array_sort(F.collect_list("p")).alias("near"))
+    rows = own.join(lists, [key, "a"], "left").withColumn("near", F.concat(F.array(F.array("x", "y", "z")), F.coalesce("near", F.array().cast("array<array<double>>"))))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            n = np.zeros((len(f), 3))
+            for at, p in _by_length(f["near"]):
+                n[at] = least_axes(p)
+            n *= np.where((n * f[["x", "y", "z"]].to_numpy()).sum(1) > 0, -1.0, 1.0)[:, None]
+            yield f[[key]].assign(vec_id=f["a"], x=f["x"], y=f["y"], z=f["z"], nx=n[:, 0], ny=n[:, 1], nz=n[:, 2])
+
+    return rows.mapInPandas(run, f"{key} {kinds[key]}, vec_id long, " + ", ".join(f"{c} double" for c in ("x", "y", "z", "nx", "ny", "nz")))
+
+
+def own_histograms(place: np.ndarray, normal: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """(rows, 33) histograms of the three angles between each point (rows, 3) with its normal and its neighbours (rows, n, 6: place and normal), in 11 bins each, as percentages."""
+    rows, n = near.shape[:2]
+    line = near[:, :, :3] - place[:, None]
+    u, w = np.broadcast_to(normal[:, None], line.shape), line / np.maximum(np.linalg.norm(line, axis=2), 1e-12)[..., None]
+    v = np.cross(w, u)
     v /= np.maximum(np.linalg.norm(v, axis=2, keepdims=True), 1e-12)
-    other = normals[near]
-    angles = ((v * other).sum(2), (u * w).sum(2), np.arctan2((np.cross(np.broadcast_to(u, w.shape), v) * other).sum(2), (u * other).sum(2)) / np.pi)
-    own = np.zeros((n, 33))
+    other = near[:, :, 3:]
+    angles = ((v * other).sum(2), (u * w).sum(2), np.arctan2((np.cross(u, v) * other).sum(2), (u * other).sum(2)) / np.pi)
+    out = np.zeros((rows, 33))
     for a, values in enumerate(angles):
-        bins = np.clip(((values + 1) / 2 * 11).astype(int), 0, 10)
-        np.add.at(own, (np.arange(n)[:, None], 11 * a + bins), 100 / near.shape[1])
-    full = own + (own[near] / length[..., None]).sum(1) / near.shape[1]
-    parts = full.reshape(n, 3, 11)
-    return (100 * parts / np.maximum(parts.sum(2, keepdims=True), 1e-12)).reshape(n, 33)
-
+        np.add.at(out, (np.arange(rows)[:, None], 11 * a + np.clip(((values + 1) / 2 * 11).astype(int), 0, 10)), 100 / n)
+    return out
 
-def descriptors(points: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, vec_id, fpfh) of clouds (key, vec_id, x, y, z): a cloud is one scan, whose points are capped when it is made."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("vec_id")
-        return pd.DataFrame({key: f[key], "vec_id": f["vec_id"], "fpfh": list(fpfh(f[["x", "y", "z"]].to_numpy(float), k))})
+def descriptors(points: DataFrame, key: str, k: int, normal_k: int | None = None) -> DataFrame:
+    """(key, vec_id, fpfh) of clouds (key, vec_id, x, y, z): fast point feature histograms, 33 numbers a point, each third of them summing up to 100.
 
-    return points.select(key, "vec_id", "x", "y", "z").groupBy(key).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, vec_id long, fpfh array<double>")
+    Two hops over one table of neighbours: every point's own histogram of angles to its ``k`` nearest others, then the sum of
+    its own and its neighbours' by inverse distance. Normals come from the ``normal_k`` nearest (k if none is given). A
+    point's work is bounded by its neighbours, so a cloud may have any size; no task holds one. A point alone in its cloud
+    has a histogram of zeros; vec_ids are unique within a cloud, and points with a null coordinate are left out.
+    """
+    kinds = dict(points.dtypes)
+    points = points.where("x is not null and y is not null and z is not null").select(key, F.col("vec_id").cast("long").alias("vec_id"), "x", "y", "z")
+    near = neighbour_table(points, key, max(k, normal_k or k))
+    at_most = lambda n: near if n == max(k, normal_k or k) else near.withColumn("_r", F.row_number().over(Window.partitionBy(key, "a").orderBy("dist", "b"))).where(F.col("_r") <= n).drop("_r")
+    faced = written(normals(points, at_most(normal_k or k), key), "normals")
+    near = at_most(k)
+    state = F.array("x", "y", "z", "nx", "ny", "nz")
+    lists = near.join(faced.select(key, F.col("vec_id").alias("b"), state.alias("s")), [key, "b"]).groupBy(key, "a").agg(F.array_sort(F.collect_list(F.struct("dist", "b", "s"))).alias("l"))
+    first = faced.withColumnRenamed("vec_id", "a").join(lists.select(key, "a", F.transform("l", lambda e: e.s).alias("near")), [key, "a"], "left")
+
+    def angles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            own = np.zeros((len(f), 33))
+            full = f[f["near"].notna()]
+            rows = np.flatnonzero(f["near"].notna())
+            for at, n in _by_length(full["near"]):
+                own[rows[at]] = own_histograms(full[["x", "y", "z"]].to_numpy()[at], full[["nx", "ny", "nz"]].to_numpy()[at], n)
+            yield f[[key]].assign(vec_id=f["a"], own=list(own))
+
+    schema = f"{key} {kinds[key]}, vec_id long, "
+    histograms = written(first.mapInPandas(angles, schema + "own array<double>"), "histograms")
+    theirs = near.join(histograms.select(key, F.col("vec_id").alias("b"), "own"), [key, "b"]).groupBy(key, "a").agg(F.array_sort(F.collect_list(F.struct("dist", "b", "own"))).alias("l"))
+    second = histograms.withColumnRenamed("vec_id", "a").join(theirs, [key, "a"], "left")
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for own, more in zip(f["own"], f["l"]):
+                full = np.array(own, float)
+                if more is not None and len(more):
+                    weight = 1 / np.maximum([e["dist"] for e in more], 1e-12)
+                    full = full + (np.array([list(e["own"]) for e in more]) * weight[:, None]).sum(0) / len(more)
+                thirds = full.reshape(3, 11)
+                out.append((100 * thirds / np.maximum(thirds.sum(1, keepdims=True), 1e-12)).ravel())
+            yield f[[key]].assign(vec_id=f["a"], fpfh=out)
+
+    return second.mapInPandas(summed, schema + "fpfh array<double>")
 
 
 def noise(seed: Column, u: Column, v: Column, cell: float) -> Column:

@@ -84,7 +84,7 @@ def au_pro_by_defect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boot_macro_au_pro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the macro AU-PRO over 1,000 stratified draws of images."""
     s = scans(spark, sf_dir)
-    return _ninth(harness.boot_macro(s.select("vec_id", "category"), harness.pixel_au_pro(regions.histogram(s, ["category"]))), "point", "lo", "hi")
+    return _ninth(harness.boot_macro(s.select("vec_id", "category"), harness.pixel_au_pro(regions.summaries(s, ["category"]))), "point", "lo", "hi")
 
 
 def _ninth(df: DataFrame, *columns: str) -> DataFrame:

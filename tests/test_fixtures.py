@@ -210,13 +210,3 @@ def test_reconstruction_errors_against_singular_vectors(spark, data):
     want = (x**2).sum(1) - ((x @ axes.T) ** 2).sum(1)
     got = {r.vec_id: r.error for r in pca_reconstruction(spark, data).collect()}
     assert np.allclose([got[r.vec_id] for r in rows], want, atol=1e-5)
-
-
-def test_feature_histograms_do_not_change_under_motions(spark):
-    from gridlight.operators import clouds
-
-    x = np.random.default_rng(9).normal(size=(60, 3))
-    turn = np.linalg.qr(np.random.default_rng(1).normal(size=(3, 3)))[0]
-    turn *= np.sign(np.linalg.det(turn))
-    a, b = (clouds.fpfh(p, 10) for p in (x, x @ turn.T))
-    assert a.shape == b.shape and np.isfinite(a).all() and np.median(np.abs(a - b)) < 1e-6
