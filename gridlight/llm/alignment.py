@@ -35,7 +35,7 @@ from gridlight.llm.bpe import file_spec, token_bytes
 from gridlight.llm.common import table, written
 
 #: UTF-8 bytes of texts in a block, characters that are cut at once, and pieces that a worker remembers before it starts anew.
-BLOCK_BYTES, CUT_CHARACTERS, CACHE_PIECES = 8_000_000, 3_000_000, 400_000
+BLOCK_BYTES, CUT_CHARACTERS, CACHE_PIECES = 4_000_000, 1_000_000, 300_000
 #: What stands for a space in the second tokenizer's pieces.
 MARK = "▁"
 _CUT = re.compile(r"(?<=[^ ]) ")
@@ -239,7 +239,7 @@ _BLOCK = "block string, ids binary, known binary, n_a array<long>, n_b array<lon
 
 
 def blocks_of(docs: DataFrame, pair: Pair) -> DataFrame:
-    """``docs`` (doc_id, text) in blocks of up to 8 MB of texts, or of one longer text; written once.
+    """``docs`` (doc_id, text) in blocks of up to 4 MB of texts, or of one longer text; written once.
 
     A block has its documents' ids packed in ``ids`` (and in ``known`` whether they are not null), and the
     arrays n_a, n_b, n_groups and digest, the groups of all of
