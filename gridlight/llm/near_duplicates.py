@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlight.llm.common import components, table, written
@@ -81,13 +81,18 @@ def signature_bands(sets: list[np.ndarray], settings: Settings) -> np.ndarray:
     return keys
 
 
+def said() -> Column:
+    """A hash of the text; with the doc_id it finds a text again, also where a doc_id has several."""
+    return F.xxhash64(F.col("text").cast("string")).alias("said")
+
+
 def shingle_sets(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, n_shingles, fingerprint, keys) of ``docs`` (doc_id, text): the set's size, a 128-bit digest of it and its band keys."""
+    """(doc_id, said, n_shingles, fingerprint, keys) of ``docs`` (doc_id, text): a hash of the text, the set's size, a 128-bit digest of it and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(settings.words)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             at = 0
             while at < len(texts):  # a few MB of texts at once
                 end, size = at, 0
@@ -101,10 +106,10 @@ def shingle_sets(docs: DataFrame, settings: Settings) -> DataFrame:
                     bands[full] = signature_bands([sets[k] for k in full], settings)
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 keys = [b.tobytes() if len(s) else None for b, s in zip(bands, sets)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "fingerprint", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, end - at) for c in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "said", "n_shingles", "fingerprint", "keys"])
                 at = end
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fingerprint binary, keys binary")
+    return docs.select(F.col("doc_id").cast("long"), said(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, said long, n_shingles long, fingerprint binary, keys binary")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -162,7 +167,7 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
 
 
 def _sets_of(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(node, packed set) of ``docs`` (node, text, fingerprint), for texts of that fingerprint: an id that repeats may have others."""
+    """(node, packed set) of ``docs`` (node, text, fingerprint), for texts of that fingerprint; rows that repeat a node's text give its set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(settings.words)
@@ -177,7 +182,7 @@ def _sets_of(docs: DataFrame, settings: Settings) -> DataFrame:
 def links(nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """Edges (a, b) that connect all nodes linked by their sets, directly or through others.
 
-    ``nodes`` (node, fingerprint, keys) has one node for each distinct set, ``docs`` (node, text) its text under the same id.
+    ``nodes`` (node, doc_id, said, fingerprint, keys) has one node for each distinct set, whose text is in ``docs`` (doc_id, text) under that doc_id and hash.
     Small buckets list their pairs, each decided once. Members of a larger bucket are dealt into
     blocks, and every two blocks are compared in one task, which keeps a spanning forest of the links
     it finds. Only candidate sets travel, and nothing is dropped.
@@ -193,8 +198,8 @@ def links(nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     tails = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + F.lit(2), F.size("m")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = written(small.select(F.explode(tails).alias("p")).select("p.a", "p.b").where("a < b").distinct(), "pairs")
 
-    wanted = nodes.select("node", "fingerprint").join(placed.select("node").distinct(), "node", "left_semi")
-    sets = written(_sets_of(docs.join(wanted, "node").select("node", "text", "fingerprint"), settings), "sets")
+    wanted = nodes.select("node", "doc_id", "said", "fingerprint").join(placed.select("node").distinct(), "node", "left_semi")
+    sets = written(_sets_of(docs.withColumn("said", said()).join(wanted, ["doc_id", "said"]).select("node", "text", "fingerprint"), settings), "sets")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,14 +238,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text): one row per row with a doc_id.
 
     Null and empty texts and texts of white space have an empty set and are linked with nothing.
-    Rows with a null doc_id are left out; rows that repeat a doc_id are told apart by their texts.
+    Rows with a null doc_id are left out. Rows that repeat a doc_id count as other documents: each is
+    linked by its own text, and the component_id is the smallest doc_id of what it reaches.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     made = written(shingle_sets(texts, settings), "shingles")
-    same = made.where("n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    same = written(same, "nodes")
-    joined = components(links(same, texts.withColumnRenamed("doc_id", "node"), settings))
-    found = same.join(joined, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    same = made.where("n_shingles > 0").groupBy("fingerprint").agg(F.min_by(F.struct("doc_id", "said"), F.struct("doc_id", "said")).alias("from"), F.first("keys").alias("keys"))
+    # a node is a set, numbered once and written; the smallest doc_id that has it stands beside
+    same = written(same.select(F.monotonically_increasing_id().alias("node"), "from.doc_id", "from.said", "fingerprint", "keys"), "nodes")
+    joined = components(links(same, texts, settings))
+    placed = same.select("fingerprint", "node", "doc_id").join(joined, "node", "left").select("fingerprint", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = placed.select("fingerprint", "component").join(least, "component").select("fingerprint", "component_id")
     linked = made.where("n_shingles > 0").join(found, "fingerprint").select("doc_id", "n_shingles", "component_id")
     alone = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
