@@ -278,16 +278,18 @@ def near_duplicates(rows: DataFrame, settings: Settings = Settings()) -> DataFra
     Vectors of one direction are one node with a weight, so copies cost nothing. A vector that is
     null, zero, or has null or non-finite components links with nothing; vectors of different
     lengths don't link. Rows with a null vec_id are left out; rows that repeat a vec_id count as
-    other vectors.
+    other vectors, each with its own links, and a component_id is the smallest vec_id of what is reached.
     """
     made = written(vectors(rows.where("vec_id is not null")), "units")
-    same = made.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
-    nodes = written(same, "nodes")
+    same = made.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
+    # a node is a direction, numbered once and written; the smallest vec_id that has it stands beside
+    nodes = written(same.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "weight", "unit"), "nodes")
     found = written(links(nodes, settings), "links")
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("more"))
     joined = components(found.where("n = 0 and a != b").select("a", "b"))
-    every = nodes.select("digest", "node", "weight").join(counts, "node", "left").join(joined, "node", "left")
-    every = every.select("digest", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    every = nodes.select("digest", "node", "least", "weight").join(counts, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = every.groupBy("component").agg(F.min("least").alias("component_id"))
+    every = every.select("digest", "component", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")).join(smallest, "component")
     linked = made.where("digest is not null").join(every, "digest").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     alone = made.where("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
