@@ -23,6 +23,8 @@ from gridlight.llm.common import table, written
 WINDOW, BLOCK_BYTES, QUERY_BYTES = 10, 4_000_000, 8_000_000
 #: Bytes that belong to words: digits, letters and all of a character beyond ASCII; A-Z as a-z, others as a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+#: Candidate places that are looked at at once, at least one window's; these bound a search's memory.
+CANDIDATES = 2_000_000
 #: The term under which a block keeps its documents themselves.
 DOCUMENTS = b""
 
@@ -36,9 +38,9 @@ def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None) ->
     """Postings (block, term, docs, positions) of ``docs`` (doc_id, text), packed as little-endian integers; written once.
 
     ``docs`` holds the posting's document number in its block and ``positions`` its word positions,
-    both ascending. Each block has one more row with the term b"": its doc_ids and then their row numbers
-    as ``docs`` and their numbers of words as ``positions``; it has all documents, also those without
-    words. Row numbers are given here. A block is named by its
+    both ascending. Each block has one more row with the term b"": as ``docs`` its doc_ids, their row
+    numbers, and whether the doc_ids are not null, as ``positions`` the numbers of words; it has all
+    documents, also those without words. Row numbers are given here. A block is named by its
     partition and its number there, so equal blocks are told apart. With a
     ``vocabulary`` only its terms are stored; it is broadcast, so its size has to be bounded.
     A block is up to 4 MB of texts, or one longer text, whatever the size of the table.
@@ -46,7 +48,7 @@ def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None) ->
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = "block string, term binary, docs binary, positions binary"
 
-    def rows(block: str, ids: list[int], numbers: list[int], texts: list[list[bytes]]) -> pa.RecordBatch:
+    def rows(block: str, ids: list[int | None], numbers: list[int], texts: list[list[bytes]]) -> pa.RecordBatch:
         lengths = np.array([len(t) for t in texts], np.int64)
         codes: dict[bytes, int] = {} if held.value is None else {w: k for k, w in enumerate(held.value)}
         if held.value is None:
@@ -62,7 +64,7 @@ def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None) ->
         pos = (at - starts[doc]).astype("<i4")
         present, begin = np.unique(flat[at], return_index=True)
         ends, names = [*begin[1:], len(at)], list(codes)
-        out = [(DOCUMENTS, np.array(ids + numbers, "<i8").tobytes(), lengths.astype("<i4").tobytes())]
+        out = [(DOCUMENTS, np.array([*(i or 0 for i in ids), *numbers, *(i is not None for i in ids)], "<i8").tobytes(), lengths.astype("<i4").tobytes())]
         out += [(names[c], doc[b:e].tobytes(), pos[b:e].tobytes()) for c, b, e in zip(present.tolist(), begin.tolist(), ends)]
         terms, d, p = zip(*out)
         return pa.RecordBatch.from_arrays([pa.array([block] * len(out)), *(pa.array(x, pa.binary()) for x in (terms, d, p))], names=["block", "term", "docs", "positions"])
@@ -81,7 +83,7 @@ def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None) ->
         if ids:
             yield rows(f"{partition}:{made}", ids, numbers, texts)
 
-    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
     return written(plain.mapInArrow(run, schema), "index")
 
 
@@ -101,7 +103,8 @@ class BlockIndex:
     def __init__(self, rows: pd.DataFrame):
         own = rows["term"].map(len) == 0
         ids, lengths = rows.loc[own, ["docs", "positions"]].iloc[0]
-        (self.ids, self.rows), self.lengths = np.frombuffer(ids, "<i8").reshape(2, -1), np.frombuffer(lengths, "<i4").astype(np.int64)
+        values, self.rows, known = np.frombuffer(ids, "<i8").reshape(3, -1)
+        self.ids, self.lengths = pd.arrays.IntegerArray(values.astype(np.int64), known == 0), np.frombuffer(lengths, "<i4").astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.packed = {t: (d, p) for t, d, p in rows.loc[~own, ["term", "docs", "positions"]].itertuples(index=False)}
         self.opened: dict[bytes, np.ndarray] = {}
@@ -134,8 +137,13 @@ class BlockIndex:
             own = np.array([k for k in found if len(windows[k]) == length], np.int64)
             words = np.array([[terms[t] for t in windows[k]] for k in own.tolist()], np.int64)
             order = np.argsort(sizes[words], axis=1, kind="stable")
-            for low in range(0, len(own), 4096):
-                rows = np.arange(low, min(low + 4096, len(own)))
+            # windows are taken together while their rarest terms have few enough places
+            candidates = np.cumsum(sizes[words[np.arange(len(own)), order[:, 0]]])
+            low = 0
+            while low < len(own):
+                before = int(candidates[low - 1]) if low else 0
+                high = max(low + 1, int(np.searchsorted(candidates, before + CANDIDATES, side="right")))
+                rows, low = np.arange(low, high), high
                 rarest = words[rows, order[rows, 0]]
                 n = sizes[rarest]
                 row = np.repeat(rows, n)
@@ -214,9 +222,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
     Benchmarks of up to 8 MB of text are searched at once, in an index of their own terms; larger ones
     slice by slice in one index of all terms, from which each slice takes the postings of its terms, and
-    the spans and items of a document are joined by its row number. Null texts have no words; rows
-    without a doc_id are left out; repeated item_ids count as one item; documents whose doc_id repeats
-    give a row each.
+    the spans and items of a document are joined by its row number. Null texts have no words; repeated
+    item_ids count as one item, and items without an item_id are left out; documents whose doc_id is null or
+    repeats give a row each.
     """
     slices = item_slices(benchmark)
     first, second = next(slices), next(slices, None)
@@ -263,9 +271,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without a window of a benchmark item, with their columns."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("items") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: the documents without a window of a benchmark item, with their columns.
+
+    A row is judged by its own text, whatever its doc_id: rows whose doc_id is null or repeats stay or
+    go one by one. Null and empty texts stay.
+    """
+    taken = {c.lower() for c in docs.columns}
+    name = next(f"_row{k}" for k in range(len(taken) + 1) if f"_row{k}" not in taken)
+    # rows are numbered once and written: a number read again is the same one
+    numbered = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    hit = contamination(numbered.select(F.col(name).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where(F.size("items") > 0).select(F.col("doc_id").alias(name))
+    return numbered.join(hit, name, "left_anti").select(*docs.columns)
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
