@@ -125,6 +125,40 @@ def test_shards(spark, docs, copies):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in rows) + 0.01 * sum(sizes.values())
 
 
+def plain_shards(rows, shards):
+    """Rows (id, text) cut where the sums of bytes come nearest to a shard's share, one by one in the operator's order of keys."""
+    sizes = [len((t or "").encode()) + 1 for _, t in rows]
+    return sum(sizes) / shards, max(sizes)
+
+
+@pytest.mark.parametrize("ids", ["equal", "null", "few"])
+def test_shards_of_equal_rows(spark, ids):
+    """Rows that are equal in text and doc_id are cut apart: every shard's bytes are within a row and the tolerance of its share."""
+    rows = [({"equal": 7, "null": None, "few": k % 3 or None}[ids], "the same text") for k in range(200)] + [(k, f"text {k} " * (k % 5)) for k in range(200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), part_rows=10, least_parts=2).collect()
+    share, longest = plain_shards(rows, 16)
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, rows))
+    assert sorted(sizes) == list(range(16)) and all(abs(v - share) <= longest + 0.002 * share for v in sizes.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_shards_in_order_against_brute_force(spark, docs):
+    """Shards and slots together are the order of (hash, doc_id), cut at the rows whose sums come nearest to the shares."""
+    frame = docs.select("doc_id", "text")
+    order = [r.doc_id for r in frame.orderBy(F.shiftrightunsigned(F.xxhash64(F.encode("text", "UTF-8")), 4), "doc_id").collect()]
+    got = {r.doc_id: r for r in sharding.shard(frame, 8, tolerance=0.0, columns=["doc_id"]).collect()}
+    assert sorted(got, key=lambda i: (got[i].shard, got[i].slot)) == order
+    sums = np.cumsum([got[i].size for i in order])
+    for k in range(1, 8):
+        cut = sum(got[i].shard < k for i in order)
+        best = np.abs(np.concatenate([[0], sums]) - sums[-1] * k / 8).min()
+        assert abs(([0, *sums][cut]) - sums[-1] * k / 8) == pytest.approx(best)
+
+
 def test_shards_of_odd_rows(spark):
     rows = sharding.shard(odd_docs(spark).union(spark.createDataFrame([(None, "one", "x", 0, 1.0)], odd_docs(spark).schema))).collect()
     assert len(rows) == len(ODD) + 3 and next(r.size for r in rows if r.text is None) == 1
