@@ -34,8 +34,8 @@ from tokenizers import Tokenizer
 from gridlight.llm.bpe import file_spec, token_bytes
 from gridlight.llm.common import table, written
 
-#: UTF-8 bytes of texts in a block, characters that are cut at once, and pieces that a worker remembers before it starts anew.
-BLOCK_BYTES, CUT_CHARACTERS, CACHE_PIECES = 4_000_000, 1_000_000, 300_000
+#: UTF-8 bytes of texts in a block, bytes that are cut at once, and pieces that a worker remembers before it starts anew.
+BLOCK_BYTES, CUT_BYTES, CACHE_PIECES = 2_000_000, 1_000_000, 200_000
 #: What stands for a space in the second tokenizer's pieces.
 MARK = "▁"
 _CUT = re.compile(r"(?<=[^ ]) ")
@@ -239,7 +239,7 @@ _BLOCK = "block string, ids binary, known binary, n_a array<long>, n_b array<lon
 
 
 def blocks_of(docs: DataFrame, pair: Pair) -> DataFrame:
-    """``docs`` (doc_id, text) in blocks of up to 4 MB of texts, or of one longer text; written once.
+    """``docs`` (doc_id, text) in blocks of up to 2 MB of texts, or of one longer text; written once.
 
     A block has its documents' ids packed in ``ids`` (and in ``known`` whether they are not null), and the
     arrays n_a, n_b, n_groups and digest, the groups of all of
@@ -267,23 +267,26 @@ def blocks_of(docs: DataFrame, pair: Pair) -> DataFrame:
             return pa.RecordBatch.from_arrays(row, names=[c.split(" ")[0] for c in _BLOCK.split(", ")])
 
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            doc_ids = batch.column(0).to_pylist()
-            while at < len(texts):
+            sizes, at = pc.binary_length(batch.column(1)).fill_null(0).to_pylist(), 0
+            while at < len(sizes):
                 end, some = at, 0
-                while end < len(texts) and some < CUT_CHARACTERS:
-                    some += len(texts[end] or "")
+                while end < len(sizes) and some < CUT_BYTES:
+                    some += sizes[end]
                     end += 1
                 if not parts and len(aligner.pieces) > CACHE_PIECES:
                     aligner.forget()
-                parts.append(aligner.align([t or "" for t in texts[at:end]]))
-                ids += doc_ids[at:end]
+                part = batch.slice(at, end - at)  # texts become strings a few at a time
+                parts.append(aligner.align([t or "" for t in part.column(1).to_pylist()]))
+                ids += part.column(0).to_pylist()
                 at, size = end, size + some
                 if size >= BLOCK_BYTES or len(ids) >= 50_000:
                     yield block()
                     ids, parts, made, size = [], [], made + 1, 0
         if ids:
             yield block()
+        # the worker serves later stages too: what it knows of pieces goes
+        aligner.forget()
+        pa.default_memory_pool().release_unused()
 
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _BLOCK), "aligned")
 
