@@ -15,20 +15,21 @@ from gridlight.operators.neighbours import nearest
 from gridlight.sources.shared import written
 
 
-def neighbours(points: DataFrame, radius: float) -> DataFrame:
-    """(a, b) of points (vec_id, x, y, z) within ``radius``, both ways and oneself: a join on grid cells of that size."""
+def neighbours(points: DataFrame, radius: float, key: str | None = None) -> DataFrame:
+    """(a, b) of points (vec_id, x, y, z) within ``radius``, both ways and oneself, and of one ``key`` if given: a join on grid cells of that size."""
     cell = lambda c: F.floor(F.col(c) / radius)
     near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    left = points.select(F.col("vec_id").alias("a"), *(F.col(c).alias(f"a{c}") for c in "xyz"), F.explode(near).alias("d"), *(cell(c).alias(f"c{c}") for c in "xyz"))
+    own = [F.col(key).alias("_key")] if key else []
+    left = points.select(*own, F.col("vec_id").alias("a"), *(F.col(c).alias(f"a{c}") for c in "xyz"), F.explode(near).alias("d"), *(cell(c).alias(f"c{c}") for c in "xyz"))
     left = left.withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"d.{n}") for c, n in zip("xyz", "ijk")})
-    right = points.select(F.col("vec_id").alias("b"), *(F.col(c).alias(f"b{c}") for c in "xyz"), *(cell(c).alias(f"c{c}") for c in "xyz"))
+    right = points.select(*own, F.col("vec_id").alias("b"), *(F.col(c).alias(f"b{c}") for c in "xyz"), *(cell(c).alias(f"c{c}") for c in "xyz"))
     d2 = sum(((F.col(f"a{c}") - F.col(f"b{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    return left.join(right, ["cx", "cy", "cz"]).where(d2 <= radius * radius).select("a", "b")
+    return left.join(right, [*(["_key"] if key else []), "cx", "cy", "cz"]).where(d2 <= radius * radius).select("a", "b")
 
 
-def dbscan(points: DataFrame, radius: float, least: int) -> DataFrame:
-    """(vec_id, cluster): density clusters named by their smallest core point; a border point takes the smallest, noise has null."""
-    near = neighbours(points, radius)
+def dbscan(points: DataFrame, radius: float, least: int, key: str | None = None) -> DataFrame:
+    """(vec_id, cluster), apart for each ``key`` if given (vec_ids are unique over all): density clusters named by their smallest core point; a border point takes the smallest, noise has null."""
+    near = written(neighbours(points, radius, key), "pairs")
     core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a")
     links = near.join(core, "a").join(core.select(F.col("a").alias("b")), "b")
     own = components(links.select("a", "b")).select(F.col("node").alias("b"), "component")
@@ -36,6 +37,67 @@ def dbscan(points: DataFrame, radius: float, least: int) -> DataFrame:
     return points.select("vec_id").join(reach.select(F.col("a").alias("vec_id"), F.coalesce("core", "border").alias("cluster")), "vec_id", "left")
 
 
+def planes(points: DataFrame, key: str, tries: int, within: float) -> DataFrame:
+    """(key, a, b, c, d, n): for each cloud the plane a*x + b*y + c*z = d with the most points within ``within``, then fitted to these by least squares.
+
+    Each of ``tries`` planes goes through three points of the cloud, those with the smallest hashes of id and pick;
+    ties go to the earlier try. The fit comes from the moments of the plane's points, so a cloud may have any size;
+    ``n`` counts the points within the fitted plane's distance. Clouds without three points off a line have no row.
+    """
+    kind = dict(points.dtypes)[key]
+    picks = [F.min_by(F.array("x", "y", "z"), F.struct(F.xxhash64("vec_id", F.lit(k)), "vec_id")).alias(f"p{k}") for k in range(3 * tries)]
+
+    def through(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for row in f.itertuples(index=False):
+                for t in range(tries):
+                    p, q, r = (np.array(list(row[1 + 3 * t + j]), float) for j in range(3))
+                    normal = np.cross(q - p, r - p)
+                    size = np.linalg.norm(normal)
+                    if size > 1e-12:
+                        normal = normal / size
+                        out.append((row[0], t, *normal.tolist(), float(normal @ p)))
+            yield pd.DataFrame(out, columns=[key, "t", "a", "b", "c", "d"])
+
+    plane = F.struct("a", "b", "c", "d")
+    made = points.groupBy(key).agg(*picks).mapInPandas(through, f"{key} {kind}, t int, a double, b double, c double, d double")
+    lists = written(made.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "a", "b", "c", "d"))).alias("l")), "planes")  # ``tries`` at most
+    off = lambda p: F.abs(p.a * F.col("x") + p.b * F.col("y") + p.c * F.col("z") - p.d)
+    hits = points.join(lists, key).select(key, F.posexplode(F.transform("l", lambda p: (off(p) < within).cast("long"))).alias("i", "hit"))
+    counts = hits.groupBy(key, "i").agg(F.sum("hit").alias("n"))
+    best = counts.groupBy(key).agg(F.max_by("i", F.struct("n", -F.col("i"))).alias("i")).join(lists, key).select(key, F.get("l", F.col("i")).alias("p"))
+    near = points.join(best, key).where(off(F.col("p")) < within)
+    pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+    spread = near.groupBy(key).agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"), *(F.covar_pop(u, v).alias(u + v) for u, v in pairs), F.first("p").alias("p"))
+
+    def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            cov = f[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy(float).reshape(-1, 3, 3)
+            normal = np.linalg.eigh(cov)[1][:, :, 0] if len(f) else np.zeros((0, 3))
+            yield f[[key]].assign(a=normal[:, 0], b=normal[:, 1], c=normal[:, 2], d=(normal * f[["mx", "my", "mz"]].to_numpy(float)).sum(1))
+
+    final = written(spread.drop("p").mapInPandas(fitted, f"{key} {kind}, a double, b double, c double, d double"), "fitted")
+    n = points.join(final.select(key, plane.alias("p")), key).where(off(F.col("p")) < within).groupBy(key).agg(F.count("*").alias("n"))
+    return final.join(n, key, "left").fillna(0, ["n"])
+
+
+def isolated(points: DataFrame, key: str, within: float, radius: float, least: int, tries: int = 24) -> DataFrame:
+    """The points (key, vec_id, x, y, z) of each cloud's object: off the cloud's largest plane, and in the largest density cluster of what is left.
+
+    A cloud without a plane keeps all points for the clusters; one without a cluster gives all that are off its plane.
+    Of clusters with equally many points it is the one with the smallest core point. vec_ids are unique over all clouds.
+    """
+    plain = points.select(key, F.col("vec_id").cast("long").alias("vec_id"), *(F.col(c).cast("double").alias(c) for c in "xyz")).where("x is not null and y is not null and z is not null")
+    flat = planes(plain, key, tries, within).select(key, "a", "b", "c", "d")
+    on = F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") - F.col("d")) < within
+    rest = written(plain.join(flat, key, "left").where(~F.coalesce(on, F.lit(False))).select(*plain.columns), "off")
+    named = written(rest.join(dbscan(rest, radius, least, key), "vec_id"), "clusters")
+    sizes = named.where("cluster is not null").groupBy(key, "cluster").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy(key).agg(F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("largest"))
+    return named.join(largest, key, "left").where(F.col("largest").isNull() | (F.col("cluster") == F.col("largest"))).select(*plain.columns)
+
+
 def _by_length(lists: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, (rows, n, width) array) of lists of rows of numbers, those of one length together."""
     sizes = lists.map(len).to_numpy()

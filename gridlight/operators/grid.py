@@ -109,11 +109,15 @@ def upsample(scans: DataFrame, times: int, h: int = 8, w: int = 8) -> DataFrame:
     return both.select("vec_id", "row", "col", value.alias("value"))
 
 
+def pooled(column: str) -> Column:
+    """The 3 x 3 mean at every pixel of an array column, with zeros beyond the border, within each row (h and w are columns)."""
+    at = lambda i, dv, du: F.when((F.floor(i / F.col("w")) + dv).between(0, F.col("h") - 1) & (i % F.col("w") + du).between(0, F.col("w") - 1), F.get(column, (i + dv * F.col("w") + du).cast("int"))).otherwise(0.0)
+    return F.transform(F.col(column), lambda _, i: sum((at(i, dv, du) for dv in (-1, 0, 1) for du in (-1, 0, 1)), F.lit(0.0)) / 9)
+
+
 def mean_pool(scans: DataFrame) -> DataFrame:
     """3 x 3 mean at every pixel, with zeros beyond the border, within each row."""
-    at = lambda i, dv, du: F.when((F.floor(i / F.col("w")) + dv).between(0, F.col("h") - 1) & (i % F.col("w") + du).between(0, F.col("w") - 1), F.get("amap", (i + dv * F.col("w") + du).cast("int"))).otherwise(0.0)
-    value = F.transform(F.col("amap"), lambda _, i: sum((at(i, dv, du) for dv in (-1, 0, 1) for du in (-1, 0, 1)), F.lit(0.0)) / 9)
-    return scans.select("vec_id", F.posexplode(value).alias("pix", "value"))
+    return scans.select("vec_id", F.posexplode(pooled("amap")).alias("pix", "value"))
 
 
 def eroded(scans: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: The modules of this package that register queries.
-MODULES = ("metrics", "grids", "inventory", "banks", "cloud", "methods", "bootstraps", "controls", "deployment", "reports")
+MODULES = ("metrics", "grids", "inventory", "banks", "cloud", "methods", "bootstraps", "controls", "deployment", "reports", "learned")
 
 
 def queries() -> dict:

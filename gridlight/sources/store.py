@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlight.sources.shared import written
+
 #: The inventory's columns.
 SAMPLES = T.StructType([T.StructField(n, k) for n, k in (("sample_id", T.StringType()), ("category", T.StringType()), ("split", T.StringType()), ("defect", T.StringType()), ("label", T.LongType()), ("has_gt", T.BooleanType()), ("file", T.StringType()), ("raw_rgb", T.StringType()), ("raw_xyz", T.StringType()), ("raw_gt", T.StringType()), ("H", T.LongType()), ("W", T.LongType()), ("n_valid", T.LongType()), ("defect_frac", T.DoubleType()))])
 #: An accelerator type's document; keys beyond these are errors.
@@ -50,16 +52,43 @@ def build(scans: DataFrame, path: str, source: str, recipe: str) -> DataFrame:
     """Appends the samples that the store doesn't have yet, by source, recipe and category, and gives what it added."""
     spark = scans.sparkSession
     rows = statistics(scans).withColumns({"source": F.lit(source), "param_key": F.lit(recipe)})
-    try:
+    if exists(spark, path):  # else the first build
         done = load(spark, path).where((F.col("source") == source) & (F.col("param_key") == recipe)).select("sample_id")
         rows = rows.join(done, "sample_id", "left_anti")
-    except Exception as missing:  # the first build
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    rows = written(rows, "added")
     rows.write.mode("append").partitionBy("source", "param_key", "category").parquet(path)
     return rows
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def store_scores(scores: DataFrame, path: str, run: str) -> None:
+    """Stores a run's scored images (``harness.SCORES``) below path/run=../category=..; a run stored before is replaced as a whole.
+
+    Files of a category are laid out by image, so that a report of some categories reads these alone.
+    """
+    scores.repartition("category").sortWithinPartitions("category", "vec_id").write.mode("overwrite").partitionBy("category").parquet(f"{path}/run={run}")
+
+
+def load_scores(spark: SparkSession, path: str, run: str, cats: list[str] | None = None) -> DataFrame:
+    """A run's stored scores; the categories' filter prunes partitions. A run that isn't stored is an error."""
+    if not exists(spark, f"{path}/run={run}"):
+        raise ValueError(f"run {run} has no stored scores")
+    found = spark.read.parquet(f"{path}/run={run}")
+    return found if cats is None else found.where(F.col("category").isin(cats))
+
+
+def recomputed(spark: SparkSession, path: str, run: str, draws: int = 1000) -> DataFrame:
+    """The report of a run from its stored scores alone."""
+    from gridlight.operators import harness
+
+    return harness.report(load_scores(spark, path, run), draws)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
