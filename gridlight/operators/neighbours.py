@@ -44,13 +44,17 @@ def best_of(ids: np.ndarray, x: np.ndarray, bank_ids: np.ndarray, bank: np.ndarr
 
 @dataclass(frozen=True)
 class Settings:
-    """Pivots of a key (``ratio`` times the root of its vectors, ``most`` about), vectors of a group of cells, and queries of a task."""
+    """Pivots of a key (``ratio`` times the root of its vectors, ``most`` about), vectors of a group of cells, and queries of a task.
+
+    Keys whose bank has at most ``few`` vectors are measured without pivots, several of them in a task.
+    """
 
     ratio: float = 1.0
     most: int = 1024
     group: int = 20_000
     least_groups: int = 8
     queries: int = 20_000
+    few: int = 400
 
 
 def _dealt(rows: DataFrame, keys: list[str], ident: str, size: int) -> DataFrame:
@@ -171,6 +175,32 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat([found, count])
 
 
+def _measured(queries: DataFrame, bank: DataFrame, keys: list[str], key_schema: str, k: int, settings: Settings) -> DataFrame:
+    """(vec_id, bank_id, dist, compared, keys) of keys with small banks, every pair of a key measured; keys share tasks of bounded size."""
+    bank = bank.drop("_part", "_parts").join(queries.select(*keys, "_part").distinct(), keys)
+    tasks = max(settings.least_groups, -(-(queries.count() + bank.count()) // settings.queries))
+    task = F.pmod(F.xxhash64(*keys, "_part"), F.lit(tasks)).alias("_task")
+    at = [*keys, "_part"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: pd.Series([], dtype=object) for c in ["vec_id", "bank_id", "dist", "compared", *keys]})]
+        theirs = dict(tuple(right.groupby(at, sort=False)))
+        for key, own in left.groupby(at, sort=False):
+            if key not in theirs:
+                continue
+            f = theirs[key]
+            ids, y = f["bank_id"].to_numpy(np.int64), np.array(f["embedding"].tolist(), float)
+            names, x = own["vec_id"].to_numpy(np.int64), np.array(own["embedding"].tolist(), float)
+            found = pd.concat(best_of(names, x, ids, y, k)).assign(compared=0)
+            found["bank_id"] = found["bank_id"].astype(object)
+            count = pd.DataFrame({"vec_id": names, "bank_id": None, "dist": None, "compared": len(ids)})
+            out += [part.assign(**dict(zip(keys, key))) for part in (found, count)]
+        return pd.concat(out)
+
+    left, right = queries.select(*at, "vec_id", "embedding", task), bank.select(*at, F.col("vec_id").alias("bank_id"), "embedding", task)
+    return left.groupBy("_task").cogroup(apart(right).groupBy("_task")).applyInPandas(run, f"vec_id long, bank_id long, dist double, compared long, {key_schema}")
+
+
 def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, keys: list[str] | None = None, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(found, compared) for ``queries`` and ``bank`` (keys, vec_id, embedding): found has (keys, vec_id, rank, bank_id, dist), the k nearest by Euclidean distance within the same key, ties by bank_id.
 
@@ -190,7 +220,17 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, keys: list[str] | N
     rows = written(_dealt(plain(bank), keys, "vec_id", settings.queries), "bank")
     mixed: Column = F.xxhash64("vec_id", F.lit(7))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min_by("vec_id", mixed).alias("_first"))
-    picked = rows.join(sizes, keys).where((F.pmod(mixed, F.col("_n")) < F.least(F.lit(settings.most), F.ceil(settings.ratio * F.sqrt("_n")))) | (F.col("vec_id") == F.col("_first")))
+    sizes = written(sizes, "sizes")
+    asked = written(_dealt(plain(queries), keys, "vec_id", settings.queries), "queries")
+    whole_keys, many = sizes.where(F.col("_n") <= settings.few), sizes.where(F.col("_n") > settings.few)
+    own = [] if whole else keys
+    best = lambda df: df.where("bank_id is not null").withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "vec_id").orderBy("dist", "bank_id"))).where(F.col("rank") <= k).select(*own, "vec_id", "rank", "bank_id", "dist")
+    direct = written(_measured(asked.join(whole_keys.select(*keys), keys), rows.join(whole_keys.select(*keys), keys), keys, key_schema, k, settings), "direct")
+    direct_cost = direct.where("bank_id is null").select(*own, "vec_id", "compared")
+    if many.isEmpty():
+        return best(direct), direct_cost
+    rows, asked = rows.join(many.select(*keys), keys), asked.join(many.select(*keys), keys)
+    picked = rows.join(many, keys).where((F.pmod(mixed, F.col("_n")) < F.least(F.lit(settings.most), F.ceil(settings.ratio * F.sqrt("_n")))) | (F.col("vec_id") == F.col("_first")))
     pivots = written(picked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda e: e.embedding).alias("pivots")), "pivots")
 
     def place(f: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
@@ -216,7 +256,6 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, keys: list[str] | N
     entries = bank_rows.groupBy(*keys, "cell", "group").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))
     book = written(entries.groupBy(*keys).agg(F.collect_list(F.struct("cell", "group", "n", "low", "high")).alias("entries")).join(pivots, keys), "book")
 
-    asked = written(_dealt(plain(queries), keys, "vec_id", settings.queries), "queries")
     sent_schema = f"{key_schema}, vec_id long, packed binary, group int, cells array<int>, near array<double>, limit double"
 
     def send(second: bool):
@@ -252,9 +291,6 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, keys: list[str] | N
     limits = first.where("bank_id is not null").groupBy(*keys, "vec_id").agg(F.sort_array(F.collect_list("dist")).alias("d")).select(*keys, "vec_id", F.get("d", F.lit(k - 1)).alias("limit"))
     again = pairs(asked.join(limits, [*keys, "vec_id"], "left")).applyInPandas(send(True), sent_schema)
     both = written(first.unionByName(compared(written(again, "sent"))), "compared")
-    rank = F.row_number().over(Window.partitionBy(*keys, "vec_id").orderBy("dist", "bank_id"))
-    found = both.where("bank_id is not null").withColumn("rank", rank).where(F.col("rank") <= k)
-    own = [] if whole else keys
     looked = book.select(*keys, (2 * F.size("pivots")).alias("_pivots"))
-    cost = both.groupBy(*keys, "vec_id").agg(F.sum("compared").alias("compared")).join(looked, keys)
-    return found.select(*own, "vec_id", "rank", "bank_id", "dist"), cost.select(*own, "vec_id", (F.col("compared") + F.col("_pivots")).alias("compared"))
+    cost = both.groupBy(*keys, "vec_id").agg(F.sum("compared").alias("compared")).join(looked, keys).select(*own, "vec_id", (F.col("compared") + F.col("_pivots")).alias("compared"))
+    return best(both.unionByName(direct)), cost.unionByName(direct_cost)

@@ -30,7 +30,7 @@ def check(found, want):
     assert all(np.allclose([d for _, d in got[k]], [d for _, d in want[k]], atol=1e-12) for k in want)
 
 
-@pytest.mark.parametrize("k, settings", [(1, neighbours.Settings()), (5, neighbours.Settings(ratio=3, group=40, queries=30)), (3, neighbours.Settings(most=2, group=25, least_groups=1))])
+@pytest.mark.parametrize("k, settings", [(1, neighbours.Settings()), (5, neighbours.Settings(ratio=3, group=40, queries=30, few=0)), (3, neighbours.Settings(most=2, group=25, least_groups=1, few=20))])
 def test_nearest_against_all_pairs(spark, k, settings):
     pick = np.random.default_rng(k)
     rows = lambda cloud, n, low: [(cloud, low + i, (pick.normal(size=3) + 4 * pick.integers(0, 3)).tolist()) for i in range(n)]
@@ -96,10 +96,11 @@ def clouds_of(spark, parts):
     return spark.createDataFrame([(c, i, *map(float, p)) for c, x in parts.items() for i, p in enumerate(x)], "cloud string, vec_id long, x double, y double, z double").repartition(3)
 
 
-def test_feature_histograms_against_loops(spark):
+def test_feature_histograms_against_loops(spark, monkeypatch):
     """Clouds of any size, a single point and equal points among them; the larger is in several groups of cells."""
     from gridlight.operators import clouds
 
+    monkeypatch.setattr(neighbours.nearest, "__defaults__", (1, None, neighbours.Settings(few=100)))
     pick = np.random.default_rng(9)
     parts = {"large": pick.normal(size=(260, 3)) + [0, 0, 5], "small": pick.normal(size=(5, 3)) + 3, "pair": pick.normal(size=(2, 3)), "alone": np.ones((1, 3))}
     got = {(r.cloud, r.vec_id): r.fpfh for r in clouds.descriptors(clouds_of(spark, parts), "cloud", 10).collect()}
