@@ -2,7 +2,7 @@
 
 A node is one number: its three lattice coordinates, twenty bits each. Points give every node within two cells the weighted
 distance along their normals; the distances are then made to agree with each other and with the normals along the lattice's
-edges, by rounds in which every node takes the mean of what its neighbours say (one exchange of six numbers a node). Nodes far
+edges, a system of equations that is solved by rounds in which every node hears its six neighbours (one exchange a round). Nodes far
 from all points don't exist, so the table grows with the surface, not with the volume, and no task holds a cloud.
 """
 
@@ -74,8 +74,9 @@ def _sent(nodes: DataFrame, key: str, keep: list[str], say: list[str]) -> DataFr
 def solved(nodes: DataFrame, key: str, size: float, hold: float = 1.0, tolerance: float = 1e-3) -> DataFrame:
     """(key, node, weight, f): the function that is nearest to the nodes' distances, by weight and ``hold``, and whose steps along the lattice are nearest to those of the normals.
 
-    The least-squares equations are diagonally dominant, as every node has a weight; they are solved by rounds until no node
-    moves by more than ``tolerance`` cells. Every round is written, so that a lost executor costs one round.
+    The least-squares equations are solved by conjugate gradients, scaled by their diagonal, until no node is further than
+    ``tolerance`` cells from what its neighbours and points ask of it. A round is one exchange and one row of sums; its
+    table is written, so that a lost executor costs one round. Clouds share the rounds, so one may be solved better than it needs.
     """
     # a neighbour that says it lies one step up the axis is one step of the mean normal away
     sent = _sent(nodes, key, ["weight", "dist", "nx", "ny", "nz"], ["nx", "ny", "nz"])
@@ -86,15 +87,28 @@ def solved(nodes: DataFrame, key: str, size: float, hold: float = 1.0, tolerance
     ).where("weight is not null")
     own = sum((F.coalesce(F.col(f"s{a}"), F.lit(0)) * F.col(n) for a, n in enumerate(("nx", "ny", "nz"))), F.lit(0.0))
     fixed = hold * F.col("weight") * F.col("dist") + size / 2 * (F.coalesce("said", F.lit(0.0)) + own)
-    state = written(got.select(key, "node", "weight", fixed.alias("fixed"), (hold * F.col("weight") + F.col("degree")).alias("total"), F.col("dist").alias("f")), "field")
+    total = hold * F.col("weight") + F.col("degree")
+    start = written(got.select(key, "node", "weight", total.alias("total"), fixed.alias("fixed"), F.col("dist").alias("f")), "field")
+    # what the equations leave at the start; then each round moves f along p, a mix of what is left and the last way
+    left = F.col("fixed") - F.col("image")
+    state = _applied(start, key, ["weight", "total", "fixed", "f"], "f").withColumn("r", left).select(key, "node", "weight", "total", "f", "r", (F.col("r") / F.col("total")).alias("p"))
+    state = written(state, "field")
     while True:
-        heard = _sent(state, key, ["weight", "fixed", "total", "f"], ["f"]).groupBy(key, "node").agg(*(F.max(c).alias(c) for c in ("weight", "fixed", "total", "f")), F.sum("_f").alias("said"))
-        new = (F.col("fixed") + F.coalesce("said", F.lit(0.0))) / F.col("total")
-        heard = heard.where("weight is not null").withColumn("new", new)
-        state = written(heard.select(key, "node", "weight", "fixed", "total", F.col("new").alias("f"), F.abs(F.col("new") - F.col("f")).alias("moved")), "field")
-        if (state.agg(F.max("moved")).first()[0] or 0.0) <= tolerance * size:
+        state = written(_applied(state, key, ["weight", "total", "f", "r", "p"], "p"), "field")
+        scaled = lambda u, v: F.coalesce(F.sum(F.col(u) * F.col(v) / F.col("total")), F.lit(0.0))
+        worst, rr, ri, ii, pi = state.agg(F.coalesce(F.max(F.abs(F.col("r") / F.col("total"))), F.lit(0.0)), scaled("r", "r"), scaled("r", "image"), scaled("image", "image"), F.coalesce(F.sum(F.col("p") * F.col("image")), F.lit(0.0))).first()
+        if worst <= tolerance * size or pi <= 0:
             return state.select(key, "node", "weight", "f")
-        state = state.drop("moved")
+        step = rr / pi
+        mix = max(rr - 2 * step * ri + step * step * ii, 0.0) / rr
+        r = F.col("r") - step * F.col("image")
+        state = state.select(key, "node", "weight", "total", (F.col("f") + step * F.col("p")).alias("f"), r.alias("r"), (r / F.col("total") + mix * F.col("p")).alias("p"))
+
+
+def _applied(state: DataFrame, key: str, keep: list[str], column: str) -> DataFrame:
+    """``state`` with image: the equations' left side for ``column``, each node's total times its own less the sum of its neighbours'."""
+    heard = _sent(state, key, keep, [column]).groupBy(key, "node").agg(*(F.max(c).alias(c) for c in keep), F.sum(f"_{column}").alias("said"))
+    return heard.where("weight is not null").select(key, "node", *keep, (F.col("total") * F.col(column) - F.coalesce("said", F.lit(0.0))).alias("image"))
 
 
 #: The eight corners of a cube, and its six tetrahedra: the ways from the first corner to the last along the axes.
