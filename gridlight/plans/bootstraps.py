@@ -16,30 +16,31 @@ DRAWS = 1000
 def boot_ci_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the mean score over images, without strata."""
     n = bootstrap.positions(image_scores(spark, sf_dir).select("doc_id", "score"), [], ["doc_id"])
-    d = bootstrap.drawn(n, DRAWS).groupBy("draw").agg((F.sum(F.col("times") * F.col("score")) / F.sum("times")).alias("m"))
+    d = bootstrap.mean_of(bootstrap.weights(n, DRAWS), DRAWS, "score")
     return d.agg(*(F.round(c, 6).alias(a) for c, a in zip(bootstrap.interval(d, "m"), ("lo", "hi"))))
 
 
 def boot_delta_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired arms (sessions of the same user): interval of mean B minus mean A under the same draws."""
     e = table(spark, sf_dir, "events").where("event_type in ('view', 'click')").groupBy("user_id").agg(F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("b")).where("a is not null and b is not null")
-    d = bootstrap.drawn(bootstrap.positions(e, [], ["user_id"]), DRAWS).groupBy("draw").agg((F.sum(F.col("times") * (F.col("b") - F.col("a"))) / F.sum("times")).alias("m"))
+    n = bootstrap.positions(e.select("user_id", (F.col("b") - F.col("a")).alias("delta")), [], ["user_id"])
+    d = bootstrap.mean_of(bootstrap.weights(n, DRAWS), DRAWS, "delta")
     return d.agg(*(F.round(c, 6).alias(a) for c, a in zip(bootstrap.interval(d, "m"), ("lo", "hi"))))
 
 
 def boot_macro_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images are drawn within their category; a draw's figure is the mean over categories of the defined AUROCs."""
     n = bootstrap.positions(image_scores(spark, sf_dir).select("doc_id", "category", "score", "label"), ["category"], ["doc_id"])
-    d = bootstrap.auroc_of(bootstrap.drawn(n, DRAWS), ["draw", "category"]).groupBy("draw").agg(F.avg("auroc").alias("m"))
+    d = bootstrap.auroc_draws(bootstrap.weights(n, DRAWS), DRAWS, ["category"]).groupBy("draw").agg(F.avg("auroc").alias("m"))
     return d.agg(*(F.round(c, 8).alias(a) for c, a in zip(bootstrap.interval(d, "m"), ("lo", "hi"))))
 
 
 def boot_macro_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired and stratified: AUROC by length minus AUROC by a second score, on the same draws."""
     s = image_scores(spark, sf_dir).select("doc_id", "category", "score", "label", ((F.col("doc_id") * 37) % 101).cast("double").alias("other"))
-    d = bootstrap.drawn(bootstrap.positions(s, ["category"], ["doc_id"]), DRAWS)
-    a = bootstrap.auroc_of(d, ["draw", "category"]).withColumnRenamed("auroc", "a")
-    b = bootstrap.auroc_of(d, ["draw", "category"], "other").withColumnRenamed("auroc", "b")
+    d = bootstrap.weights(bootstrap.positions(s, ["category"], ["doc_id"]), DRAWS)
+    a = bootstrap.auroc_draws(d, DRAWS, ["category"]).withColumnRenamed("auroc", "a")
+    b = bootstrap.auroc_draws(d, DRAWS, ["category"], "other").withColumnRenamed("auroc", "b")
     m = a.join(b, ["draw", "category"]).groupBy("draw").agg((F.avg("b") - F.avg("a")).alias("m"))
     return m.agg(*(F.round(c, 8).alias(x) for c, x in zip(bootstrap.interval(m, "m"), ("lo", "hi"))))
 
