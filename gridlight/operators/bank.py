@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,28 +19,34 @@ from gridlight.operators.neighbours import best_of
 from gridlight.sources.shared import written
 
 #: Vectors of a block of the bank, and of a block of queries; blocks of queries there are at least.
-BANK_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 20_000, 50_000, 8
+BANK_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 20_000, 20_000, 8
+
+
+def _block(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a block."""
+    return t["vec_id"].to_numpy(), t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
 
 def nearest(queries: DataFrame, bank: DataFrame, k: int = 1) -> DataFrame:
     """(vec_id, rank, bank_id, dist): the k nearest bank vectors of each query by Euclidean distance, ties by bank_id.
 
-    A pair of blocks gives the k best of each query, and the best of these over the bank's blocks are kept.
-    An empty bank gives no rows; null vectors are left out.
+    A pair of blocks gives the k best of each query, and the best of these over the bank's blocks are kept. A task
+    holds one pair at a time, so its memory doesn't depend on the tables. An empty bank gives no rows; null vectors are left out.
     """
     bank_blocks, query_blocks = max(1, -(-bank.count() // BANK_BLOCK)), max(LEAST_BLOCKS, -(-queries.count() // QUERY_BLOCK))
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    q = queries.where("embedding is not null").select("vec_id", "embedding", own(query_blocks).alias("i"), every(bank_blocks, "j"))
-    b = bank.where("embedding is not null").select("vec_id", "embedding", own(bank_blocks).alias("j"), every(query_blocks, "i"))
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    q = queries.where("embedding is not null").select(F.col("vec_id").cast("long"), vector, own(query_blocks).alias("i"), every(bank_blocks, "j"))
+    b = bank.where("embedding is not null").select(F.col("vec_id").cast("long"), vector, own(bank_blocks).alias("j"), every(query_blocks, "i"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"vec_id": [], "bank_id": [], "dist": []})
-        (ids, x), (bank_ids, y) = ((f["vec_id"].to_numpy(np.int64), np.array(f["embedding"].tolist(), float)) for f in (left, right))
-        return pd.concat(best_of(ids, x, bank_ids, y, k))
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("vec_id", pa.int64()), ("bank_id", pa.int64()), ("dist", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        return pa.Table.from_pandas(pd.concat(best_of(*_block(left), *_block(right), k)), schema, preserve_index=False)
 
-    found = q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, "vec_id long, bank_id long, dist double")
+    found = q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(run, "vec_id long, bank_id long, dist double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "bank_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "bank_id", "dist")
 

@@ -20,19 +20,25 @@ from pyspark.sql import functions as F
 from gridlight.sources.shared import apart, written
 
 
+#: Distances that ``best_of`` has in memory at once, about.
+CELLS = 1 << 20
+
+
 def best_of(ids: np.ndarray, x: np.ndarray, bank_ids: np.ndarray, bank: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
     """(vec_id, bank_id, dist) of the ``k`` nearest of a block, ties by bank_id.
 
-    Squared distances come from the norm expansion as one matrix product for each 256 queries; all that
-    rounding could put among the k best are then measured directly, however many they are.
+    Squared distances come from the norm expansion as one matrix product for each slice of queries, so many that it has about
+    ``CELLS`` distances; all that rounding could put among the k best are then measured directly, however many they are.
     """
     norms = (bank**2).sum(1)
-    for at in range(0, len(ids), 256):
-        q = x[at : at + 256]
-        d = norms - 2 * q @ bank.T
+    step = min(256, max(1, CELLS // max(1, len(bank))))
+    for at in range(0, len(ids), step):
+        q = x[at : at + step]
+        d = (-2 * q) @ bank.T
+        d += norms
         take = min(k, len(bank))
         slack = 1e-9 * (norms.max() + (q**2).sum(1) + 1e-300)
-        limit = np.partition(d, take - 1, axis=1)[:, take - 1] + slack
+        limit = (d.min(1) if take == 1 else np.partition(d, take - 1, axis=1)[:, take - 1]) + slack
         row, col = np.nonzero(d <= limit[:, None])
         exact = np.concatenate([np.sqrt(((q[row[j : j + 100_000]] - bank[col[j : j + 100_000]]) ** 2).sum(1)) for j in range(0, len(row), 100_000)])
         order = np.lexsort((bank_ids[col], exact, row))
