@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window
@@ -60,3 +61,16 @@ def test_odd_rows(spark, tmp_path, store):
     found = live(spark, source, f"{tmp_path}/out", f"{tmp_path}/checkpoint").where("user_id = 7").orderBy("t").collect()
     assert [(r.t, r.success, r.done, r.ret) for r in found][1:] == [(1, True, False, 2.0), (2, True, True, 3.0)]
     assert len(found) == 3
+
+
+def test_what_waits_is_bounded_and_goes_at_its_millisecond(spark, tmp_path, store):
+    stamp = datetime(2024, 1, 1)
+    rows = [(i, 7, stamp + timedelta(seconds=i % 50, microseconds=i), 1.0, False, False) for i in range(300)]
+    kept = rollouts._first(rollouts._packed(pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])), np.zeros(0, rollouts.EPISODE), 20)
+    assert kept["event_id"].tolist() == [e for _, e in sorted((r[2], r[0]) for r in rows)][:20]
+    # the watermark ends up at 00:10:00; a step a millisecond before it has been passed, one at it has not
+    end = timedelta(minutes=10)
+    steps = [(1, 1, stamp + end - timedelta(milliseconds=1), 1.0, False, False), (2, 2, stamp + end, 1.0, False, False), (3, 3, stamp + 2 * end, 1.0, False, False)]
+    source = f"{tmp_path}/source"
+    spark.createDataFrame(steps, SCHEMA).coalesce(1).write.parquet(source)
+    assert [(r.user_id, r.t) for r in live(spark, source, f"{tmp_path}/out", f"{tmp_path}/checkpoint").collect()] == [(1, 0)]
