@@ -6,13 +6,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlight.operators import bank
 
 
+#: Pixels of the grid that a batch of made scans has, about; at least one scan.
+PIXELS = 1 << 18
+
+
 @dataclass(frozen=True)
 class Recipe:
     """Side of the grid, neighbours and deviations of the outlier filter, units of position, and the largest distance from the centroid in these."""
@@ -65,12 +69,38 @@ def one_scan(xyz: np.ndarray, valid: np.ndarray, gt: np.ndarray, recipe: Recipe)
     return xyz * valid[..., None], valid, gt & valid
 
 
+def _numbers(cell: pa.ListScalar) -> np.ndarray:
+    return cell.values.to_numpy(zero_copy_only=False)
+
+
+def made(batch: pa.RecordBatch, kept: list[str], recipe: Recipe) -> Iterator[pa.RecordBatch]:
+    """The columns ``kept`` and the new x, y, z, valid, gt, h and w of a batch of scans, about ``PIXELS`` pixels at a time."""
+    step = max(1, PIXELS // recipe.size**2)
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        out = [[] for _ in range(5)]
+        for *place, ok, gt, gone, h, w in zip(*(part[c] for c in ("x", "y", "z", "valid", "gt", "_gone")), part["h"].to_pylist(), part["w"].to_pylist()):
+            xyz = np.stack([_numbers(c).astype(float) for c in place], 1).reshape(h, w, 3)
+            ok = _numbers(ok).astype(bool)
+            if gone.is_valid:
+                ok[_numbers(gone)] = False
+            truth = np.array([bool(g) for g in gt.as_py()]) if gt.is_valid else np.zeros(h * w, bool)
+            xyz, ok, truth = one_scan(np.where(np.isfinite(xyz), xyz, 0.0), ok.reshape(h, w), truth.reshape(h, w), recipe)
+            for held, one in zip(out, (*np.moveaxis(xyz, 2, 0), ok, truth)):
+                held.append(one.ravel())
+        ends = pa.array(np.arange(part.num_rows + 1) * recipe.size**2, pa.int32())
+        arrays = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(one))) for one in out]
+        sides = [pa.array(np.full(part.num_rows, recipe.size, np.int32))] * 2
+        yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), *arrays, *sides], names=[*kept, "x", "y", "z", "valid", "gt", "h", "w"])
+
+
 def preprocess(scans: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     """``scans`` (vec_id, x, y, z, gt, h, w and more) on one grid: x, y, z, valid, gt as arrays of size * size, h and w the size.
 
     The background is what lies exactly in the origin or isn't finite. Outliers are dropped by each scan's own limits, over a join of near
     points of the same scan; a scan with no more points than neighbours keeps all. A null gt means no defect. vec_ids are
-    unique. Other columns pass through; one named valid is replaced. All but the outliers stays within a scan's row.
+    unique. Other columns pass through; one named valid is replaced. All but the outliers stays within a scan's row. Scans are
+    made and sent on in batches of about ``PIXELS`` pixels, so a task's memory doesn't grow with its rows.
     """
     zipped = F.arrays_zip("x", "y", "z")
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
@@ -82,20 +112,10 @@ def preprocess(scans: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
     both = rows.join(gone, F.col("vec_id") == F.col("_scan"), "left").drop("_scan")
     kept = [c for c in rows.columns if c not in ("x", "y", "z", "valid", "gt", "h", "w")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for x, y, z, valid, gt, gone, h, w in zip(*(f[c] for c in ("x", "y", "z", "valid", "gt", "_gone", "h", "w"))):
-                xyz = np.stack([np.array([v if v is not None and np.isfinite(v) else 0.0 for v in c], float) for c in (x, y, z)], 1).reshape(h, w, 3)
-                ok = np.array(valid, bool)
-                if gone is not None:
-                    ok[np.asarray(gone, int)] = False
-                truth = np.zeros(h * w, bool) if gt is None else np.array([bool(g) for g in gt])
-                xyz, ok, truth = one_scan(xyz, ok.reshape(h, w), truth.reshape(h, w), recipe)
-                out.append((*(xyz[..., k].ravel().tolist() for k in range(3)), ok.ravel().tolist(), truth.ravel().tolist(), recipe.size, recipe.size))
-            made = pd.DataFrame(out, columns=["x", "y", "z", "valid", "gt", "h", "w"], index=f.index)
-            yield pd.concat([f[kept], made], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from made(batch, kept, recipe)
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "x array<double>, y array<double>, z array<double>, valid array<boolean>, gt array<boolean>, h int, w int"])
-    return both.select(*kept, "x", "y", "z", "valid", "gt", "h", "w", "_gone").mapInPandas(run, schema)
+    return both.select(*kept, "x", "y", "z", "valid", "gt", "h", "w", "_gone").mapInArrow(run, schema)

@@ -3,8 +3,9 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from gridlight.operators import bank, neighbours
+from gridlight.operators import bank, neighbours, preprocess
 
 
 def peak(run):
@@ -30,3 +31,19 @@ def test_nearest_of_a_large_block_in_slices():
 
 def test_blocks_are_of_bounded_size():
     assert max(bank.BANK_BLOCK, bank.QUERY_BLOCK) <= 20_000
+
+
+def test_scans_are_made_a_few_at_a_time():
+    n, recipe = 300, preprocess.Recipe(size=64, scale=1.0)
+    lists = lambda values, kind: pa.array([values] * n, pa.list_(kind))
+    columns = {c: lists([1.0, 2.0, 3.0, 4.0], pa.float64()) for c in "xyz"} | {c: lists([True] * 4, pa.bool_()) for c in ("valid", "gt")}
+    columns |= {"_gone": pa.array([None] * n, pa.list_(pa.int64())), "h": pa.array([2] * n, pa.int32()), "w": pa.array([2] * n, pa.int32()), "name": pa.array(map(str, range(n)))}
+    batch, sizes, names = pa.RecordBatch.from_pydict(columns), [], []
+
+    def run():
+        for part in preprocess.made(batch, ["name"], recipe):
+            sizes.append(len(part["x"].flatten()))
+            names.extend(part["name"].to_pylist())
+
+    assert peak(run) < 40  # all 300 at once are 1.2 million pixels of three doubles and two marks, as objects some 130 MB
+    assert max(sizes) <= preprocess.PIXELS and sum(sizes) == n * 64 * 64 and names == [*map(str, range(n))]
