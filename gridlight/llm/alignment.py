@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridlight.llm.bpe import file_spec, token_bytes
-from gridlight.llm.common import table, written
+from gridlight.llm.common import give_back, one_thread, table, written
 
 #: UTF-8 bytes of texts in a block, bytes that are cut at once, and pieces that a worker remembers before it starts anew.
 BLOCK_BYTES, CUT_BYTES, CACHE_PIECES = 2_000_000, 1_000_000, 200_000
@@ -94,6 +94,7 @@ class Aligner:
     _made: dict[str, Aligner] = {}
 
     def __init__(self, pair: Pair):
+        one_thread()
         self.a = Tokenizer.from_str(pair.spec)
         self.a.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pair.model)
@@ -122,6 +123,7 @@ class Aligner:
         self.groups: dict[bytes, int] = {}
         self.keys: list[bytes] = []
         self.names: list[str] = []
+        give_back()
 
     def _numbers(self, ids_a: np.ndarray, ids_b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> np.ndarray:
         """The numbers of groups that end at these tokens, new ones given. Groups are sifted by a hash, and all of one hash are compared."""
@@ -285,8 +287,8 @@ def blocks_of(docs: DataFrame, pair: Pair) -> DataFrame:
         if ids:
             yield block()
         # the worker serves later stages too: what it knows of pieces goes
+        parts = batch = part = None
         aligner.forget()
-        pa.default_memory_pool().release_unused()
 
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _BLOCK), "aligned")
 
@@ -303,12 +305,12 @@ def expanded(entries: DataFrame, pair: Pair, weight: str = "n") -> DataFrame:
     ``times`` is how often a group has the link. ``weight`` sums the groups' column of that name over
     the blocks: "n" for occurrences, "docs" for documents.
     """
-    held = entries.sparkSession.sparkContext.broadcast(pair)
+    sizes = [*map(len, token_bytes(pair.spec))], [*map(len, piece_bytes(sentencepiece.SentencePieceProcessor(model_proto=pair.model)))]
+    held = entries.sparkSession.sparkContext.broadcast(sizes)  # of the tokens: no task needs the tokenizers for it
     distinct = entries.groupBy("group").agg(F.sum(weight).alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner.of(held.value)
-        size_a, size_b = aligner.size_a.tolist(), aligner.size_b.tolist()
+        size_a, size_b = held.value
         for batch in batches:
             rows: list[tuple] = []
             for key, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

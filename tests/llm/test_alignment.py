@@ -2,7 +2,10 @@
 
 import bisect
 import hashlib
+import os
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -105,3 +108,26 @@ def test_groups_by_documents(spark):
 def test_links_of_a_group(a, b, sizes_a, sizes_b, links):
     assert alignment.links_of(a, b, sizes_a, sizes_b) == links
     assert alignment.unpack_group(alignment.pack_group(*(b"".join(i.to_bytes(4, "little") for i in x) for x in (a, b)))) == (a, b)
+
+
+def test_forgotten_memory_is_given_back():
+    """A worker waits beside the JVM's later stages: it must not keep threads, nor what it knew of pieces."""
+    code = """
+import os, random
+from gridlight.llm.alignment import Aligner, Pair
+def now():
+    return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+pick, aligner = random.Random(1), Aligner.of(Pair.of())
+aligner.align(["some text to begin with " * 9])
+aligner.forget()
+before, threads = now(), len(os.listdir("/proc/self/task"))
+for _ in range(6):
+    aligner.align([" ".join("".join(pick.choices(["th", "on", "er", "es", "ti"], k=9)) for _ in range(300)) for _ in range(100)])
+held = now()
+aligner.forget()
+print(len(os.listdir("/proc/self/task")) - threads, held - before, now() - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=env | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))})
+    threads, held, kept = map(float, said.stdout.split())
+    assert threads == 0 and kept < 0.6 * held
