@@ -2,8 +2,8 @@
 
 A text is cut before those spaces that certainly begin a match of the splitting pattern: the ones
 followed by other than white space (of a run of white space the pattern leaves the last space to what
-follows). Every piece is then independent, so each worker keeps the ids of pieces it has met, and puts
-new ones together from words and punctuation that it has met. Ids travel as packed little-endian integers.
+follows), and between plain letters, punctuation and line ends. Every part is then independent, so each
+worker keeps the ids of parts it has met. Ids travel as packed little-endian integers.
 """
 
 from __future__ import annotations
@@ -23,11 +23,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-#: Pieces that a worker remembers before it starts anew.
+from gridlight.llm.common import one_thread
+
+#: Parts of texts that a worker remembers before it starts anew.
 CACHE_PIECES = 600_000
 _RISKY, _CUT = re.compile(r" \s"), re.compile(r" (?=\S)")
-#: Letters up to U+024F, ASCII punctuation but the apostrophe, and a line end: between them the splitting pattern always cuts.
-_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]+|\n")
+#: Classes of bytes: letters up to U+024F, ASCII punctuation but the apostrophe, line ends and spaces; between them the
+#: splitting pattern always cuts. All other bytes are of class 0.
+LETTER, MARK, LINE, GAP = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)]] = LETTER
+_CLASS[[b for low, high in ("!&", "(/", ":@", "[`", "{~") for b in range(ord(low), ord(high) + 1)]] = MARK
+_CLASS[ord("\n")], _CLASS[ord(" ")] = LINE, GAP
+
+
+def parts_of(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """(parts of all texts, one after another, number of each text's): texts without white space after a space, cut where the pattern cuts anyway.
+
+    A part begins at a space, or where the class of bytes changes. What lies between spaces stays whole
+    if it has a byte of class 0 or an empty line.
+    """
+    lines = pa.array(texts, pa.string())
+    sizes = pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[: int(sizes.sum())]
+    if not len(data):
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    kind = _CLASS.take(data)
+    lead = np.flatnonzero((data >= 0xC3) & (data < 0xCA))  # of characters of two bytes: U+00C0 to U+027F
+    first, second = data[lead], data[lead + 1]
+    letter = ~((first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC9) & (second > 0x8F))
+    kind[lead[~letter]] = 0
+    kind[lead[letter] + 1] = LETTER
+    piece = data == 0x20  # where a piece begins: at a space or with a text
+    piece[(ends - sizes)[sizes > 0]] = True
+    line, inside = kind == LINE, np.append(~piece[1:], False)
+    odd = kind == 0
+    odd[:-1] |= line[:-1] & line[1:] & inside[:-1]
+    begins = np.empty(len(data), bool)
+    begins[0], begins[1:] = True, (kind[1:] != kind[:-1]) & (kind[:-1] != GAP)
+    begins |= piece
+    starts = np.flatnonzero(begins)
+    opens, pieces = piece[starts], np.flatnonzero(piece)
+    whole = np.zeros(len(pieces), bool)
+    whole[np.searchsorted(pieces, np.flatnonzero(odd), side="right") - 1] = True
+    starts = starts[opens | ~whole[np.cumsum(opens) - 1]]
+    bounds = np.append(starts, len(data)).astype(np.int32)
+    cut = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data))
+    return cut, np.diff(np.searchsorted(starts, np.append(0, ends)))
 
 
 def byte_characters() -> list[str]:
@@ -67,14 +110,14 @@ class Encoder:
     _made: dict[str, Encoder] = {}
 
     def __init__(self, spec: str):
+        one_thread()
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose token begins with a space
         self.begins[[i for t, i in vocabulary.items() if t.startswith(byte_characters()[32])]] = True
-        self.pieces: dict[str, bytes] = {}  # of pieces with the space before them
-        self.firsts: dict[str, bytes] = {}  # of texts' beginnings
+        self.known: dict[str, bytes] = {}  # the packed ids of parts, each with the space that it begins with
 
     @classmethod
     def of(cls, spec: str) -> Encoder:
@@ -87,60 +130,43 @@ class Encoder:
         """The packed ids of a text, encoded in one call."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _join(self, pieces: list[str]) -> None:
-        """Encodes pieces, each with the space before it, in one call and deals the ids out.
+    def _join(self, parts: list[str]) -> None:
+        """Encodes parts that begin with a space, a hundred in a line, in one call and deals the ids out.
 
-        No other token than a piece's first begins with a space; where a piece holds spaces itself, offsets tell.
+        No other token than a part's first begins with a space; where a part holds more spaces, offsets tell.
         """
-        lines = [" " + " ".join(pieces[at : at + 100]) for at in range(0, len(pieces), 100)]
+        lines = ["".join(parts[at : at + 100]) for at in range(0, len(parts), 100)]
         ids = np.array([i for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in x.ids], self.dtype)
         cut = np.flatnonzero(self.begins[ids])
-        if len(cut) != len(pieces):
+        if len(cut) != len(parts):
             found = self.tokenizer.encode("".join(lines), add_special_tokens=False)
             ids, at = np.array(found.ids, self.dtype), np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-            cut = np.searchsorted(at, np.cumsum([0, *(len(p) + 1 for p in pieces[:-1])]))
+            cut = np.searchsorted(at, np.cumsum([0, *(len(p) for p in parts[:-1])]))
         packed, ends = ids.tobytes(), (np.append(cut, len(ids)) * self.dtype.itemsize).tolist()
-        self.pieces.update((p, packed[a:b]) for p, a, b in zip(pieces, ends, ends[1:]))
-
-    def _learn(self, missing: set[str], firsts: set[str]) -> None:
-        """Remembers the packed ids of new pieces, each with the space before it, and of new beginnings of texts.
+        self.known.update((p, packed[a:b]) for p, a, b in zip(parts, ends, ends[1:]))
 
-        A piece that is plainly letters and punctuation is put together from its parts: each part is one
-        match of the splitting pattern, and most are known from other pieces.
-        """
-        known, parted = self.pieces, {}
-        for piece in missing:
-            parts = _PARTS.findall(piece)
-            if len(parts) > 1 and sum(map(len, parts)) == len(piece) and "\n\n" not in piece:
-                parted[piece] = parts
-        if "" in missing:  # a space that ends the text
-            known[""] = self.whole(" ")
-        heads = {p[0] for p in parted.values()}
-        if new := [*filterfalse(known.__contains__, heads | (missing - parted.keys()))]:
-            self._join(new)
-        firsts.update(part for parts in parted.values() for part in parts[1:])
-        if new := [*filterfalse(self.firsts.__contains__, firsts)]:
-            self.firsts.update((t, np.array(x.ids, self.dtype).tobytes()) for t, x in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)))
-        tail = self.firsts.__getitem__
-        for piece, (head, *more) in parted.items():
-            known[piece] = known[head] + b"".join(map(tail, more))
+    def _learn(self, missing: list[str]) -> None:
+        """Remembers the packed ids of new parts."""
+        spaced = [p for p in missing if p[:1] == " " and p != " "]
+        if spaced:
+            self._join(spaced)
+        if rest := [p for p in missing if p[:1] != " " or p == " "]:  # what follows another part, begins a text, or is a space that ends it
+            self.known.update((t, np.array(x.ids, self.dtype).tobytes()) for t, x in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)))
 
     def _few(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of some texts: Arrow cuts them and numbers the distinct pieces, whose ids are then laid out by number."""
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        if len(self.firsts) > CACHE_PIECES // 8:
-            self.firsts.clear()
+        """The packed ids of some texts: their bytes are cut in one go, the distinct parts numbered by Arrow, and their ids laid out by number."""
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
         risky = [bool(_RISKY.search(t)) for t in texts]
-        cut = pc.split_pattern(pa.array([t for t, r in zip(texts, risky) if not r], pa.string()), " ")
-        cut = pa.concat_arrays([cut, pa.array([_CUT.split(t) for t, r in zip(texts, risky) if r], pa.list_(pa.string()))])
-        starts, coded = cut.offsets.to_numpy()[:-1], cut.flatten().dictionary_encode()
-        codes, distinct = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
-        heads = [distinct[k] for k in codes[starts].tolist()]
-        codes[starts] = len(distinct) + np.arange(len(starts), dtype=np.int32)
-        wanted = [distinct[k] for k in np.flatnonzero(np.bincount(codes, minlength=len(distinct))[: len(distinct)]).tolist()]
-        self._learn({*filterfalse(self.pieces.__contains__, wanted)}, {*heads})
-        packed = [*(self.pieces.get(d, b"") for d in distinct), *map(self.firsts.__getitem__, heads)]
+        cut, counts = parts_of([t for t, r in zip(texts, risky) if not r])
+        slow = [_CUT.split(t) for t, r in zip(texts, risky) if r]
+        cut = pa.concat_arrays([cut, pa.array([p if k == 0 else " " + p for x in slow for k, p in enumerate(x)], pa.string())])
+        counts = np.append(counts, np.array([*map(len, slow)], np.int64))
+        coded = cut.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [*filterfalse(self.known.__contains__, distinct)]:
+            self._learn(new)
+        packed = [*map(self.known.__getitem__, distinct)]
         sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // np.int32(self.dtype.itemsize)
         pool, begin = np.frombuffer(b"".join(packed), self.dtype), np.cumsum(sizes, dtype=np.int32) - sizes
         each = sizes.take(codes)
@@ -148,7 +174,7 @@ class Encoder:
         at = np.repeat(begin.take(codes) - ends[:-1], each)
         at += np.arange(ends[-1], dtype=np.int32)
         ids = pool.take(at)
-        bounds = np.append(ends[starts], len(ids)).tolist()
+        bounds = ends[np.append(0, np.cumsum(counts))].tolist()
         found = (ids[low:high].tobytes() for low, high in zip(bounds, bounds[1:]))
         order = sorted(range(len(texts)), key=risky.__getitem__)  # plain ones first, as they were cut
         out = [b""] * len(texts)
