@@ -1,8 +1,8 @@
 """Language-model scoring (operator 1): a causal self-attention model over subword ids, trained and run in numpy.
 
 A text is its lower-cased words, each spelled in subword ids that begin with a space, and one end id. The
-ids are the most frequent subwords of a public byte-level vocabulary, all others being spelled in bytes,
-so every word has exactly one spelling. The model reads the ids of a whole text in overlapping windows and
+ids are the most frequent subwords of a public byte-level vocabulary, all others being spelled in as few of
+these and of bytes as can be, so every word has exactly one spelling. The model reads the ids of a whole text in overlapping windows and
 scores each id once, from the ids before it in the window; a text's score is the sum over its ids.
 
 One model is trained, on every id of every training text: in a few rounds each task trains on its blocks'
@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import itertools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -65,33 +65,46 @@ END, BYTES = 0, 1
 
 
 class Attention:
-    """One layer of causal self-attention with a two-level softmax; ``flat`` has all parameters, ``p`` views of it by name."""
+    """One layer of causal self-attention with a two-level softmax; ``flat`` has all parameters, ``p`` views of it by name.
+
+    Weights that have biases lie with them in one view, the biases as the last row: what they are applied to has ones as its last column.
+    """
 
     def __init__(self, settings: Settings, flat: np.ndarray | None = None, slots: np.ndarray | None = None):
         s, self.s = settings, settings
         self.slots = np.arange(s.ids, dtype=np.int32) if slots is None else slots  # of ids at the output: class * classes + place in the class
         d, c = s.size, s.classes
-        shapes = {"e": (s.ids, d), "before": (s.ids, d), "v": (s.ids, d), "q": (d, d), "k": (d, d), "near": (s.window,), "m1": (d, s.hidden), "mb": (s.hidden,), "m2": (s.hidden, d), "c": (d, c), "cb": (c,), "i": (c, d, c), "ib": (c, c)}
+        shapes = {"e": (s.ids, d), "before": (s.ids, d), "v": (s.ids, d), "q": (d, d), "k": (d, d), "near": (s.window,), "m1_mb": (d + 1, s.hidden), "m2": (s.hidden, d), "c_cb": (d + 1, c), "i_ib": (c, d + 1, c)}
         ends = np.cumsum([0, *(int(np.prod(x)) for x in shapes.values())])
         self.places = dict(zip(shapes, zip(ends[:-1].tolist(), ends[1:].tolist(), shapes.values())))
+        self.flat = np.zeros(ends[-1], np.float32) if flat is None else flat
+        self.p = self.views(self.flat)
         if flat is None:
             rng, scale = np.random.default_rng(7), {"e": 0.5, "before": 0.3, "v": 0.5, "q": 1.0, "k": 1.0, "m1": 1.0, "m2": 0.1, "c": 0.3, "i": 0.3}
-            flat = np.concatenate([(scale.get(k, 0.0) * rng.normal(0, d**-0.5, (high - low))).astype(np.float32) for k, (low, high, _) in self.places.items()])
-        self.flat, self.p = flat, self.views(flat)
+            for k in ("e", "before", "v", "q", "k", "near", "m1", "mb", "m2", "c", "cb", "i", "ib"):
+                self.p[k][:] = scale.get(k, 0.0) * rng.normal(0, d**-0.5, self.p[k].shape)
         self.moments, self.steps, self.trained = None, 0, 0
         back = np.arange(s.window - s.stride, s.window)[:, None] - np.arange(s.window)
         self.back, self.seen = np.clip(back, 0, None), back >= 0
         self.ones = np.ones(max(c, s.window), np.float32)
+        self.e_one, self.before_none = (np.full((s.ids, d + 1), x, np.float32) for x in (1, 0))
+        self.m2_none = np.zeros((s.hidden, d + 1), np.float32)
+        self.each = np.zeros((0, s.window, 5 * d), np.float32)
         self.prepare()
 
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
-        return {k: flat[low:high].reshape(shape) for k, (low, high, shape) in self.places.items()}
+        p = {k: flat[low:high].reshape(shape) for k, (low, high, shape) in self.places.items()}
+        for both in ("m1_mb", "c_cb", "i_ib"):
+            weights, biases = both.split("_")
+            p[weights], p[biases] = p[both][..., :-1, :], p[both][..., -1, :]
+        return p
 
     def prepare(self) -> None:
-        """What each id contributes as query and key, and the causal mask with its distance weights."""
-        p = self.p
-        self.queries, self.keys = p["e"] @ (p["q"] / np.float32(self.s.size**0.5)), p["e"] @ p["k"]
-        self.mask = np.where(self.seen, np.exp(p["near"][self.back]), np.float32(0)).astype(np.float32)
+        """What each id contributes as query and key, what has a last column added, and the causal mask with its distance weights."""
+        p, d = self.p, self.s.size
+        self.queries, self.keys = p["e"] @ (p["q"] / np.float32(d**0.5)), p["e"] @ p["k"]
+        self.e_one[:, :d], self.before_none[:, :d], self.m2_none[:, :d] = p["e"], p["before"], p["m2"]
+        self.mask = np.where(self.seen, np.exp(p["near"])[self.back], np.float32(0))
 
     def begin(self, counts: np.ndarray) -> None:
         """Sets the output biases to the log frequencies of the ids."""
@@ -103,80 +116,102 @@ class Attention:
         self.p["ib"][:] = np.log(seen / seen.sum(1, keepdims=True))
 
     def attend(self, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Hidden states (n * stride, size) of the last ``stride`` positions of windows (n, window), and what the gradient needs."""
-        p, s = self.p, self.s
+        """Hidden states (n * stride, size and a one) of the last ``stride`` positions of windows (n, window), and what the gradient needs."""
+        p, s, d = self.p, self.s, self.s.size
+        ids = ids.astype(np.intp)
         last, before = ids[:, -s.stride :], ids[:, -s.stride - 1 : -1]
-        q, k, v, e = self.queries.take(last, 0), self.keys.take(ids, 0), p["v"].take(ids, 0), p["e"].take(last, 0)
+        q, k, v = self.queries.take(last, 0), self.keys.take(ids, 0), p["v"].take(ids, 0)
         a = q @ k.transpose(0, 2, 1)
-        if not np.abs(a, out=np.empty_like(a)).max(initial=0) < 60:  # else exp() could overflow; a shift of a row changes nothing
-            a -= a.max(2, keepdims=True)
-            np.maximum(a, -60, out=a)
-        np.exp(a, out=a)
-        a *= self.mask
-        a /= (a.reshape(-1, s.window) @ self.ones[: s.window]).reshape(len(ids), s.stride, 1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(a, out=a)
+            a *= self.mask
+            total = a.reshape(-1, s.window) @ self.ones[: s.window]
+        if not self._held(total):
+            a = q @ k.transpose(0, 2, 1)
+            self._shift(a)
+            np.exp(a, out=a)
+            a *= self.mask
+            total = a.reshape(-1, s.window) @ self.ones[: s.window]
+        share = (1 / total).reshape(len(ids), s.stride, 1)
         mixed = a @ v
-        h = p["before"].take(before, 0)
-        h += mixed
-        h += e
-        h = h.reshape(-1, s.size)
-        z = h @ p["m1"]
-        z += p["mb"]
-        np.maximum(z, 0, out=z)
-        return h + z @ p["m2"], (q, k, v, e, a, mixed, h, z)
-
-    def _level(self, x: np.ndarray, rows: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probability of column ``right`` of each of ``rows``, sums of all rows) for logits ``x``, which become their exponentials."""
-        high = np.abs(x, out=np.empty_like(x)).max(initial=0)
-        if not high < 60:  # as in attend()
-            x -= x.max(1, keepdims=True)
-            np.maximum(x, -60, out=x)
-        logs = x[rows, right]
-        np.exp(x, out=x)
-        total = x @ self.ones[: x.shape[1]]
-        logs -= np.log(total.take(rows))
-        return logs, total
+        mixed *= share
+        h = self.e_one.take(last, 0)
+        h[:, :, :d] += mixed
+        h += self.before_none.take(before, 0)
+        h = h.reshape(-1, d + 1)
+        z = h @ p["m1_mb"]
+        np.maximum(z, np.zeros_like(z), out=z)  # faster than with a scalar
+        hidden = z @ self.m2_none
+        hidden += h
+        return hidden, (ids, q, k, v, a, share, mixed, h, z)
+
+    @staticmethod
+    def _held(sums: np.ndarray) -> bool:
+        """Whether sums of exponentials have neither overflown nor vanished."""
+        return bool(sums.min(initial=1) > 1e-30 and sums.max(initial=1) < 1e30)
+
+    @staticmethod
+    def _shift(x: np.ndarray) -> None:
+        """Moves each row of logits to at most 0 and at least -60; a shift of a row changes nothing."""
+        x -= x.max(-1, keepdims=True)
+        np.maximum(x, -60, out=x)
+
+    def _level(self, made: Callable[[], np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(exponentials, log-probabilities of the places ``at``, one of each row, sums of rows) of the logits that ``made`` gives."""
+        x = made()
+        logs = x.reshape(-1).take(at)
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(x, out=x)
+            total = x @ self.ones[: x.shape[1]]
+        if not self._held(total):
+            x = made()
+            self._shift(x)
+            logs = x.reshape(-1).take(at)
+            np.exp(x, out=x)
+            total = x @ self.ones[: x.shape[1]]
+        logs -= np.log(total)
+        return x, logs, total
 
     def log_probabilities(self, hidden: np.ndarray, targets: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of ``targets`` (n) from ``hidden`` (n, size); with ``gradient``, adds to it and gives d(-sum)/d(hidden).
+        """Natural log-probabilities of ``targets`` (n), 0 for those below 0, from ``hidden``; with ``gradient``, adds to it and gives d(-sum)/d(hidden).
 
-        The first level chooses the class, the second the id in it. For the second, rows are laid out by
-        class, each class filled up to the largest: ids are dealt to classes of about equal frequency.
+        The first level chooses the class, the second the id in it. Rows are laid out by class, so that
+        the second level is one product for each class.
         """
-        p, c, d, n = self.p, self.s.classes, self.s.size, len(targets)
-        which, inner = np.divmod(self.slots.take(targets), np.int32(c))
-        rows = np.arange(n)
-        x = hidden @ p["c"]
-        x += p["cb"]
-        out, total = self._level(x, rows, which)
-        back = None
+        p, c, d = self.p, self.s.classes, self.s.size
+        scored = np.flatnonzero(targets >= 0)
+        which, inner = np.divmod(self.slots.take(targets.take(scored)), np.int32(c))
+        by = np.argsort(which.astype(np.uint16), kind="stable")
+        order, which = scored.take(by), which.take(by)
+        ends = np.cumsum(np.bincount(which, minlength=c)).tolist()
+        parts = [(k, slice(low, high)) for k, (low, high) in enumerate(zip([0, *ends], ends)) if high > low]
+        h, rows = hidden.take(order, 0), np.arange(0, len(order) * c, c)
+
+        def second() -> np.ndarray:
+            x = np.empty((len(h), c), np.float32)
+            for k, part in parts:
+                np.matmul(h[part], p["i_ib"][k], out=x[part])
+            return x
+
+        at = rows + which
+        x, logs, total = self._level(lambda: h @ p["c_cb"], at)
+        out, back = np.zeros(len(targets), np.float32), None
         if gradient is not None:
-            x /= total[:, None]
-            x[rows, which] -= 1
-            back = x @ p["c"].T
-            gradient["c"] += hidden.T @ x
-            gradient["cb"] += self.ones_of(n) @ x
-        order, sizes = np.argsort(which.astype(np.uint16), kind="stable"), np.bincount(which, minlength=c)
-        most = int(sizes.max(initial=0))
-        at = np.empty(n, np.int64)  # the place of each row in the layout
-        at[order] = rows + np.repeat(np.arange(c) * most - (np.cumsum(sizes) - sizes), sizes)
-        filled = np.zeros(c * most, np.int64)
-        filled[at] = rows
-        h = hidden.take(filled, 0).reshape(c, most, d)
-        x = h @ p["i"]
-        x += p["ib"][:, None]
-        x = x.reshape(c * most, c)
-        more, total = self._level(x, at, inner)
-        out += more
+            x *= (1 / total)[:, None]
+            x.reshape(-1)[at] -= 1
+            found = x @ p["c"].T
+            gradient["c_cb"] += h.T @ x
+        at = rows + inner.take(by)
+        x, more, total = self._level(second, at)
+        out[order] = logs + more
         if gradient is not None:
-            real = np.zeros(c * most, np.float32)
-            real[at] = 1
-            real /= total
-            x *= real[:, None]
-            x[at, inner] -= 1
-            x = x.reshape(c, most, c)
-            back += (x @ p["i"].transpose(0, 2, 1)).reshape(c * most, d).take(at, 0)
-            gradient["i"] += h.transpose(0, 2, 1) @ x
-            gradient["ib"] += self.ones_of(most) @ x
+            x *= (1 / total)[:, None]
+            x.reshape(-1)[at] -= 1
+            for k, part in parts:
+                found[part] += x[part] @ p["i"][k].T
+                gradient["i_ib"][k] += h[part].T @ x[part]
+            back = np.zeros((len(targets), d), np.float32)
+            back[order] = found
         return out, back
 
     def ones_of(self, n: int) -> np.ndarray:
@@ -184,55 +219,73 @@ class Attention:
             self.ones = np.ones(n, np.float32)
         return self.ones[:n]
 
-    def _by_id(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """The sums of the rows of ``x`` by id."""
+    @classmethod
+    def _by_id(cls, ids: np.ndarray, x: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct ids, the sums of the rows of ``x`` of each).
+
+        Rows are laid out by their number among the rows of their id, and then by the ids, the most
+        frequent first: the rows of a number are added at once to the front of the sums. An id of more
+        than ``most`` rows is summed up in parts of so many, and these the same way.
+        """
         order = np.argsort(ids.astype(np.uint16), kind="stable")
         at = ids.take(order)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        out = np.zeros((self.s.ids, x.shape[1]), np.float32)
-        out[at[first]] = np.add.reduceat(x.take(order, 0), first, axis=0)
-        return out
+        distinct = len(first)
+        number = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) if distinct else first
+        number %= most
+        first = np.flatnonzero((number == 0))
+        sizes = np.diff(np.append(first, len(at)))
+        ranked = np.argsort((most - sizes).astype(np.uint16), kind="stable")
+        place = np.empty(len(first), np.intp)
+        place[ranked] = np.arange(len(first))
+        layers = len(first) - np.cumsum(np.bincount(sizes))[:-1]  # how many parts have more rows than 0, 1, ...
+        starts = np.cumsum(layers) - layers
+        laid_out = np.empty(len(at), np.intp)
+        laid_out[starts.take(number) + np.repeat(place, sizes)] = order
+        x = x.take(laid_out, 0)
+        sums = x[: len(first)]
+        for low, n in zip(starts[1:].tolist(), layers[1:].tolist()):
+            sums[:n] += x[low : low + n]
+        found = at.take(first.take(ranked))
+        return (found, sums) if distinct == len(first) else cls._by_id(found, sums, most)
 
     def gradient(self, ids: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
         """(sum of -log p, its gradient in the order of ``flat``) over windows; a target below 0 is not scored."""
         p, s, n = self.p, self.s, len(ids)
         out = np.zeros_like(self.flat)
         g, d = self.views(out), s.size
-        hidden, (q, k, v, e, a, mixed, h, z) = self.attend(ids)
-        wanted = targets.reshape(-1)
-        scored = np.flatnonzero(wanted >= 0)
-        if len(scored) == len(wanted):
-            logs, dh = self.log_probabilities(hidden, wanted, g)
-        else:
-            logs, part = self.log_probabilities(hidden.take(scored, 0), wanted.take(scored), g)
-            dh = np.zeros_like(hidden)
-            dh[scored] = part
+        hidden, (ids, q, k, v, a, share, mixed, h, z) = self.attend(ids)
+        logs, dh = self.log_probabilities(hidden, targets.reshape(-1), g)
         dz = dh @ p["m2"].T
         dz *= z > 0
         g["m2"] += z.T @ dh
-        g["m1"] += h.T @ dz
-        g["mb"] += self.ones_of(len(dz)) @ dz
+        g["m1_mb"] += h.T @ dz
         dh += dz @ p["m1"].T
         dh = dh.reshape(n, s.stride, d)
-        da = dh @ v.transpose(0, 2, 1)
-        da -= np.einsum("nsd,nsd->ns", dh, mixed)[:, :, None]
+        # the weights of the attention aren't divided by their sums, so what comes back to them is
+        shared = dh * share
+        mixed *= shared
+        da = shared @ v.transpose(0, 2, 1)
+        da -= (mixed.reshape(-1, d) @ self.ones_of(d)).reshape(n, s.stride, 1)
         da *= a
-        near = da.sum(0)
+        near = (self.ones_of(n) @ da.reshape(n, -1)).reshape(s.stride, s.window)
         g["near"] += np.bincount(self.back[self.seen], near[self.seen], s.window).astype(np.float32)
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        dq /= np.float32(d**0.5)
-        g["q"] += e.reshape(-1, d).T @ dq.reshape(-1, d)
-        g["k"] += p["e"].take(ids, 0).reshape(-1, d).T @ dk.reshape(-1, d)
-        # what each position of a window gives to its id's row of "v", "e" and "before"
-        each = np.zeros((n, s.window, 3 * d), np.float32)
-        each[:, :, :d] = a.transpose(0, 2, 1) @ dh
-        each[:, :, d : 2 * d] = dk @ p["k"].T
-        each[:, -s.stride :, d : 2 * d] += dq @ p["q"].T + dh
-        each[:, -s.stride - 1 : -1, 2 * d :] = dh
-        sums = self._by_id(ids.reshape(-1), each.reshape(-1, 3 * d))
-        g["v"] += sums[:, :d]
-        g["e"] += sums[:, d : 2 * d]
-        g["before"] += sums[:, 2 * d :]
+        # what each position of a window gives to its id's row of "v", as key, as query, of "e" and of "before"
+        if len(self.each) < n:
+            self.each = np.zeros((n, s.window, 5 * d), np.float32)
+        each = self.each[:n]
+        each[:, :, :d] = a.transpose(0, 2, 1) @ shared
+        each[:, :, d : 2 * d] = da.transpose(0, 2, 1) @ q
+        each[:, -s.stride :, 2 * d : 3 * d] = da @ k
+        each[:, -s.stride :, 3 * d : 4 * d] = dh
+        each[:, -s.stride - 1 : -1, 4 * d :] = dh
+        found, sums = self._by_id(ids.reshape(-1), each.reshape(-1, 5 * d))
+        g["v"][found], dk, dq, de, g["before"][found] = (sums[:, j * d : (j + 1) * d] for j in range(5))
+        dq = dq / np.float32(d**0.5)
+        e = p["e"].take(found, 0)
+        g["q"] += e.T @ dq
+        g["k"] += e.T @ dk
+        g["e"][found] = de + dq @ p["q"].T + dk @ p["k"].T
         return -float(logs.sum()), out
 
     def train(self, ids: np.ndarray, targets: np.ndarray, rate: float) -> None:
@@ -240,6 +293,7 @@ class Attention:
         if self.moments is None:
             self.moments = np.zeros_like(self.flat), np.zeros_like(self.flat)
         first, second = self.moments
+        step = np.empty_like(self.flat)
         order = np.random.default_rng(self.steps).permutation(len(ids))
         for at in np.array_split(order, max(1, round(len(ids) / self.s.batch))):
             wanted = targets[at]
@@ -247,12 +301,15 @@ class Attention:
             if not n:
                 continue
             _, g = self.gradient(ids[at], wanted)
-            g /= n
             self.steps, self.trained = self.steps + 1, self.trained + n
-            first += np.float32(0.1) * (g - first)
+            g *= np.float32(0.1 / n)
+            first *= np.float32(0.9)
+            first += g
             g *= g
-            second += np.float32(0.01) * (g - second)
-            step = np.sqrt(second * np.float32(1 / (1 - 0.99**self.steps)))
+            second *= np.float32(0.99)
+            second += g
+            np.sqrt(second, out=step)
+            step *= np.float32((1 - 0.99**self.steps) ** -0.5)
             step += np.float32(1e-8)
             np.divide(first, step, out=step)
             step *= np.float32(rate * min(1, self.steps / 20) / (1 - 0.9**self.steps))
@@ -264,11 +321,7 @@ class Attention:
         values = np.zeros(targets.shape, np.float32)
         for at in range(0, len(ids), self.s.batch):
             hidden, _ = self.attend(ids[at : at + self.s.batch])
-            wanted = targets[at : at + self.s.batch].reshape(-1)
-            scored = np.flatnonzero(wanted >= 0)
-            part = np.zeros(len(wanted), np.float32)
-            part[scored] = self.log_probabilities(hidden.take(scored, 0), wanted.take(scored))[0]
-            values[at : at + self.s.batch] = part.reshape(-1, self.s.stride)
+            values[at : at + self.s.batch] = self.log_probabilities(hidden, targets[at : at + self.s.batch].reshape(-1))[0].reshape(-1, self.s.stride)
         return values
 
 
@@ -317,14 +370,34 @@ def spell(words: list[bytes], path: str | None) -> tuple[np.ndarray, np.ndarray]
 
 
 class Ids:
-    """The model's ids of ranks: the kept ranks have an id each, all others are spelled in bytes."""
+    """The model's ids of ranks: the kept ranks have an id each, all others are spelled in as few of these and of bytes as can be."""
 
     def __init__(self, kept: list[int], names: list[bytes]):
-        number = {rank: BYTES + 256 + k for k, rank in enumerate(kept)}
-        spelled = [[number[r]] if r in number else [BYTES + b for b in name] for r, name in enumerate(names)]
+        number = {names[rank]: BYTES + 256 + k for k, rank in enumerate(kept)}
+        longest = max(map(len, number), default=1)
+        spelled = [self._spelled(name, number, longest) for name in names]
         self.sizes = np.array([len(x) for x in spelled], np.int32)
         self.starts, self.ids = np.cumsum(self.sizes) - self.sizes, np.array([i for x in spelled for i in x], np.int16)
 
+    @staticmethod
+    def _spelled(name: bytes, number: dict[bytes, int], longest: int) -> list[int]:
+        if name in number:
+            return [number[name]]
+        fewest, begins = [0], [0]  # ids of the first 0, 1, ... bytes, and where the last of them begins
+        for end in range(1, len(name) + 1):
+            most, begin = fewest[end - 1] + 1, end - 1
+            for at in range(max(0, end - longest), end - 1):
+                if fewest[at] + 1 < most and name[at:end] in number:
+                    most, begin = fewest[at] + 1, at
+            fewest.append(most)
+            begins.append(begin)
+        ids, end = [], len(name)
+        while end:
+            part = name[begins[end] : end]
+            ids.append(number[part] if part in number else BYTES + part[0])
+            end = begins[end]
+        return ids[::-1]
+
     def of(self, ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of words in a row, number of each) for their ``ranks`` in a row, of which each word has ``sizes``."""
         if not len(ranks):
@@ -484,7 +557,7 @@ def _place(n: int) -> np.ndarray:
 
 
 def fit(made: DataFrame, path: str | None, settings: Settings = Settings()) -> dict:
-    """{subwords, parameters, slots, tokens}: the ranks kept and the model, from all training texts of the blocks ``made``.
+    """{ids, parameters, slots, tokens}: how ranks are spelled and the model, from all training texts of the blocks ``made``.
 
     Every pass trains on every id of every training text. A pass is spread over rounds; in a round a
     task trains on its blocks' documents of that round, beginning with the round's parameters, and the
@@ -510,7 +583,7 @@ def fit(made: DataFrame, path: str | None, settings: Settings = Settings()) -> d
     frequency = np.bincount(ids.ids, np.repeat(seen, ids.sizes), settings.ids)
     frequency[END] += texts
     if not texts:
-        return {"subwords": kept, "parameters": model.flat, "slots": model.slots, "tokens": 0}
+        return {"ids": ids, "parameters": model.flat, "slots": model.slots, "tokens": 0}
     # ids to classes of about equal frequency: dealt from the most frequent on, to and fro
     c, ranked = settings.classes, np.empty(settings.ids, np.int32)
     ranked[np.argsort(-frequency, kind="stable")] = np.arange(settings.ids)
@@ -519,18 +592,19 @@ def fit(made: DataFrame, path: str | None, settings: Settings = Settings()) -> d
     model.begin(frequency)
     flat, passes = model.flat, settings.passes(int(frequency.sum()))
     rounds = max(settings.rounds, passes)
+    spelled = spark.sparkContext.broadcast(ids)
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((flat, kept, slots))
+        sent = spark.sparkContext.broadcast((flat, slots))
         span, rate = (turn * passes / rounds, (turn + 1) * passes / rounds), settings.rate * (1 - turn / rounds)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, span=span, rate=rate) -> Iterator[pa.RecordBatch]:
-            flat, kept, slots = sent.value
-            model, ids = Attention(settings, flat.copy(), slots), Ids(kept, _encoding(path)[1])
+            flat, slots = sent.value
+            model = Attention(settings, flat.copy(), slots)
             for batch in batches:
                 for marks, *block in zip(*(batch.column(k).to_pylist() for k in range(5))):
                     marks = np.frombuffer(marks, np.uint8)
                     at = _place(len(marks))
-                    for part in Block(*block, ids).parts(np.flatnonzero(((marks & 1) == 0) & (np.floor(span[1] - at) > np.floor(span[0] - at)))):
+                    for part in Block(*block, spelled.value).parts(np.flatnonzero(((marks & 1) == 0) & (np.floor(span[1] - at) > np.floor(span[0] - at)))):
                         model.train(*windows_of(*part[1:], settings.window, settings.stride), rate)
             if model.trained:
                 yield _vector(np.append(model.flat.astype(float) * model.trained, model.trained))
@@ -539,7 +613,8 @@ def fit(made: DataFrame, path: str | None, settings: Settings = Settings()) -> d
         sent.unpersist()
         if total is not None:
             flat = (total[:-1] / total[-1]).astype(np.float32)
-    return {"subwords": kept, "parameters": flat, "slots": slots, "tokens": int(frequency.sum())}
+    spelled.unpersist()
+    return {"ids": ids, "parameters": flat, "slots": slots, "tokens": int(frequency.sum())}
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -566,7 +641,7 @@ def score(docs: DataFrame, path: str | None = None, settings: Settings = Setting
         if not len(block):
             return pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
         r, model = block.iloc[0], Attention(settings, held.value["parameters"], held.value["slots"])
-        texts = Block(r["lengths"], r["codes"], r["ranks"], r["sizes"], Ids(held.value["subwords"], _encoding(path)[1]))
+        texts = Block(r["lengths"], r["codes"], r["ranks"], r["sizes"], held.value["ids"])
         # the counts of the block's words, in the order of their codes: the block's hash order is found again from its buckets
         c = np.zeros(len(texts.each), np.int64)
         c[0] = ends

@@ -386,6 +386,43 @@ def test_spellings_are_unique_and_whole():
     assert [b"".join(text[e - n : e]) for e, n in zip(ends, each.tolist())] == [b" " + w for w in words]
 
 
+def test_ranks_that_are_not_kept_are_spelled_in_as_few_ids_as_can_be():
+    """In subwords where bytes alone took an id each; the number of ids is that of a search over all spellings."""
+    names = [b"", *(bytes([x]) for x in b"abc "), b" ab", b"abc", b"bc", b"ca", b"cab", b" abcab", b"abcabcabca", b"bb", "\u00df".encode()]
+    kept = [names.index(x) for x in (b" ab", b"bc", b"ca", b"cab", b"a")]
+    ids, known = language_model.Ids(kept, names), {names[r] for r in kept}
+
+    def fewest(x):
+        return 0 if not x else 1 + min(fewest(x[n:]) for n in range(1, len(x) + 1) if n == 1 or x[:n] in known)
+
+    assert ids.sizes.tolist() == [fewest(x) for x in names]
+    for rank, name in enumerate(names):
+        one = ids.ids[ids.starts[rank] : ids.starts[rank] + ids.sizes[rank]].tolist()
+        assert b"".join(names[kept[i - 257]] if i > 256 else bytes([i - 1]) for i in one) == name
+    assert ids.sizes[names.index(b" abcab")] == 2 and ids.sizes[names.index("\u00df".encode())] == 2
+
+
+@pytest.mark.parametrize("rows", [1, 7, 33, 500, 5000])
+def test_sums_by_id_are_those_of_a_loop(rows):
+    rng = np.random.default_rng(rows)
+    ids, x = np.minimum(rng.geometric(0.05, rows) - 1, 40), rng.normal(size=(rows, 3)).astype(np.float32)
+    want = np.zeros((41, 3))
+    np.add.at(want, ids, x.astype(float))
+    found, sums = language_model.Attention._by_id(ids, x.copy())
+    assert sorted(found.tolist()) == sorted(set(ids.tolist()))
+    assert np.allclose(sums, want[found], atol=1e-3)
+
+
+def test_weights_of_attention_that_exp_cannot_hold_are_shifted():
+    model, rng = small_model(5)
+    ids = rng.integers(1, 16, (3, 8)).astype(np.int16)
+    model.queries *= 0  # equal logits: the weights are those of the distances alone, whatever is added to all of them
+    plain = model.attend(ids)[0]
+    model.queries[:], model.keys[:] = 0, 0
+    model.queries[:, 0], model.keys[:, 0] = 20, 20
+    assert np.allclose(model.attend(ids)[0], plain, atol=1e-4)
+
+
 def test_language_model_counts_against_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(80)
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(5000 + k, t) for k, t in enumerate(ODD)] + [(5001, ""), (None, "one"), (None, "one")]
