@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridlight.llm.bpe import file_spec, token_bytes
-from gridlight.llm.common import give_back, one_thread, table, written
+from gridlight.llm.common import LARGE_ROWS, give_back, one_thread, table, written
 
 #: UTF-8 bytes of texts in a block, bytes that are cut at once, and pieces that a worker remembers before it starts anew.
 BLOCK_BYTES, CUT_BYTES, CACHE_PIECES = 2_000_000, 1_000_000, 200_000
@@ -245,7 +245,7 @@ def blocks_of(docs: DataFrame, pair: Pair) -> DataFrame:
 
     A block has its documents' ids packed in ``ids`` (and in ``known`` whether they are not null), and the
     arrays n_a, n_b, n_groups and digest, the groups of all of
-    them, one after another, as packed 32-bit numbers in ``codes``, and what the numbers stand for in the
+    them, one after another, as packed 16-bit numbers in ``codes`` (32-bit where a block has more groups), and what the numbers stand for in the
     arrays groups, n (occurrences in the block) and docs (documents of it). A block is named by its
     partition and its number there.
     """
@@ -264,7 +264,7 @@ def blocks_of(docs: DataFrame, pair: Pair) -> DataFrame:
             codes = number[flat]
             once = np.unique(np.repeat(np.arange(len(counts)), counts) * max(1, len(present)) + codes) % max(1, len(present))
             packed = np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids]).tobytes()
-            columns = [*packed, tokens[:, 0], tokens[:, 1], counts, digests.tolist(), codes.astype("<i4").tobytes(), [aligner.keys[k] for k in present.tolist()], seen[present], np.bincount(once, minlength=len(present))[: len(present)]]
+            columns = [*packed, tokens[:, 0], tokens[:, 1], counts, digests.tolist(), codes.astype("<u2" if len(present) <= 1 << 16 else "<u4").tobytes(), [aligner.keys[k] for k in present.tolist()], seen[present], np.bincount(once, minlength=len(present))[: len(present)]]
             row = [pa.array([f"{partition}:{made}"]), *(pa.array([c], t) for c, t in zip(columns, [pa.binary()] * 2 + [pa.list_(pa.int64())] * 3 + [pa.list_(pa.string()), pa.binary(), pa.list_(pa.binary())] + [pa.list_(pa.int64())] * 2))]
             return pa.RecordBatch.from_arrays(row, names=[c.split(" ")[0] for c in _BLOCK.split(", ")])
 
@@ -290,7 +290,7 @@ def blocks_of(docs: DataFrame, pair: Pair) -> DataFrame:
         parts = batch = part = None
         aligner.forget()
 
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _BLOCK), "aligned")
+    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _BLOCK), "aligned", **LARGE_ROWS)
 
 
 def interned(blocks: DataFrame) -> DataFrame:
@@ -355,7 +355,8 @@ def align(docs: DataFrame, pair: Pair | None = None, weight: str = "n") -> tuple
         for row in block.itertuples(index=False):
             values = np.zeros((len(own), 3), np.int64)
             values[own["code"].to_numpy()] = own[["links", "best", "counted"]].to_numpy()
-            codes, counts = np.frombuffer(row.codes, "<i4"), np.asarray(row.n_groups, np.int64)
+            counts = np.asarray(row.n_groups, np.int64)
+            codes = np.frombuffer(row.codes, f"<u{len(row.codes) // max(1, int(counts.sum())) or 2}")
             sums, full = np.zeros((len(counts), 3), np.int64), counts > 0
             if full.any():
                 starts = (np.cumsum(counts) - counts)[full]
