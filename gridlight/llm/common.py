@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlight.operators.graph import components
-from gridlight.sources.shared import LARGE_ROWS, shared_dir, written
+from gridlight.sources.shared import LARGE_ROWS, never_sent, shared_dir, written
 
-__all__ = ["LARGE_ROWS", "SPACE", "components", "give_back", "held_out", "one_thread", "shared_dir", "table", "written"]
+__all__ = ["LARGE_ROWS", "SPACE", "components", "give_back", "held_out", "never_sent", "one_thread", "shared_dir", "table", "written"]
 
 #: The white space that ends a word; bytes.split() without arguments splits on the same six bytes.
 SPACE = "[\\x20\\x09-\\x0D]"

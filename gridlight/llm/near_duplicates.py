@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlight.llm.common import components, table, written
+from gridlight.llm.common import components, never_sent, table, written
 
 
 @dataclass(frozen=True)
@@ -192,14 +192,14 @@ def links(nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     counted = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     # buckets with the same members (equal counts, ends and 128 bits of their hashes) are one
     several = counted.where("n > 1").groupBy("n", "first", "last", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    placed = written(members.join(several, "bucket"), "members")
+    placed = written(never_sent(members).join(several, "bucket"), "members")  # 21 rows or more of each node
 
     small = placed.where(F.col("n") <= settings.pairs_up_to).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("m"))
     tails = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + F.lit(2), F.size("m")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = written(small.select(F.explode(tails).alias("p")).select("p.a", "p.b").where("a < b").distinct(), "pairs")
 
-    wanted = nodes.select("node", "doc_id", "said", "fingerprint").join(placed.select("node").distinct(), "node", "left_semi")
-    sets = written(_sets_of(docs.withColumn("said", said()).join(wanted, ["doc_id", "said"]).select("node", "text", "fingerprint"), settings), "sets")
+    wanted = nodes.select("node", "doc_id", "said", "fingerprint").join(never_sent(placed.select("node").distinct()), "node", "left_semi")
+    sets = written(_sets_of(docs.withColumn("said", said()).join(never_sent(wanted), ["doc_id", "said"]).select("node", "text", "fingerprint"), settings), "sets")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,14 +207,15 @@ def links(nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
             hit = pa.array([_linked(p, q, settings.percent) for p, q in zip(x, y)], pa.bool_())
             yield batch.select(["a", "b"]).filter(hit)
 
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
-    listed = first.join(sets.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    first = never_sent(pairs).join(sets.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
+    listed = never_sent(first).join(sets.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
     # block numbers i <= j of a large bucket; a member goes to every pair that its block is in
     blocks = F.ceil(F.col("n") / F.lit(settings.block)).cast("int")
     large = placed.where(F.col("n") > settings.pairs_up_to).select("bucket", "node", blocks.alias("blocks")).withColumn("mine", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
     other = large.select("bucket", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    dealt = other.select("bucket", "node", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine").join(sets, "node")
+    dealt = other.select("bucket", "node", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine")
+    dealt = never_sent(dealt).join(sets, "node")  # a row for each block of the bucket
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
@@ -247,10 +248,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     # a node is a set, numbered once and written; the smallest doc_id that has it stands beside
     same = written(same.select(F.monotonically_increasing_id().alias("node"), "from.doc_id", "from.said", "fingerprint", "keys"), "nodes")
     joined = components(links(same, texts, settings))
-    placed = same.select("fingerprint", "node", "doc_id").join(joined, "node", "left").select("fingerprint", "doc_id", F.coalesce("component", "node").alias("component"))
+    placed = same.select("fingerprint", "node", "doc_id").join(never_sent(joined), "node", "left").select("fingerprint", "doc_id", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = placed.select("fingerprint", "component").join(least, "component").select("fingerprint", "component_id")
-    linked = made.where("n_shingles > 0").join(found, "fingerprint").select("doc_id", "n_shingles", "component_id")
+    found = placed.select("fingerprint", "component").join(never_sent(least), "component").select("fingerprint", "component_id")
+    linked = made.where("n_shingles > 0").join(never_sent(found), "fingerprint").select("doc_id", "n_shingles", "component_id")
     alone = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
@@ -270,7 +271,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat a doc_id stay if one of them does; rows without a doc_id stay.
     """
     gone = near_duplicates(docs, STAGE).groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(never_sent(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 _COMPONENTS = """both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
