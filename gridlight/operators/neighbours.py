@@ -75,8 +75,17 @@ def _for_parts(one: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distances of all rows of ``x`` to all of ``y``, a slice of ``x`` at a time."""
-    return np.concatenate([np.sqrt(((x[at : at + 512, None] - y[None]) ** 2).sum(2)) for at in range(0, len(x), 512)]) if len(x) else np.zeros((0, len(y)))
+    """Distances of all rows of ``x`` to all of ``y``, a slice of ``x`` and a component at a time, so that what is worked on stays in the cache."""
+    out = np.zeros((len(x), len(y)))
+    columns = np.ascontiguousarray(y.T) if len(y) else ()
+    for at in range(0, len(x), 128):
+        own = out[at : at + 128]
+        apart = np.empty_like(own)
+        for a, b in zip(x[at : at + 128].T, columns):
+            np.subtract(a[:, None], b, out=apart)
+            apart *= apart
+            own += apart
+    return np.sqrt(out, out=out)
 
 
 def _matrix(packed: pd.Series) -> np.ndarray:
